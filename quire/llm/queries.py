@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import secrets
-from quire.llm.tables import read
+from quire.llm import packing, rans, secrets, tokens
+from quire.llm.tables import read, shared_folder
+
+VOCABULARY = "byte_bpe_50k.json"
+END_ID = 2
+
+
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path(), seq_len=1024, end_id=END_ID)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/quire/tokens-{uuid.uuid4().hex}"
+    rans.write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return rans.read_token_files(spark, path)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +38,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_secret_scans": op9_secret_scans}
+    return {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
