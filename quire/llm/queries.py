@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, rans, secrets, tokens
+from quire.llm import packing, rans, secrets, substrings, tokens
 from quire.llm.tables import read, shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(read(spark, sf_dir, "documents"), min_words=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path(), seq_len=1024, end_id=END_ID)
 
@@ -38,7 +43,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
