@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import packing, rans, secrets, substrings, tokens
+from quire.llm import minhash, packing, rans, secrets, substrings, tokens
 from quire.llm.tables import read, shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path(), seq_len=1024, end_id=END_ID)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), similarity=75, shingle=5)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,7 +47,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
