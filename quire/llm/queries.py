@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import lattice, minhash, packing, rans, secrets, substrings, tokens
+from quire.llm import lattice, lattice_lm, minhash, packing, rans, secrets, substrings, tokens
 from quire.llm.tables import read, shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -50,8 +51,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_scores(read(spark, sf_dir, "documents"), tokenizer_path(PIECES), fold=1, folds=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op7_token_files, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op7_token_files, op9_secret_scans, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
