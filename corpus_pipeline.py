@@ -1,15 +1,58 @@
-"""A corpus pipeline of the llm operators: quality, near copies, repeated passages, secrets, packing."""
+"""A corpus pipeline of the llm operators: quality, near copies, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), docs having the columns of documents, and works on all that the stage before it kept.  All but
+the last return those columns, with texts as they then are and n_chars to match.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quire.llm import minhash, packing, quality, secrets, substrings
+from quire.llm.queries import END_ID, tokenizer_path
+from quire.llm.tables import read, stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the classifier reject go."""
+    return quality.only_kept(docs, quality.classifier(docs, read(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; a text that is all repeats stays as the empty text."""
+    return substrings.cut_repeats(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secrets.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' tokens in sequences of 1024: one row for each piece."""
+    return packing.packed(docs, tokenizer_path(), seq_len=1024, end_id=END_ID)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Tokens, signatures and a fitted model have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on documents; each but the last is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

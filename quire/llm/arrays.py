@@ -45,10 +45,10 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U), 7)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Prefix:
@@ -92,8 +92,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     base, data = offsets[0], data[offsets[0] : offsets[-1]]
     offsets = offsets - base
     if lower:
-        data = _LOWER[data]
-    inside = ~_SPACE[data]
+        data = LOWER[data]
+    inside = ~SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     bounds = offsets[1:-1]

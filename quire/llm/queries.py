@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import lattice, lattice_lm, minhash, packing, rans, secrets, substrings, tokens
+from quire.llm import lattice, lattice_lm, licenses, minhash, packing, quality, rans, secrets, substrings, tokens
 from quire.llm.tables import read, shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,12 +41,21 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.classifier(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/quire/tokens-{uuid.uuid4().hex}"
     rans.write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
     return rans.read_token_files(spark, path)
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
@@ -56,7 +65,8 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op7_token_files, op9_secret_scans, op10_lattice_lm)}
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op6_quality_rules, op7_token_files, op8_license_scans, op9_secret_scans, op10_lattice_lm)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
