@@ -8,8 +8,10 @@ million); only screened pairs move, and all links are confirmed on the full shin
 
 Not every link is needed for components, so they are looked for in two rounds: first each class and its best screened
 partner of a lower number, which joins up large groups of near copies with a pair for each class; then all screened pairs that
-are still in different components.  No link between components can be missed by that.  Large buckets are split in
-tiles, which hold each of their pairs once.
+are still in different components.  No link between components can be missed by that.  The second round also screens by
+odd sketches, a bit for the parity of each of 4 to 8 bins a shingle: as many bits as differ, so many shingles differ at
+least, so this drops no link, and of pairs without one hardly any is left to verify.  Large buckets are split in tiles,
+which hold each of their pairs once.
 
 Texts with no words have no shingles and link with nothing.  Null ids get no component and are kept; rows that share an
 id are one document (their links count together).  An empty table gives an empty result; other columns are ignored.
@@ -115,6 +117,55 @@ def _full_sets(size: int):
     return run
 
 
+def _odd_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, odd) of sets of shingles: the parities of 2**k bins, at least 4 for each shingle and 64 in all."""
+    for batch in batches:
+        column = batch.column(1)
+        n = np.diff(column.offsets.to_numpy())
+        hashes = column.flatten().to_numpy().view(np.uint64)
+        for a, b in _by_total(n, 1 << 18):
+            bits = 1 << np.ceil(np.log2(np.maximum(4 * n[a:b], 64))).astype(np.int64)
+            begin = np.cumsum(bits) - bits
+            own = hashes[n[:a].sum() : n[:b].sum()]
+            at = np.repeat(begin, n[a:b]) + (own & np.repeat(bits - 1, n[a:b]).astype(np.uint64)).astype(np.int64)
+            raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little")
+            odd = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(bits // 8)]).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), odd], names=["cid", "odd"])
+
+
+def _by_total(n: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
+class OddSketches:
+    """Odd sketches of rows, by size, for counting the bits in which rows differ."""
+
+    def __init__(self, column: pa.Array):
+        raw = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        self.size = np.array([len(x) for x in raw])
+        self.row = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.of[size] = np.stack([raw[k] for k in at.tolist()])
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits that differ between the rows x and y, the longer sketch folded to the shorter's size."""
+        out = np.zeros(len(x), np.int64)
+        a, b = self.size[x], self.size[y]
+        for one, two in {*zip(a.tolist(), b.tolist(), strict=True)}:
+            at, size = np.flatnonzero((a == one) & (b == two)), min(one, two)
+            for part in np.array_split(at, -(-len(at) * max(one, two) // (1 << 19))):
+                left, right = (np.bitwise_xor.reduce(self.of[k][self.row[z[part]]].reshape(len(part), -1, size), axis=1) for k, z in ((one, x), (two, y)))
+                out[part] = np.bitwise_count(left ^ right).sum(axis=1)
+        return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """Whole runs of equal (key, t1, t2) of a stream sorted by them, as arrays; several runs at once."""
     held: list[pa.RecordBatch] = []
@@ -124,7 +175,8 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         sig = table.column("sig").combine_chunks()
         flat = np.frombuffer(sig.buffers()[2], np.uint16) if len(sig) else np.zeros(0, np.uint16)
         first = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset] // 2 if len(sig) else 0
-        return [*out, flat[first : first + len(sig) * COORDINATES].reshape(-1, COORDINATES)]
+        odd = [OddSketches(table.column("odd").combine_chunks())] if "odd" in table.column_names else [None]
+        return [*out, flat[first : first + len(sig) * COORDINATES].reshape(-1, COORDINATES), *odd]
 
     for batch in batches:
         if not batch.num_rows:
@@ -159,15 +211,15 @@ def _pairs(key, t1, t2, block, limit: int = 1 << 15) -> Iterator[tuple[np.ndarra
         a = b
 
 
-def _screened(threshold: float, floor: float, best_only: bool):
+def _screened(similarity: int, floor: float, best_only: bool):
     """Pairs of a bucket with estimated similarity over SCREEN, in the first band that they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t1, t2, block, band, cid, n, comp, sig in _groups(batches, ("key", "t1", "t2", "block", "band", "cid", "n", "comp")):
+        for key, t1, t2, block, band, cid, n, comp, sig, odd in _groups(batches, ("key", "t1", "t2", "block", "band", "cid", "n", "comp")):
             bands = sig.view(np.uint64)
             partner, score = np.zeros(len(cid), np.int64), np.full(len(cid), -1.0)
             for x, y in _pairs(key, t1, t2, block):
-                fits = (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (comp[x] != comp[y])
+                fits = (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (comp[x] != comp[y])
                 x, y = x[fits], y[fits]
                 same = sig[x] == sig[y]
                 about = same.mean(axis=1) if len(x) else np.zeros(0)
@@ -178,6 +230,8 @@ def _screened(threshold: float, floor: float, best_only: bool):
                 keep = shared[np.arange(len(x)), at] & (shared.argmax(axis=1) == at) if len(x) else np.zeros(0, bool)
                 x, y, about = x[keep], y[keep], about[keep]
                 if not best_only:
+                    keep = (100 + similarity) * odd.differing(x, y) <= (100 - similarity) * (n[x] + n[y])
+                    x, y, about = x[keep], y[keep], about[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(cid[x]), pa.array(cid[y]), pa.array(about)], names=["a", "b", "about"])
                     continue
                 later, other = np.where(cid[x] > cid[y], x, y), np.where(cid[x] > cid[y], y, x)
@@ -193,13 +247,13 @@ def _screened(threshold: float, floor: float, best_only: bool):
     return run
 
 
-def _tiled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Bucket rows (key, band, cid, m, comp) with size and signature, dealt out and sorted by tile."""
+def _tiled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Bucket rows (key, band, cid, m, comp) with what is known of their classes, dealt out and sorted by tile."""
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     block = F.pmod(F.xxhash64("cid", "key"), blocks).cast("int")
     rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumns({"t1": F.least("block", "other"), "t2": F.greatest("block", "other")}).drop("other", "m")
-    rows = rows.join(classes.select("cid", "n", "sig"), "cid")
+    rows = rows.join(known, "cid")
     return rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
 
@@ -220,6 +274,7 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
     needed = classes.join(members.select("cid").distinct(), "cid").select("cid", F.col("rep").alias("id"), "k1", "k2")
     sets = source.join(needed, "id").select("cid", "text", "k1", "k2").mapInArrow(_full_sets(shingle), "cid long, shingles array<long>")
     sets = stored(sets.groupBy("cid").agg(F.max("shingles").alias("shingles")), "sets")
+    known = classes.select("cid", "n", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
@@ -228,14 +283,15 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
         return both.where(100 * F.col("i") >= similarity * (F.col("s") - F.col("i"))).select("a", "b")
 
     screen = "a long, b long, about double"
-    ratio, floor = similarity / 100, similarity / 100 - 0.75 + SCREEN
-    tiles = _tiled(members.withColumn("comp", F.col("cid")), classes)
-    best = tiles.mapInArrow(_screened(ratio, floor, True), screen).groupBy("a").agg(F.max_by("b", F.struct("about", -F.col("b"))).alias("b"))
+    floor = similarity / 100 - 0.75 + SCREEN
+    tiles = _tiled(members.withColumn("comp", F.col("cid")), known)
+    best = tiles.mapInArrow(_screened(similarity, floor, True), screen).groupBy("a").agg(F.max_by("b", F.struct("about", -F.col("b"))).alias("b"))
     first = stored(verified(best), "links")
     joined = connected_components(first)
     comps = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = _tiled(comps.join(mixed, "key"), classes).mapInArrow(_screened(ratio, floor, False), screen)
+    odd = sets.mapInArrow(_odd_sketches, "cid long, odd binary")
+    rest = _tiled(comps.join(mixed, "key"), known.join(odd, "cid")).mapInArrow(_screened(similarity, floor, False), screen)
     second = stored(verified(rest), "links")
     links = first.unionByName(second)
     named = [classes.select(F.col("cid").alias(c), F.col("rep").alias(f"{c}r")) for c in "ab"]

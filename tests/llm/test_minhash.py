@@ -3,10 +3,12 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quire.llm import components as components_module
+from quire.llm import components as components_module, minhash
 from quire.llm.components import connected_components
 from quire.llm.minhash import near_duplicates, one_of_each
 from quire.llm.queries import op4_minhash_near_dedup
@@ -99,3 +101,14 @@ def test_components(spark, monkeypatch, left):
     got = {r["node"]: r["component"] for r in connected_components(df.repartition(7)).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_odd_sketches_never_overstate_a_difference():
+    rnd = np.random.default_rng(6)
+    sets = [rnd.choice(5000, rnd.integers(1, 900), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([s.view(np.int64).tolist() for s in sets])], names=["cid", "shingles"])
+    odd = minhash.OddSketches(next(minhash._odd_sketches(iter([batch]))).column(1))
+    x, y = np.triu_indices(40, 1)
+    got = odd.differing(x, y)
+    true = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(x, y, strict=True)])
+    assert (got <= true).all() and (got[true < 300] > 0.5 * true[true < 300]).all() and (odd.differing(x, x) == 0).all()
