@@ -192,7 +192,7 @@ def api_query(url: Column | str, name: str = "q") -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Entities in one pass: amp lt gt quot apos nbsp and numbers; numbers outside 32..127 give a blank; a ";" must follow within
     nine characters; others stay as they are."""
-    pieces = F.regexp_extract_all(_c(text), F.lit(r"(?s)&[^;]{0,8};|[^&]+|&"), F.lit(0))
+    pieces = F.regexp_extract_all(_c(text), F.lit(r"(?s)&(?:amp|lt|gt|quot|apos|nbsp|#[^;]{0,7});|[^&]+|&"), F.lit(0))
     named = F.create_map(*[F.lit(x) for kv in {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}.items() for x in kv])
 
     def one(p: Column) -> Column:
@@ -200,7 +200,7 @@ def decode_entities(text: Column | str) -> Column:
         hexa = F.regexp_extract(body, r"^#[xX]\s*([+-]?(?:0[xX])?[0-9A-Fa-f]*)", 1)
         hexa = F.regexp_replace(F.regexp_replace(hexa, r"^\+", ""), r"^(-?)0[xX]", "$1")
         deci = F.regexp_extract(body, r"^#\s*([+-]?\d*)", 1)
-        code = F.when(body.rlike("^#[xX]"), F.when(hexa.startswith("-"), F.lit(-1)).otherwise(F.conv(F.coalesce(F.nullif(hexa, F.lit("")), F.lit("0")), 16, 10).cast("long"))).otherwise(F.coalesce(deci.cast("long"), F.lit(0)))
+        code = F.when(body.rlike("^#[xX]"), F.when(hexa.startswith("-"), F.lit(-1)).otherwise(F.conv(F.coalesce(F.nullif(hexa, F.lit("")), F.lit("0")), 16, 10).try_cast("long"))).otherwise(F.coalesce(deci.try_cast("long"), F.lit(0)))
         number = F.when((code >= 32) & (code < 128), F.char(code)).otherwise(" ")
         known = F.when(body.startswith("#"), number).otherwise(F.coalesce(named[body], p))
         return F.when((F.length(p) >= 2) & p.startswith("&") & p.endswith(";"), known).otherwise(p)
