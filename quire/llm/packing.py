@@ -25,7 +25,7 @@ from quire.llm.arrays import buffers, chunks
 from quire.llm.bytebpe import Encoder, with_end
 from quire.llm.tables import stored
 
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 5_000
 
 
 class OpenBins:
