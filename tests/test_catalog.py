@@ -64,6 +64,7 @@ def test_build_write_load_and_read(spark, entries, tmp_path):
     assert [r["section"] for r in engine.desktop("o").collect()] == [1, 1] and engine.info("n").first()["article_count"] == 4
     assert S.SearchEngine(made.index, device_compat=True).exact("Foo  Bar").count() == 0 and engine.exact("Foo  Bar").count() == 1
     assert made.images.count() == 0
+    assert "StringStartsWith(title_key,foo)" in engine.prefix("Foo")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_colliding_and_cut_titles(spark):
@@ -221,5 +222,5 @@ def test_queries_equal_sql(spark, tiny, duck, name):
     assert sorted(key([r[c] for c in sorted(columns)]) for r in rows) == sorted(key([r[columns.index(c)] for c in sorted(columns)]) for r in found.fetchall())
 
 
-def test_flagship_uses_its_filter(spark, tiny):
+def test_flagship(spark):
     assert __spark_entry__.entry(spark).columns == ["article_id", "title"]
