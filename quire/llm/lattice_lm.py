@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.llm.arrays import Prefix, mix, words as words_of, buffers, chunks
 from quire.llm.tables import forget, stored
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 ROUNDS = 2
 SMOOTHING = 0.1
 MARK = "▁"
