@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import lattice, lattice_lm, licenses, minhash, packing, quality, rans, secrets, substrings, tokens
+from quire.llm import lattice, lattice_lm, licenses, minhash, oracles, packing, quality, rans, secrets, substrings, tokens
 from quire.llm.tables import read, shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,4 +70,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op2_lattice_near_dedup": oracles.LATTICE_NEAR_DEDUP,
+        "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
+    }
