@@ -10,8 +10,10 @@ Nulls count as empty texts here; callers that must tell them apart look at the c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +153,19 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, .. (length[0] of them), then those of start[1], ..."""
     total = int(length.sum())
     return np.arange(total) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after which a worker gives freed memory back, as the same worker runs the tasks of later stages."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return run

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import Prefix, Words, mix, word_chunks
+from quire.llm.arrays import Prefix, Words, mix, tidy, word_chunks
 from quire.llm.components import connected_components
 from quire.llm.tables import forget, stored
 
@@ -262,7 +262,7 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
     kept (whether it is its component's id)."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_signed(shingle, "id"), f"id {kind}, n long, k1 long, k2 long, sig binary"), "signatures")
+    signed = stored(source.mapInArrow(tidy(_signed(shingle, "id")), f"id {kind}, n long, k1 long, k2 long, sig binary"), "signatures")
     real = signed.where("n > 0 and id is not null")
     classes = real.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -272,7 +272,7 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
     full = bucketed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(bucketed.join(full, "key"), "members")
     needed = classes.join(members.select("cid").distinct(), "cid").select("cid", F.col("rep").alias("id"), "k1", "k2")
-    sets = source.join(needed, "id").select("cid", "text", "k1", "k2").mapInArrow(_full_sets(shingle), "cid long, shingles array<long>")
+    sets = source.join(needed, "id").select("cid", "text", "k1", "k2").mapInArrow(tidy(_full_sets(shingle)), "cid long, shingles array<long>")
     sets = stored(sets.groupBy("cid").agg(F.max("shingles").alias("shingles")), "sets")
     known = classes.select("cid", "n", "sig")
 
@@ -285,13 +285,13 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
     screen = "a long, b long, about double"
     floor = similarity / 100 - 0.75 + SCREEN
     tiles = _tiled(members.withColumn("comp", F.col("cid")), known)
-    best = tiles.mapInArrow(_screened(similarity, floor, True), screen).groupBy("a").agg(F.max_by("b", F.struct("about", -F.col("b"))).alias("b"))
+    best = tiles.mapInArrow(tidy(_screened(similarity, floor, True)), screen).groupBy("a").agg(F.max_by("b", F.struct("about", -F.col("b"))).alias("b"))
     first = stored(verified(best), "links")
     joined = connected_components(first)
     comps = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    odd = sets.mapInArrow(_odd_sketches, "cid long, odd binary")
-    rest = _tiled(comps.join(mixed, "key"), known.join(odd, "cid")).mapInArrow(_screened(similarity, floor, False), screen)
+    odd = sets.mapInArrow(tidy(_odd_sketches), "cid long, odd binary")
+    rest = _tiled(comps.join(mixed, "key"), known.join(odd, "cid")).mapInArrow(tidy(_screened(similarity, floor, False)), screen)
     second = stored(verified(rest), "links")
     links = first.unionByName(second)
     named = [classes.select(F.col("cid").alias(c), F.col("rep").alias(f"{c}r")) for c in "ab"]

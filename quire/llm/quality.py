@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import SPACE, Prefix, Words, buffers, mix, window_start, words, word_chunks
+from quire.llm.arrays import SPACE, Prefix, Words, buffers, mix, tidy, window_start, words, word_chunks
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -167,7 +167,7 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()]), pa.array([model[1]]), pa.array([model[2]])], names=["weights", "slope", "intercept"])
 
-    got = rows.repartition(1).mapInArrow(train, "weights binary, slope double, intercept double").collect()
+    got = rows.repartition(1).mapInArrow(tidy(train), "weights binary, slope double, intercept double").collect()
     return (np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["slope"], got[0]["intercept"]) if got else None
 
 
@@ -202,7 +202,7 @@ def quality(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     names = [id_col, "n_words", *BASE, "base_failed", "kept", "probability"]
     source = df.select(F.col(id_col), F.col(text_col))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in ("n_words", *BASE)) + ", base_failed boolean, kept boolean, probability double")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in ("n_words", *BASE)) + ", base_failed boolean, kept boolean, probability double")
 
 
 def only_kept(df: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -214,4 +214,4 @@ def only_kept(df: DataFrame, model, text_col: str = "text") -> DataFrame:
             kept = [k for *_, k in judge(batch.column(batch.schema.get_field_index(text_col)))]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quire.llm.arrays import tidy
+
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -167,7 +169,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     source = df.select(F.col(id_col), F.col(text_col))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -183,4 +185,4 @@ def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_
                     batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.arrays import Prefix, Words, mix, ragged, window_start, word_chunks
+from quire.llm.arrays import Prefix, Words, mix, ragged, tidy, window_start, word_chunks
 from quire.llm.tables import forget, stored
 
 MIN_WORDS = 35
@@ -109,11 +109,11 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> D
     if not 1 <= width <= 62:
         raise ValueError("windows of an anchor must fit a 64-bit mask")
     texts = keyed.select("text", "k1", "k2")
-    anchors = texts.mapInArrow(_anchors(min_words, gram), "k1 long, k2 long, place int, anchor long")
+    anchors = texts.mapInArrow(tidy(_anchors(min_words, gram)), "k1 long, k2 long, place int, anchor long")
     shared = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     places = anchors.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     found = texts.join(places, ["k1", "k2"]).select("text", "k1", "k2", "places")
-    extended = stored(found.mapInArrow(_extended(min_words, gram), "k1 long, k2 long, first int, anchor long, stretch long, windows array<long>"), "seeds")
+    extended = stored(found.mapInArrow(tidy(_extended(min_words, gram)), "k1 long, k2 long, first int, anchor long, stretch long, windows array<long>"), "seeds")
     forget(shared)
     stretches = stored(extended.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretches")
     several = stretches.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -152,7 +152,7 @@ def without_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM,
     names = [id_col, "n_words", "n_removed", "kept_text", "spans"]
     kind = source.schema[0].dataType.simpleString()
     joined = source.join(marks, ["k1", "k2"], "left").select("id", "text", "marks")
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string, spans array<array<long>>")
+    return joined.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string, spans array<array<long>>")
 
 
 def _removed(own: list[bytes], marks: pa.Array | None, min_words: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def cut_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_
                 rows = rows.set_column(n, rows.schema.field(n), pa.array([None if t is None else len(t) for t in texts], rows.schema.field(n).type))
             yield rows
 
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(tidy(run), df.schema)
 
 
 def _cut(text: str | None, marks: pa.Array | None, min_words: int) -> str | None:

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch for Python while a table is written: batches of whole texts take memory on both sides of the pipe.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
     sc = spark.sparkContext
@@ -27,7 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    rows = spark.conf.get(BATCH_ROWS[0])
+    spark.conf.set(*BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS[0], rows)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
