@@ -18,8 +18,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _powers: dict[int, np.ndarray] = {}
@@ -46,7 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U), 7)
+_BYTE, _OTHER_BYTE = (mix(np.arange(1, 257, dtype=_U), salt) for salt in (7, 8))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -56,11 +55,11 @@ LOWER[65:91] += 32
 class Prefix:
     """Prefix sums that give the hash of any range of a symbol sequence."""
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, base: int = BASE):
         self.n = len(symbols)
         self.sums = np.zeros(self.n + 1, _U)
-        np.cumsum(symbols * powers(BASE, self.n), out=self.sums[1:])
-        self.inverse = powers(BASE_INVERSE, self.n + 1)
+        np.cumsum(symbols * powers(base, self.n), out=self.sums[1:])
+        self.inverse = powers(pow(base, -1, 1 << 64), self.n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -80,6 +79,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # by text
     hashes: np.ndarray  # by word
+    others: np.ndarray | None = None  # by word, of an independent hash, where asked for
 
     @property
     def counts(self) -> np.ndarray:
@@ -89,8 +89,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i+1]]; lower folds A-Z before hashing."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, twice: bool = False) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i+1]]; lower folds A-Z before hashing, twice gives a second hash."""
     base, data = offsets[0], data[offsets[0] : offsets[-1]]
     offsets = offsets - base
     if lower:
@@ -106,8 +106,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     last = bounds[bounds > 0] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = mix(Prefix(_BYTE[data]).hash(start, end) + (end - start).astype(_U))
-    return Words(data, start, end, np.searchsorted(start, offsets), hashes)
+    size = (end - start).astype(_U)
+    hashes = mix(Prefix(_BYTE[data]).hash(start, end) + size)
+    others = mix(Prefix(_OTHER_BYTE[data], OTHER_BASE).hash(start, end) + size, 1) if twice else None
+    return Words(data, start, end, np.searchsorted(start, offsets), hashes, others)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +134,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def slices(batch: pa.RecordBatch, text: int = 0, limit: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts have at most limit bytes together, or one row."""
+    for i, j in chunks(buffers(batch.column(text))[1], limit):
+        yield batch.slice(i, j - i)
+
+
+def word_chunks(column: pa.Array, lower: bool = False, twice: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first text, end text, their words), chunk by chunk, over whole texts."""
     data, offsets = buffers(column)
     for i, j in chunks(offsets):
-        yield i, j, words(data, offsets[i : j + 1], lower)
+        yield i, j, words(data, offsets[i : j + 1], lower, twice)
 
 
 def window_start(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

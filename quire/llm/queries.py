@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import lattice, lattice_lm, licenses, minhash, oracles, packing, quality, rans, secrets, substrings, tokens
-from quire.llm.tables import read, shared_folder
+from quire.llm.tables import fresh_path, read
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -47,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/quire/tokens-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "tokens")
     rans.write_token_files(read(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
     return rans.read_token_files(spark, path)
 

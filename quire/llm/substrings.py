@@ -1,30 +1,35 @@
 """Substring dedup by seed and extend: repeated runs of min_words words are found through winnowed anchors.
 
 Every window of min_words consecutive words has one anchor, its least n-gram hash (the leftmost on ties), which depends on the
-window's words alone, so equal windows meet at equal anchors.  A seed is one anchor of one document with the stretch of
-text that all windows of that anchor cover, extended both ways from it.  Seeds are joined on anchors:
+window's words alone, so equal windows meet at equal anchors.  A seed is an anchor in a text; its context is the words of all
+windows that have this anchor, up to min_words - gram on either side.  Anchors join texts, and matches are extended from them:
 
 1. anchors found once in the corpus are dropped (counts are combined before the shuffle);
-2. seeds whose whole extended stretch occurs again are repeated throughout, one row for each distinct stretch;
-3. of the other seeds of a shared anchor, each window is held against the windows of the anchor's distinct stretches,
-   which tells how far a match with any of them extends to either side.
+2. contexts that occur again as a whole are repeated to both ends, and one of each stands for its copies from here on;
+3. the distinct contexts of an anchor are extended by half of the words that a match still lacks: of two sides that share all of
+   them, one shares at least half.  A context that no other follows to the left or to the right is dropped;
+4. what is left is extended to both ends, from each possible place of the anchor in a match; contexts that agree with another
+   there are repeated in that window.
 
-Windows that overlap or touch make up the maximal repeats.  No pairs of documents are made: an anchor that a third of all
-documents share costs one row for each of them, and joins on it can be split.
+Windows that overlap or touch make up the maximal repeats.  At each step equal extensions meet by a hash of their words, of
+128 bits where a match is decided.  No pairs of texts are made and no group is gathered: counts are combined before shuffles, and
+joins on an anchor that a third of all texts share can be split.  Rows alike in id and text cost as much as other rows.
 
 A document is a row; rows alike in id and text are copies of each other.  Null texts have no words and give the empty
-text; null ids are kept; an empty table gives an empty result; other columns are ignored.
+text; null ids are kept; an empty table gives an empty result; other columns are ignored.  Texts of any length are worked on
+whole, 1 MiB or one text at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.arrays import Prefix, Words, mix, ragged, tidy, window_start, word_chunks
+from quire.llm.arrays import OTHER_BASE, Prefix, Words, mix, ragged, slices, tidy, window_start, word_chunks
 from quire.llm.tables import forget, stored
 
 MIN_WORDS = 35
@@ -45,50 +50,85 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def seeds(w: Words, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
-    """By seed: text, place of the anchor in all words, first window (place in all words), number of windows, anchor hash."""
+@dataclass
+class Seeds:
+    """Seeds of consecutive texts, in order; places count all their words."""
+
+    doc: np.ndarray
+    at: np.ndarray  # the anchor
+    first: np.ndarray  # the first window, where the context begins
+    n: np.ndarray  # windows
+    anchor: np.ndarray
+
+
+def seeds(w: Words, min_words: int, gram: int) -> Seeds:
     grams = mix(Prefix(w.hashes).grams(gram))
     start, doc = window_start(w.counts, min_words)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return Seeds(*(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
     at = sliding_argmin(grams, min_words - gram + 1)[start]
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], at[first], start[first], np.diff(np.append(first, len(start))), grams[at[first]]
+    return Seeds(doc[first], at[first], start[first], np.diff(np.append(first, len(start))), grams[at[first]])
+
+
+class Runs:
+    """128-bit hashes of runs of words."""
+
+    def __init__(self, w: Words):
+        self.lanes = Prefix(w.hashes), Prefix(w.others, OTHER_BASE)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        return [mix(x.hash(start, end) + (end - start).astype(np.uint64), 3 + k).view(np.int64) for k, x in enumerate(self.lanes)]
+
+
+def half(min_words: int, gram: int) -> int:
+    """Words that a match has at least on one side of its anchor."""
+    return -(-(min_words - gram) // 2)
 
 
-def _anchors(min_words: int, gram: int):
+_SEEDS = "k1 long, k2 long, first int, n int, anchor long, s1 long, s2 long, lefts int, rights int"
+
+
+def _seeded(min_words: int, gram: int):
+    """Seeds of texts (text, k1, k2): first window and number of windows, the context's hash, and short hashes of the anchor with
+    half a match's further words on either side, null where the context ends before."""
+    step = half(min_words, gram)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, w in word_chunks(batch.column(0)):
-                doc, at, _, _, anchor = seeds(w, min_words, gram)
-                rows = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(anchor.view(np.int64))], names=["k1", "k2", "place", "anchor"])
+            for i, _, w in word_chunks(batch.column(0), twice=True):
+                s, runs = seeds(w, min_words, gram), Runs(w)
+                end = s.first + s.n - 1 + min_words
+                context, sides = runs.hash(s.first, end), []
+                for begin, stop in ((s.at - step, s.at + gram), (s.at, s.at + gram + step)):
+                    inside = (begin >= s.first) & (stop <= end)
+                    side = runs.lanes[0].hash(np.where(inside, begin, 0), np.where(inside, stop, 0))
+                    sides.append(pa.array((mix(side, 6) >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~inside))
+                rows = pa.array(s.doc + i)
+                first = pa.array((s.first - w.first[s.doc]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), first, pa.array(s.n.astype(np.int32)), pa.array(s.anchor.view(np.int64)), *map(pa.array, context), *sides], names=["k1", "k2", "first", "n", "anchor", "s1", "s2", "lefts", "rights"])
 
     return run
 
 
 def _extended(min_words: int, gram: int):
-    """Seeds of the given places with their stretch's hash and their windows' hashes."""
+    """For texts and the first windows of some of their seeds: context, place k in it and hash of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
+            wanted = batch.column(1)
             counts, flat = np.diff(wanted.offsets.to_numpy()), wanted.flatten().to_numpy()
             owner = np.repeat(np.arange(len(counts)), counts)
-            for i, j, w in word_chunks(batch.column(0)):
-                doc, at, start, n, anchor = seeds(w, min_words, gram)
+            for i, j, w in word_chunks(batch.column(0), twice=True):
+                s, runs = seeds(w, min_words, gram), Runs(w)
                 mine = (owner >= i) & (owner < j)
-                keep = np.isin(at, w.first[owner[mine] - i] + flat[mine])
-                doc, start, n, anchor = doc[keep], start[keep], n[keep], anchor[keep]
-                prefix = Prefix(w.hashes)
-                stretch = mix(prefix.hash(start, start + n - 1 + min_words) + n.astype(np.uint64), 3)
-                windows = ragged(start, n)
-                hashes = mix(prefix.hash(windows, windows + min_words), 4)
-                rows = pa.array(doc + i)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), lists], names=["k1", "k2", "first", "anchor", "stretch", "windows"])
+                keep = np.isin(s.first, w.first[owner[mine] - i] + flat[mine])
+                first, n = s.first[keep], s.n[keep]
+                context = runs.hash(first, first + n - 1 + min_words)
+                at, k = ragged(first, n), ragged(np.zeros(len(n), np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)) for x in context] + [pa.array(k.astype(np.int32)), *map(pa.array, runs.hash(at, at + min_words))], names=["s1", "s2", "k", "w1", "w2"])
 
     return run
 
@@ -103,30 +143,46 @@ def covered(n_words: int, first: np.ndarray, mask: np.ndarray, min_words: int) -
     return np.cumsum(edge[:-1]) > 0
 
 
+def _followed(contexts: DataFrame) -> DataFrame:
+    """Those of the distinct contexts of an anchor that another one follows to the left or to the right by half a match."""
+    for side in ("lefts", "rights"):
+        met = contexts.where(f"{side} is not null").groupBy("anchor", side).agg(F.count("*").alias("m")).where("m > 1").select("anchor", side, F.lit(True).alias(f"on_{side}"))
+        contexts = contexts.join(met, ["anchor", side], "left")
+    return contexts.where("on_lefts or on_rights").select("k1", "k2", "first")
+
+
 def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """For texts keyed by (k1, k2): a list of (first, mask) whose set bits are repeated windows; texts without any are left out."""
     width = min_words - gram + 1
     if not 1 <= width <= 62:
         raise ValueError("windows of an anchor must fit a 64-bit mask")
     texts = keyed.select("text", "k1", "k2")
-    anchors = texts.mapInArrow(tidy(_anchors(min_words, gram)), "k1 long, k2 long, place int, anchor long")
-    shared = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    places = anchors.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    found = texts.join(places, ["k1", "k2"]).select("text", "k1", "k2", "places")
-    extended = stored(found.mapInArrow(tidy(_extended(min_words, gram)), "k1 long, k2 long, first int, anchor long, stretch long, windows array<long>"), "seeds")
-    forget(shared)
-    stretches = stored(extended.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretches")
-    several = stretches.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    window = stretches.join(several, "anchor").select("anchor", "stretch", "n", F.posexplode("windows").alias("k", "window"))
-    again = window.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window")
-    part = window.where("n = 1").join(again, ["anchor", "window"]).groupBy("anchor", "stretch").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
-    whole = stretches.where("n > 1").select("anchor", "stretch", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
-    masks = stored(part.unionByName(whole), "masks")
-    return extended.join(masks, ["anchor", "stretch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    every = stored(texts.mapInArrow(tidy(_seeded(min_words, gram)), _SEEDS), "seeds")
+    shared = stored(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
+    met = stored(every.join(shared, "anchor", "left_semi"), "shared-seeds")
+    forget(every, shared)
+    one = F.min(F.struct("k1", "k2", "first"))
+    contexts = met.groupBy("s1", "s2").agg(F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", "anchor", "lefts", "rights")], one.alias("one"))
+    contexts = stored(contexts.select("*", "one.*").drop("one"), "contexts")
+    several = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    places = _followed(contexts.join(several, "anchor", "left_semi")).groupBy("k1", "k2").agg(F.collect_set("first").alias("places"))
+    found = texts.join(places, ["k1", "k2"]).select("text", "places")
+    windows = stored(found.mapInArrow(tidy(_extended(min_words, gram)), "s1 long, s2 long, k int, w1 long, w2 long"), "windows")
+    again = windows.groupBy("w1", "w2").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    again = again.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("w1", "w2")
+    part = windows.join(again, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
+    whole = contexts.where("copies > 1").select("s1", "s2", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    masks = stored(part.unionByName(whole).groupBy("s1", "s2").agg(F.expr("bit_or(mask)").alias("mask")), "masks")
+    forget(windows, contexts)
+    marks = met.join(masks, ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    marks = stored(marks, "marks")
+    forget(met, masks)
+    return marks
 
 
 def keys(id_col: Column, text_col: Column) -> list[Column]:
-    return [F.xxhash64(text_col).alias("k1"), F.xxhash64(id_col, text_col).alias("k2")]
+    """128 bits by which alike rows are known."""
+    return [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), id_col, text_col).alias("k2")]
 
 
 def without_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +192,7 @@ def without_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM,
     marks = repeats(source, min_words, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts, marks = batch.column(1).to_pylist(), batch.column(2)
             n_words, n_removed, kept, spans = [], [], [], []
             for d, text in enumerate(texts):
@@ -164,13 +220,15 @@ def _removed(own: list[bytes], marks: pa.Array | None, min_words: int) -> np.nda
 def cut_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with the repeats cut out of its texts; what is left keeps its own white space. All columns stay, length_col
     (if any) follows the new text; a text that is all repeats becomes empty."""
-    k1, k2 = (F.xxhash64(text_col), F.xxhash64(id_col, text_col))
-    marks = repeats(df.select(F.col(text_col).alias("text"), k1.alias("k1"), k2.alias("k2")), min_words, gram)
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    own = keys(F.col(id_col), F.col(text_col))
+    marks = repeats(df.select(F.col(text_col).alias("text"), *own), min_words, gram)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *own)
     joined = packed.join(marks, ["k1", "k2"], "left").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], F.col("marks").alias("quire marks"))
 
+    at = df.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             last = batch.num_columns - 1
             marks, rows = batch.column(last), batch.select(range(last))
             k = rows.schema.get_field_index(text_col)

@@ -63,3 +63,32 @@ def test_cut_keeps_columns_and_white_space(spark):
     df = spark.createDataFrame([(1, f"one\n{shared}  two\n", "x", 5), (2, f"{shared}\nthree", "y", 5), (3, None, None, None)], "doc_id long, text string, marks string, n_chars long")
     got = cut_repeats(df, 6, 2).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "one\ntwo\n", "x", 8), (2, "three", "y", 5), (3, None, None, None)]
+
+
+def test_alike_rows_hot_anchors_and_columns_that_clash(spark):
+    rnd = random.Random(3)
+    line = " ".join(f"h{i}" for i in range(22))  # holds an anchor that most texts share, and no match by itself
+    texts = [f"{rnd.choice('ab')} l{rnd.randrange(3)} {line} r{rnd.randrange(3)} " + " ".join(f"x{rnd.randrange(5)}" for _ in range(20)) for _ in range(300)]
+    texts += [" ".join(f"u{k}" for k in range(90))] * 2
+    rows = [(i, t, "x", 1, 2, "y") for i, t in enumerate(texts)] + [(7, texts[7], "x", 1, 2, "y")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, n int, anchor int, s1 string")
+    want = brute_force([r[1] for r in rows], 35)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in without_repeats(df).collect())
+    assert got == Counter((r[0], *w) for r, w in zip(rows, want, strict=True))
+    assert sum(m for _, m, _ in want) > 0
+    cut = cut_repeats(df, length_col=None)
+    assert cut.columns == df.columns
+    assert Counter((r["doc_id"], " ".join(r["text"].split())) for r in cut.collect()) == Counter((r[0], w[2]) for r, w in zip(rows, want, strict=True))
+
+
+def test_nothing_is_left_in_the_folder(spark):
+    import os
+
+    from quire.llm.tables import scratch
+
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")
+    with scratch(spark) as folder:
+        assert sum(r["n_removed"] for r in without_repeats(df).collect()) == 100
+        assert os.path.isdir(folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://"))
