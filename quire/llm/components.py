@@ -56,7 +56,8 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node but the least of each component, of edges (a, b) of any orderable type; component is the
-    least node reachable. Nulls and loops are left out. Each step is written and read again, and the one before it deleted."""
+    least node reachable. Nulls and loops are left out. Each step is written and read again, and the one before it deleted; the last is
+a stored table, which forget() deletes."""
     kind = edges.schema["a"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
     now = stored(edges.select("a", "b").where("a <> b").mapInArrow(_forests, schema), "edges")
@@ -74,4 +75,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             forget(now)
             now = after
         if after is None or found["n"] <= LEFT:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.stored_path = now.stored_path
+            return out

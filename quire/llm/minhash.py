@@ -6,10 +6,10 @@ ROWS coordinates put texts of equal shingle sets (one class, one row) into bucke
 in no bucket once in 200,000 pairs.  Within buckets, signatures screen pairs (a pair at 0.75 fails SCREEN once in ten
 million); only screened pairs move, and all links are confirmed on the full shingle sets.
 
-Not every link is needed for components, so they are looked for in two rounds: first each class and its best screened
-partner of a lower number, which joins up large groups of near copies with a pair for each class; then all screened pairs that
-are still in different components.  No link between components can be missed by that.  The second round also screens by
-odd sketches, a bit for the parity of each of 4 to 8 bins a shingle: as many bits as differ, so many shingles differ at
+Not every link is needed for components, so they are looked for in three rounds: first each class and the most similar of the
+leaders (least numbers) of its buckets, which joins up most of a large group of near copies at one comparison for each member; then
+each class and its best screened partner of a lower number in another component; then all screened pairs that are still in
+different components.  No link between components can be missed by that.  The last round also screens by odd sketches, a bit for the parity of each of 4 to 8 bins a shingle: as many bits as differ, so many shingles differ at
 least, so this drops no link, and of pairs without one hardly any is left to verify.  Large buckets are split in tiles,
 which hold each of their pairs once.
 
@@ -193,12 +193,14 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield arrays(pa.Table.from_batches(held))
 
 
-def _pairs(key, t1, t2, block, limit: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of each run, first before second, some at a time; in a tile of two blocks only pairs across them."""
+def _pairs(key, t1, t2, block, comp, limit: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of each run that lie in different components (rows of one follow each other), first before second, some
+    at a time; in a tile of two blocks only pairs across them."""
     bounds = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]), [True]]))
-    size = np.diff(bounds)
-    rank = np.arange(len(key)) - np.repeat(bounds[:-1], size)
-    begin = np.repeat(bounds[:-1], size)
+    begin = np.repeat(bounds[:-1], np.diff(bounds))
+    same = np.zeros(len(key), bool)
+    same[1:] = (comp[1:] == comp[:-1]) & (begin[1:] == begin[:-1])
+    rank = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) - begin  # rows before its own component's
     total = np.cumsum(rank)
     a = 0
     while a < len(key):
@@ -211,6 +213,21 @@ def _pairs(key, t1, t2, block, limit: int = 1 << 15) -> Iterator[tuple[np.ndarra
         a = b
 
 
+def _estimated(floor: float):
+    """Pairs (a, b, signatures of both) whose estimated similarity is floor or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, COORDINATES) for k in (2, 3))
+                about = (one == two).mean(axis=1)
+                kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(about)], names=["a", "b", "about"])
+                yield kept.filter(pa.array(about >= floor))
+
+    return run
+
+
 def _screened(similarity: int, floor: float, best_only: bool):
     """Pairs of a bucket with estimated similarity over SCREEN, in the first band that they share."""
 
@@ -218,8 +235,8 @@ def _screened(similarity: int, floor: float, best_only: bool):
         for key, t1, t2, block, band, cid, n, comp, sig, odd in _groups(batches, ("key", "t1", "t2", "block", "band", "cid", "n", "comp")):
             bands = sig.view(np.uint64)
             partner, score = np.zeros(len(cid), np.int64), np.full(len(cid), -1.0)
-            for x, y in _pairs(key, t1, t2, block):
-                fits = (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (comp[x] != comp[y])
+            for x, y in _pairs(key, t1, t2, block, comp):
+                fits = 100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
                 x, y = x[fits], y[fits]
                 same = sig[x] == sig[y]
                 about = same.mean(axis=1) if len(x) else np.zeros(0)
@@ -254,7 +271,7 @@ def _tiled(members: DataFrame, known: DataFrame) -> DataFrame:
     rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumns({"t1": F.least("block", "other"), "t2": F.greatest("block", "other")}).drop("other", "m")
     rows = rows.join(known, "cid")
-    return rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    return rows.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "comp")
 
 
 def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,30 +299,54 @@ def near_duplicates(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE,
         both = both.select("a", "b", F.size(F.array_intersect("as", "bs")).cast("long").alias("i"), (F.size("as") + F.size("bs")).cast("long").alias("s"))
         return both.where(100 * F.col("i") >= similarity * (F.col("s") - F.col("i"))).select("a", "b")
 
+    def grown(joined: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with comp, theirs."""
+        comps = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return comps.join(mixed, "key")
+
     screen = "a long, b long, about double"
     floor = similarity / 100 - 0.75 + SCREEN
-    tiles = _tiled(members.withColumn("comp", F.col("cid")), known)
-    best = tiles.mapInArrow(tidy(_screened(similarity, floor, True)), screen).groupBy("a").agg(F.max_by("b", F.struct("about", -F.col("b"))).alias("b"))
-    first = stored(verified(best), "links")
+    best_partner = F.max_by("b", F.struct("about", -F.col("b"))).alias("b")
+    leaders = members.groupBy("key").agg(F.min("cid").alias("b"))
+    led = members.join(leaders, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    for c in "ab":
+        led = led.join(known.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sig").alias(f"{c}sig")), c)
+    near = led.where(100 * F.least("an", "bn") >= similarity * F.greatest("an", "bn")).select("a", "b", "asig", "bsig")
+    near = near.mapInArrow(tidy(_estimated(floor)), screen).groupBy("a").agg(best_partner)
+    stars = stored(verified(near), "links")
+    joined = connected_components(stars)
+    best = _tiled(grown(joined), known).mapInArrow(tidy(_screened(similarity, floor, True)), screen).groupBy("a").agg(best_partner)
+    first = stored(stars.unionByName(verified(best)), "links")
+    forget(stars, joined)
     joined = connected_components(first)
-    comps = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    mixed = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     odd = sets.mapInArrow(tidy(_odd_sketches), "cid long, odd binary")
-    rest = _tiled(comps.join(mixed, "key"), known.join(odd, "cid")).mapInArrow(tidy(_screened(similarity, floor, False)), screen)
+    rest = _tiled(grown(joined), known.join(odd, "cid")).mapInArrow(tidy(_screened(similarity, floor, False)), screen)
     second = stored(verified(rest), "links")
     links = first.unionByName(second)
     named = [classes.select(F.col("cid").alias(c), F.col("rep").alias(f"{c}r")) for c in "ab"]
     edges = links.join(named[0], "a").join(named[1], "b").select(F.col("ar").alias("a"), F.col("br").alias("b"))
     copies = real.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(edges.unionByName(copies))
-    forget(members, sets, first, second, classes)
+    forget(members, sets, joined, first, second, classes)
     out = signed.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(df: DataFrame, similarity: int = 75, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each group of near duplicates, and of rows that share an id one; all columns stay."""
-    kept = near_duplicates(df, similarity, shingle, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("quire id")).distinct()
-    stays = df.join(kept, F.col(id_col) == F.col("quire id"), "left_semi").dropDuplicates([id_col])
-    return stays.unionByName(df.where(F.col(id_col).isNull()))
+    """df with one document of each group of near duplicates; all columns stay.
+
+    A document is what rows alike in id and text have in common, so rows that share an id but not the text are documents of their own,
+    with links of their own. Of a group the least id stays (null ids come last, equal ids in the order of a hash of their texts), and
+    of alike rows the one whose other columns have the least hash. Empty and null texts are near copies of nothing.
+    """
+    one, two = F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
+    key = F.unhex(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (two, one)]))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    found = near_duplicates(rows.select("key", "text"), similarity, shingle, "key", "text").select("key", "component_id").distinct()
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+    single = rows.groupBy("key").agg(F.min_by("row", order).alias("row"), F.min("id").alias("id"))
+    named = single.select("key", "id").join(found, "key")
+    stays = named.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key")).select("key")
+    return single.join(stays, "key", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -88,7 +88,17 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     got = Counter(map(tuple, near_duplicates(df).collect()))
     assert got == Counter({(None, 3, None, True): 1, (3, 3, 2, False): 2, (2, 3, 2, True): 1, (2, 5, 2, True): 1, (9, 0, 9, True): 1})
     assert near_duplicates(df.limit(0)).count() == 0
-    assert Counter(r["doc_id"] for r in one_of_each(df).collect()) == Counter({None: 1, 2: 1, 9: 1})
+    assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_loses_no_text(spark):
+    t, u = "a b c d e f g", "other words that are of no group at all"
+    rows = [(None, t, 1), (3, t, 2), (3, t, 3), (2, t, 4), (2, u, 5), (9, None, 6), (9, None, 7), (9, "", 8), (None, u + " x y z w v", 9), (None, None, 10), (8, u + " x y z w v", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(df.repartition(3)).collect()), key=str)
+    assert got == sorted([(2, t), (2, u), (9, None), (9, ""), (None, None), (8, u + " x y z w v")], key=str)
+    assert one_of_each(df).columns == df.columns
+    assert sorted(map(str, one_of_each(df).collect())) == sorted(map(str, one_of_each(df.repartition(5, "key")).collect()))
 
 
 @pytest.mark.parametrize("left", [10, 10**6])
