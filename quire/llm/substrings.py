@@ -144,11 +144,15 @@ def covered(n_words: int, first: np.ndarray, mask: np.ndarray, min_words: int) -
 
 
 def _followed(contexts: DataFrame) -> DataFrame:
-    """Those of the distinct contexts of an anchor that another one follows to the left or to the right by half a match."""
-    for side in ("lefts", "rights"):
-        met = contexts.where(f"{side} is not null").groupBy("anchor", side).agg(F.count("*").alias("m")).where("m > 1").select("anchor", side, F.lit(True).alias(f"on_{side}"))
-        contexts = contexts.join(met, ["anchor", side], "left")
-    return contexts.where("on_lefts or on_rights").select("k1", "k2", "first")
+    """(k1, k2, places): those of the distinct contexts that another one of their anchor follows to the left or to the right by half
+    a match.  Counts are stored before they are joined, so that Spark can split the join's hot keys."""
+    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "several")
+    sides = F.expr("inline(array(struct(0 AS side, lefts AS run), struct(1 AS side, rights AS run)))")
+    sided = stored(contexts.join(several, "anchor", "left_semi").select("k1", "k2", "first", "anchor", sides).where("run is not null"), "sides")
+    met = stored(sided.groupBy("anchor", "side", "run").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "met-sides")
+    places = stored(sided.join(met, ["anchor", "side", "run"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("first").alias("places")), "places")
+    forget(several, sided, met)
+    return places
 
 
 def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -164,16 +168,15 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> D
     one = F.min(F.struct("k1", "k2", "first"))
     contexts = met.groupBy("s1", "s2").agg(F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", "anchor", "lefts", "rights")], one.alias("one"))
     contexts = stored(contexts.select("*", "one.*").drop("one"), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    places = _followed(contexts.join(several, "anchor", "left_semi")).groupBy("k1", "k2").agg(F.collect_set("first").alias("places"))
+    places = _followed(contexts)
     found = texts.join(places, ["k1", "k2"]).select("text", "places")
     windows = stored(found.mapInArrow(tidy(_extended(min_words, gram)), "s1 long, s2 long, k int, w1 long, w2 long"), "windows")
     again = windows.groupBy("w1", "w2").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
-    again = again.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("w1", "w2")
+    again = stored(again.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("w1", "w2"), "met-windows")
     part = windows.join(again, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
     whole = contexts.where("copies > 1").select("s1", "s2", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = stored(part.unionByName(whole).groupBy("s1", "s2").agg(F.expr("bit_or(mask)").alias("mask")), "masks")
-    forget(windows, contexts)
+    forget(windows, contexts, places, again)
     marks = met.join(masks, ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     marks = stored(marks, "marks")
     forget(met, masks)
