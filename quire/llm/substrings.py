@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.arrays import OTHER_BASE, Prefix, Words, mix, ragged, slices, tidy, window_start, word_chunks
-from quire.llm.tables import forget, stored
+from quire.llm.tables import stored
 
 MIN_WORDS = 35
 GRAM = 8
@@ -143,44 +143,46 @@ def covered(n_words: int, first: np.ndarray, mask: np.ndarray, min_words: int) -
     return np.cumsum(edge[:-1]) > 0
 
 
-def _followed(contexts: DataFrame) -> DataFrame:
-    """(k1, k2, places): those of the distinct contexts that another one of their anchor follows to the left or to the right by half
-    a match.  Counts are stored before they are joined, so that Spark can split the join's hot keys."""
-    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "several")
-    sides = F.expr("inline(array(struct(0 AS side, lefts AS run), struct(1 AS side, rights AS run)))")
-    sided = stored(contexts.join(several, "anchor", "left_semi").select("k1", "k2", "first", "anchor", sides).where("run is not null"), "sides")
-    met = stored(sided.groupBy("anchor", "side", "run").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "met-sides")
-    places = stored(sided.join(met, ["anchor", "side", "run"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("first").alias("places")), "places")
-    forget(several, sided, met)
-    return places
+def _both(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) by the keys' complements.  Counts come out of their shuffle dealt by the keys already; by other
+    values both sides are shuffled for the join itself, and only such shuffles can Spark split where a key is hot."""
+    other = [f"not {k}" for k in keys]
+    named = right.select(*[F.bitwise_not(k).alias(o) for k, o in zip(keys, other, strict=True)], *[c for c in right.columns if c not in keys])
+    return left.withColumns({o: F.bitwise_not(k) for k, o in zip(keys, other, strict=True)}).join(named, other, how).drop(*other)
+
+
+def _frequent(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur more than once."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1").select(*keys)
 
 
 def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """For texts keyed by (k1, k2): a list of (first, mask) whose set bits are repeated windows; texts without any are left out."""
+    """For texts keyed by (k1, k2): a list of (first, mask) whose set bits are repeated windows; texts without any are left out.
+
+    Seeds are made anew where they are needed: that is cheaper than to keep them, as a text has one every four words."""
     width = min_words - gram + 1
     if not 1 <= width <= 62:
         raise ValueError("windows of an anchor must fit a 64-bit mask")
     texts = keyed.select("text", "k1", "k2")
-    every = stored(texts.mapInArrow(tidy(_seeded(min_words, gram)), _SEEDS), "seeds")
-    shared = stored(every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors")
-    met = stored(every.join(shared, "anchor", "left_semi"), "shared-seeds")
-    forget(every, shared)
+    every = texts.mapInArrow(tidy(_seeded(min_words, gram)), _SEEDS)
+    met = _both(every, _frequent(every, "anchor"), ["anchor"], "left_semi")
     one = F.min(F.struct("k1", "k2", "first"))
     contexts = met.groupBy("s1", "s2").agg(F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("n", "anchor", "lefts", "rights")], one.alias("one"))
     contexts = stored(contexts.select("*", "one.*").drop("one"), "contexts")
-    places = _followed(contexts)
-    found = texts.join(places, ["k1", "k2"]).select("text", "places")
+    sides = F.expr("inline(array(struct(0 AS side, lefts AS run), struct(1 AS side, rights AS run)))")
+    contested = _both(contexts, _frequent(contexts, "anchor"), ["anchor"], "left_semi")
+    sided = contested.select("k1", "k2", "first", "anchor", sides).where("run is not null")
+    followed = _both(sided, _frequent(sided, "anchor", "side", "run"), ["anchor", "side", "run"], "left_semi")
+    places = followed.groupBy("k1", "k2").agg(F.collect_set("first").alias("places"))
+    found = _both(texts, places, ["k1", "k2"]).select("text", "places")
     windows = stored(found.mapInArrow(tidy(_extended(min_words, gram)), "s1 long, s2 long, k int, w1 long, w2 long"), "windows")
     again = windows.groupBy("w1", "w2").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
-    again = stored(again.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("w1", "w2"), "met-windows")
-    part = windows.join(again, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
+    again = again.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("w1", "w2")
+    part = _both(windows, again, ["w1", "w2"], "left_semi").select("s1", "s2", F.expr("shiftleft(1L, k)").alias("mask"))
     whole = contexts.where("copies > 1").select("s1", "s2", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    masks = stored(part.unionByName(whole).groupBy("s1", "s2").agg(F.expr("bit_or(mask)").alias("mask")), "masks")
-    forget(windows, contexts, places, again)
-    marks = met.join(masks, ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
-    marks = stored(marks, "marks")
-    forget(met, masks)
-    return marks
+    masks = part.unionByName(whole).groupBy("s1", "s2").agg(F.expr("bit_or(mask)").alias("mask"))
+    marks = _both(every.select("k1", "k2", "first", "s1", "s2"), masks, ["s1", "s2"])
+    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
 
 
 def keys(id_col: Column, text_col: Column) -> list[Column]:
@@ -210,7 +212,7 @@ def without_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM,
 
     names = [id_col, "n_words", "n_removed", "kept_text", "spans"]
     kind = source.schema[0].dataType.simpleString()
-    joined = source.join(marks, ["k1", "k2"], "left").select("id", "text", "marks")
+    joined = _both(source, marks, ["k1", "k2"], "left").select("id", "text", "marks")
     return joined.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string, spans array<array<long>>")
 
 
@@ -226,7 +228,8 @@ def cut_repeats(df: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_
     own = keys(F.col(id_col), F.col(text_col))
     marks = repeats(df.select(F.col(text_col).alias("text"), *own), min_words, gram)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *own)
-    joined = packed.join(marks, ["k1", "k2"], "left").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], F.col("marks").alias("quire marks"))
+    mark = "quire marks" + " " * max(map(len, df.columns))  # a name that no column has
+    joined = _both(packed, marks, ["k1", "k2"], "left").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], F.col("marks").alias(mark))
 
     at = df.columns.index(text_col)
 
