@@ -1,10 +1,10 @@
 """Byte-level BPE of whole texts, in numpy, from a public tokenizer file.
 
-A chunk of texts is cut into pretokens by array operations on code points (the split pattern of the file is fixed:
-contractions, letters, numbers, other, white space), equal pretokens are encoded once, and ids are gathered back.  How
-a new pretoken is merged is the caller's choice: ``PairIndex`` (a pair occurrence index over all new pretokens) or the
-compiled merge loop of tiktoken.  Texts that hold a special token's string, or characters whose class may differ between
-Unicode versions, go through the tokenizers library itself, so results equal that library's for every text.
+Texts are cut into pretokens by array operations on code points (the split pattern of the file is fixed: contractions, letters,
+numbers, other, white space), equal pretokens are encoded once, and ids are gathered back.  How new pretokens are merged is the
+caller's choice: ``PairIndex`` (a pair occurrence index over all new pretokens of a partition's Arrow batch) or the compiled
+merge loop of tiktoken.  A special token's string is a pretoken of its own.  Characters that this Python's Unicode data does not
+know are asked of the tokenizers library's splitter, one by one, so results equal that library's for every text.
 """
 
 from __future__ import annotations
@@ -13,32 +13,24 @@ import heapq
 import json
 import os
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
-from quire.llm.arrays import Prefix, mix, ragged
+from quire.llm.arrays import CHUNK_BYTES, Prefix, chunks, mix, ragged
 
 CACHE_ENTRIES = 400_000
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
-#: Blocks whose assigned characters have had the same class for many versions of Unicode.
-_STABLE = ((0, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x23F3), (0x2400, 0x2BFF), (0x3000, 0x30FF), (0xFF01, 0xFFEE), (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F))
-#: Blocks that are letters throughout.
-_LETTERS = ((0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 _WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    table = np.full(0x110000, UNSURE, np.uint8)
-    for a, b in _STABLE:
-        for c in range(a, b + 1):
-            kind = unicodedata.category(chr(c))
-            if kind != "Cn":
-                table[c] = {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
-    for a, b in _LETTERS:
-        table[a : b + 1] = LETTER
+    """Class of every code point; UNSURE where this Python's Unicode data has no character."""
+    kinds = {"L": LETTER, "N": NUMBER, "Cn": UNSURE}
+    found = (unicodedata.category(chr(c)) for c in range(0x110000))
+    table = np.fromiter((kinds.get(k, kinds.get(k[0], OTHER)) for k in found), np.uint8, 0x110000)
     table[list(_WHITE)] = SPACE
     return table
 
@@ -80,6 +72,11 @@ class Vocabulary:
         self.sorted_codes = self.pair_codes[self.sorted_order]
         self.rank_of = dict(zip(pairs, range(len(pairs)), strict=True))
 
+    def class_of(self, c: str) -> int:
+        """The class that the library's splitter gives a character: it joins a letter, a number, or else other characters."""
+        split = lambda before: len(self.library.pre_tokenizer.pre_tokenize_str(before + c)) == 1
+        return LETTER if split("a") else NUMBER if split("1") else OTHER
+
     def ranks(self, codes: np.ndarray) -> np.ndarray:
         """Merge rank of each pair code, -1 where there is none."""
         at = np.minimum(np.searchsorted(self.sorted_codes, codes), len(self.sorted_codes) - 1)
@@ -182,7 +179,7 @@ def pretoken_starts(cps: np.ndarray, kind: np.ndarray, doc_start: np.ndarray) ->
 
 
 class Encoder:
-    """Ids of whole texts; keeps a bounded cache of pretokens between chunks."""
+    """Ids of whole texts; keeps a bounded cache of pretokens, for a partition and the worker's next ones."""
 
     def __init__(self, path: str, merge: str = "compiled"):
         self.vocab = vocabulary(path)
@@ -195,60 +192,99 @@ class Encoder:
         self.used = 0
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-
-    def _add(self, texts: list[str]) -> None:
-        for text, ids in zip(texts, self.merge([t.encode() for t in texts]), strict=True):
-            k = len(self.known)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if k == len(self.at):
-                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[text] = k
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first id of each text and the end) of the UTF-8 texts data[offsets[i]:offsets[i+1]]."""
+        for text, i in self.vocab.special.items():
+            self._keep(text, [i])
+
+    def _keep(self, text: str, ids: list[int]) -> None:
+        k = len(self.known)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        if k == len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[k], self.size[k] = self.used, len(ids)
+        self.used += len(ids)
+        self.known[text] = k
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct pretokens, which of them follow one another, the first of each text and the end)."""
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         text = data.tobytes().decode("utf-8")
         if not text:
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return [], np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         count = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=count[1:])
         bounds = count[offsets]  # of texts, in code points
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = _classes()[cps]
-        begins = bounds[:-1][np.diff(bounds) > 0]
+        for c in np.unique(cps[kind == UNSURE]).tolist():
+            kind[cps == c] = self.vocab.class_of(chr(c))
+        begins, spans = bounds[:-1][np.diff(bounds) > 0], self._specials(text, bounds)
+        if spans:  # a special token ends what is before it and begins what is behind
+            begins = np.unique(np.concatenate([begins, *[s for s in spans if s[1] < len(cps)], [s[0] for s in spans]]))
         start = pretoken_starts(cps, kind, begins)
+        if spans:
+            inner = np.zeros(len(cps) + 1, bool)
+            for a, b in spans:
+                inner[a + 1 : b] = True
+            start = start[~inner[start]]
         end = np.append(start[1:], len(cps))
         hashes = mix(Prefix(cps.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).hash(start, end) + (end - start).astype(np.uint64))
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(one) > CACHE_ENTRIES:
-            self.clear()
         strings = [text[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-        self._add([s for s in strings if s not in self.known])
-        entry = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[which]
-        size = self.size[entry]
-        ids = self.pool[ragged(self.at[entry], size)]
-        total = np.zeros(len(entry) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        first = total[np.searchsorted(start, bounds)]
-        odd = kind == UNSURE
+        return strings, which.astype(np.int32), np.searchsorted(start, bounds)
+
+    def _specials(self, text: str, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """Places of special tokens, none of which lies in two texts."""
+        out = []
         for s in self.vocab.special:
             at = text.find(s)
             while at >= 0:
-                odd[at] = True
-                at = text.find(s, at + 1)
-        if odd.any():
-            ids, first = self._by_library(text, bounds, np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1), ids, first)
-        return ids, first
-
-    def _by_library(self, text, bounds, docs, ids, first):
-        parts = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        for d in docs.tolist():
-            parts[d] = np.array(self.vocab.library.encode(text[bounds[d] : bounds[d + 1]], add_special_tokens=False).ids, np.int32)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                if np.searchsorted(bounds, at, side="right") == np.searchsorted(bounds, at + len(s), side="left"):
+                    out.append((at, at + len(s)))
+                    at = text.find(s, at + len(s))
+                else:
+                    at = text.find(s, at + 1)
+        return sorted(out)
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end text, ids, first id of each of these texts and the end) of the UTF-8 texts data[offsets[i]:offsets[i+1]],
+        chunk by chunk; all their new pretokens are merged together before."""
+        cut = [(i, j, *self._cut(data, offsets[i : j + 1])) for i, j in chunks(offsets, limit)]
+        new = list({s: None for _, _, strings, _, _ in cut for s in strings if s not in self.known})
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.clear()
+            new = list({s: None for _, _, strings, _, _ in cut for s in strings if s not in self.known})
+        for text, ids in zip(new, self.merge([t.encode() for t in new]), strict=True):
+            self._keep(text, ids)
+        for i, j, strings, which, place in cut:
+            entry = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[which]
+            size = self.size[entry]
+            total = np.zeros(len(entry) + 1, np.int64)
+            np.cumsum(size, out=total[1:])
+            yield i, j, self.pool[ragged(self.at[entry], size)], total[place]
+
+
+@lru_cache(2)
+def encoder(path: str, merge: str = "compiled") -> Encoder:
+    """The worker's encoder of a file."""
+    return Encoder(path, merge)
+
+
+class Spelling:
+    """Bytes that stand for each id, gathered for many ids at once."""
+
+    def __init__(self, of: list[bytes]):
+        self.size = np.fromiter(map(len, of), np.int64, len(of))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(of), np.uint8)
+
+    def __call__(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, list[int]]:
+        """(the bytes of all ids, where those of each text begin and the end)."""
+        size = self.size[ids]
+        total = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        return self.data[ragged(self.start[ids], size)].tobytes(), total[first].tolist()
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,8 @@ in parallel (length and hash bucket), so no task sees all pieces of a length.  T
 pieces at once.
 
 Null texts count as empty: one piece that holds the end id.  A row is a document of its own: repeated ids and rows give
-their pieces again; null ids are kept.  An empty table gives an empty result, other columns are ignored.
+their pieces again (which of alike pieces goes where is open); null ids are kept.  A very long text is tokenised whole, at the
+memory of its ids, and cut into pieces of seq_len.  An empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm.arrays import buffers, chunks
-from quire.llm.bytebpe import Encoder, with_end
+from quire.llm.arrays import buffers
+from quire.llm.bytebpe import encoder, with_end
 from quire.llm.tables import stored
 
 BUCKET_ROWS = 5_000
+SALTS = 1 << 20
 
 
 class OpenBins:
@@ -108,14 +110,13 @@ def cut(n: int, seq_len: int) -> list[int]:
 
 
 def pieces(df: DataFrame, tokenizer: str, seq_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, piece, start, length, ids_crc32 of every piece of every row."""
+    """id, piece, start, length, ids_crc32 of every piece of every row, and a salt, by which alike pieces can be told apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        made = 0
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
-                ids, first = with_end(*encoder.encode(data, offsets[i : j + 1]), end_id)
+            for i, _, ids, first in encoder(tokenizer).encode_all(*buffers(batch.column(1))):
+                ids, first = with_end(ids, first, end_id)
                 raw, rows = memoryview(ids.astype("<u4").tobytes()), []
                 for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     at = a
@@ -124,12 +125,14 @@ def pieces(df: DataFrame, tokenizer: str, seq_len: int, end_id: int, id_col: str
                         at += n
                 if rows:
                     doc, *rest = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], names=names)
+                    salt = pa.array(((made + np.arange(len(rows))) % SALTS).astype(np.int32))
+                    made += len(rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:]), salt], names=names)
 
-    names = [id_col, "piece", "start", "length", "ids_crc32"]
+    names = [id_col, "piece", "start", "length", "ids_crc32", "salt"]
     source = df.select(F.col(id_col), F.col(text_col))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def packed(df: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,11 +143,11 @@ def packed(df: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2,
     by_length = {n: [r for r in runs if r.length == n] for n in counts}
     tables = {n: tuple(np.array([getattr(r, x) for r in rs], np.int64) for x in ("first", "per", "bin", "offset")) for n, rs in by_length.items()}
     buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = made.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", "salt"), F.lit(buckets)))
     base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(F.col(id_col), "piece", "ids_crc32")) - 1
+    inner = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(F.col(id_col), "piece", "ids_crc32", "salt")) - 1
     ranked = dealt.withColumn("inner", inner).join(base, ["length", "bucket"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("inner")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole texts through a pair occurrence index.
 
-Null texts count as empty.  Rows are independent: repeated rows and ids repeat their results, null ids are kept, other
-columns are ignored, an empty table gives an empty result.
+Null texts count as empty.  Rows are independent: repeated rows and ids repeat their results, there are no ties, null ids are kept,
+other columns are ignored, an empty table gives an empty result.  Texts are encoded whole, however long; a task holds the texts of
+an Arrow batch, and the ids of 1 MiB of them or of one longer text.
 """
 
 from __future__ import annotations
@@ -13,19 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import buffers, chunks
-from quire.llm.bytebpe import Encoder, vocabulary
+from quire.llm.arrays import buffers
+from quire.llm.bytebpe import Spelling, encoder, vocabulary
 
 
 def encoded(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "pair_index")
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
-                ids, first = encoder.encode(data, offsets[i : j + 1])
+            for i, j, ids, first in encoder(tokenizer, "pair_index").encode_all(*buffers(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
 
     source = df.select(F.col(id_col), F.col(text_col))
@@ -49,20 +47,15 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """Per row: n_tokens, ids_sha256 and decoded_sha256, from ids that were encoded and then decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "pair_index")
-        of = encoder.vocab.bytes_of
-        as_text = {i: str(i) for i in of}
+        of = vocabulary(tokenizer).bytes_of
+        every = [of.get(i, b"") for i in range(max(of) + 1)]
+        spelt, counted = Spelling(every), Spelling([b"%d," % i for i in range(len(every))])
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
-                ids, first = encoder.encode(data, offsets[i : j + 1])
-                ids, bounds = ids.tolist(), first.tolist()
-                shas, texts = [], []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    one = ids[a:b]
-                    shas.append(hashlib.sha256(",".join(map(as_text.__getitem__, one)).encode()).hexdigest())
-                    text = b"".join(map(of.__getitem__, one)).decode("utf-8", "replace")
-                    texts.append(hashlib.sha256(text.encode()).hexdigest())
+            for i, j, ids, first in encoder(tokenizer, "pair_index").encode_all(*buffers(batch.column(1))):
+                (numbers, at), (text, place) = counted(ids, first), spelt(ids, first)
+                shas = [hashlib.sha256(numbers[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                back = (text[a:b].decode("utf-8", "replace") for a, b in zip(place[:-1], place[1:], strict=True))
+                texts = [hashlib.sha256(t.encode()).hexdigest() for t in back]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
