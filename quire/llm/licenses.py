@@ -5,15 +5,22 @@ word sequences, anchors on words that occur once in both, keeps the longest incr
 goes on in the gaps between them.  Coverage is the share of the template's words that it matches; a stretch of MIN_COVERAGE or more is
 reported, and the scan goes on behind it, so that every copy is found.
 
+A stretch may hold foreign words besides the template's, slack of the template's length at most (a parameter; a template that is
+spread further counts as not there).  Spans do not overlap: of those that would, the one that matches the most words stays, then the
+one of the better coverage, the lesser name, the earlier start.  Built-in templates are notices, short licenses and the headers of
+long ones; read_templates() takes the full texts of a folder.
+
 Words are runs of [0-9a-z.-] of the ASCII-lower-cased text without edge dots and dashes.  Null texts count as empty and have
 no licenses. Rows are scanned one by one, so repeated rows and ids repeat their results; other columns are ignored, an empty
-table gives an empty result.  Whole texts are scanned, in time linear in their length for a given set of templates.
+table gives an empty result.  Whole texts are scanned, in time linear in their length (but for sorting the spans found) for a given
+set of templates, however many notices a text has.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +28,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quire.llm.arrays import slices
+
 MIN_COVERAGE = 0.8
-SLACK = 0.25
+SLACK = 0.25  # foreign words in a stretch, as a share of the template's
 _WORD = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z.-]*[0-9A-Za-z])?")
 
 #: Wordings of notices and licenses.
@@ -54,9 +63,70 @@ following disclaimer. Redistributions in binary form must reproduce the above co
 following disclaimer in the documentation and/or other materials provided with the distribution.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies.""",
+    "MIT-warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-warranty": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "BSD-third-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.""",
+    "ISC-warranty": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
+source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all
+subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this
+restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative
+works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a
+source language processor.""",
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
 }
 
 
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates of a local folder of license texts, by file name without extension; files of no words are left out."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                text = f.read()
+            if _WORD.search(text):
+                out[os.path.splitext(name)[0]] = text
+    return out
+
+
+
 @dataclass(frozen=True)
 class Found:
     start: int  # code points
@@ -120,8 +190,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates in words, and what a text must hold of each."""
 
-    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE):
-        self.min_coverage = min_coverage
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, slack: float = SLACK):
+        self.min_coverage, self.slack = min_coverage, slack
         self.templates = {k: words(t)[0] for k, t in templates.items()}
         if any(not t for t in self.templates.values()):
             raise ValueError("a template has no words")
@@ -157,7 +227,7 @@ class Scanner:
             n, count = len(template), self.counts[name]
             if sum(min(c, len(places.get(w, ()))) for w, c in count.items()) < self.min_coverage * n - 1e-9:
                 continue
-            slack, behind = int(SLACK * n) + 2, 0
+            slack, behind = int(self.slack * n) + 2, 0
             for p, w in sorted((p, w) for w in self.seeds[name] for p in places.get(w, ())):
                 if p < behind:
                     continue
@@ -170,20 +240,21 @@ class Scanner:
                 if best[0] >= self.min_coverage * n - 1e-9:
                     behind = best[1][-1] + 1
                     out.append((-best[0], Found(spans[best[1][0]][0], spans[behind - 1][1], name, best[0] / n)))
-        kept: list[Found] = []
+        kept: list[tuple[int, int, Found]] = []  # by start; they do not overlap, so only neighbours can be in the way
         for _, f in sorted(out, key=lambda x: (x[0], -x[1].coverage, x[1].license, x[1].start)):
-            if all(f.end <= g.start or g.end <= f.start for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f.start)
+            k = bisect_left(kept, f.start, key=lambda x: x[0])
+            if (k == 0 or kept[k - 1][1] <= f.start) and (k == len(kept) or f.end <= kept[k][0]):
+                insort(kept, (f.start, f.end, f), key=lambda x: x[0])
+        return [f for _, _, f in kept]
 
 
-def license_spans(df: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(df: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_licenses, license (of the best coverage, then the longest, then by name; null without one), coverage, and spans
     as name:start:end in code points by start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates or TEMPLATES, min_coverage)
-        for batch in batches:
+        scanner = Scanner(templates or TEMPLATES, min_coverage, slack)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [scanner.scan(t) if t else [] for t in batch.column(1).to_pylist()]
             best = [min(f, key=lambda x: (-x.coverage, x.start - x.end, x.license)) if f else None for f in found]
             columns = [

@@ -1,13 +1,15 @@
 """Quality rules: counts over whole texts, and a calibrated logistic regression on hashed word and character n-grams.
 
-The classifier is fitted in one task on at most MAX_TRAIN labelled rows (those of least id hash), a documented bound that
-holds at any size; a fifth of them is held back to calibrate its probability.  Features are relative frequencies of
-words, word pairs and 4-byte character runs of the lower-cased text, hashed to FEATURES buckets each.  Scoring is map-only, in
+The classifier is fitted in one task on the features of at most MAX_TRAIN labelled rows (those of least id hash), a documented bound
+that holds at any size; tasks make the features of whole texts, and a fifth of the rows is held back to calibrate its probability.
+Features are relative frequencies of words, word pairs and runs of four characters of the lower-cased text (A-Z), hashed to FEATURES
+buckets each.  Scoring is map-only, in
 Arrow batches, against fixed thresholds.  With no labels of both kinds there is no classifier, and the base rules decide.
 
 Null texts count as empty (they fail the base rules). Labels that are null or not 0 or 1 are ignored; an id labelled
-twice takes its least label. Rows are scored one by one, so repeated rows and ids repeat their results; other columns are ignored, an
-empty table gives an empty result.
+twice takes its least label, and of labelled documents that share an id the text of least hash.  Rows are scored one by one, so
+repeated rows and ids repeat their results, and there are no ties; other columns are ignored, an empty table gives an empty result.
+Texts of any length count whole; three-word windows are held to be equal by a hash of 64 bits within a text.
 """
 
 from __future__ import annotations
@@ -76,10 +78,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     out.append((w.hashes & mask, w.first))
     start, doc = window_start(w.counts, 2)
     out.append((mix(Prefix(w.hashes).hash(start, start + 2), 21) & mask, np.searchsorted(doc, np.arange(len(w.counts) + 1))))
-    size = np.diff(bounds)
+    cps = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    count = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum((w.data & 0xC0) != 0x80, out=count[1:])
+    size = np.diff(count[bounds])
     start, doc = window_start(size, 4)
-    run = w.data.astype(np.uint32)
-    four = run[start] | run[start + 1] << np.uint32(8) | run[start + 2] << np.uint32(16) | run[start + 3] << np.uint32(24) if len(start) else np.zeros(0, np.uint32)
+    four = np.zeros(len(start), np.uint32)
+    for k in range(4):
+        four = (four ^ cps[start + k]) * np.uint32(0x01000193)
     four = (four ^ (four >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     out.append(((four ^ (four >> np.uint32(13))) & np.uint32(FEATURES - 1), np.searchsorted(doc, np.arange(len(size) + 1))))
     return [(b.astype(np.int64) + k * FEATURES, f) for k, (b, f) in enumerate(out)]
@@ -99,23 +105,25 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float, float] | None:
-    """(weights, slope, intercept): the chance of quality 1 is sigmoid(slope * raw score + intercept). None for one class."""
-    own = np.arange(len(texts)) % 5 != 0
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of a text's features: at most 3 * FEATURES, however long it is."""
+    index, value = [], []
+    for buckets, _ in features(*buffers(pa.array([text]))):
+        found, counts = np.unique(buckets, return_counts=True)
+        index.append(found.astype(np.int32))
+        value.append((counts / max(1, len(buckets))).astype(np.float32))
+    return np.concatenate(index), np.concatenate(value)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+    """(weights, slope, intercept): the chance of quality 1 is sigmoid(slope * raw score + intercept). None for one class. rows: sparse()
+    of each text."""
+    own = np.arange(len(rows)) % 5 != 0
     if min((y[own] == 1).sum(), (y[own] == 0).sum()) == 0:
         return None
-    index, value, size = [], [], []
-    for t in texts:
-        data, offsets = buffers(pa.array([t]))
-        n = 0
-        for buckets, _ in features(data, offsets):
-            found, counts = np.unique(buckets, return_counts=True)
-            index.append(found.astype(np.int32))
-            value.append((counts / max(1, len(buckets))).astype(np.float32))
-            n += len(found)
-        size.append(n)
+    index, value, size = [i for i, _ in rows], [v for _, v in rows], [len(i) for i, _ in rows]
     index, value, size = np.concatenate(index), np.concatenate(value), np.array(size)
-    row = np.repeat(np.arange(len(texts)), size)
+    row = np.repeat(np.arange(len(rows)), size)
     used = np.repeat(own, size)
     columns, compact = np.unique(index[used], return_inverse=True)
     v, r = value[used], row[used]
@@ -124,7 +132,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float, float] | No
     share = y[own].mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * own / own.sum()  # both classes weigh the same
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(r, v * w[compact], len(texts)) + b
+        z = np.bincount(r, v * w[compact], len(rows)) + b
         g = (_sigmoid(z) - y) * cost
         grad, gb = np.bincount(compact, v * g[r], len(w)) + DECAY * w / len(w), g.sum()
         m, s, mb, sb = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
@@ -133,7 +141,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float, float] | No
         b -= RATE * fix * mb / (np.sqrt(sb) + 1e-9)
     weights = np.zeros(3 * FEATURES, np.float32)
     weights[columns] = w
-    raw = np.bincount(row, value * weights[index], len(texts))[~own]
+    raw = np.bincount(row, value * weights[index], len(rows))[~own]
     slope, intercept = calibrated(raw, y[~own])
     return weights, slope, intercept
 
@@ -159,14 +167,24 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The model fitted on at most MAX_TRAIN labelled documents; one row of weights comes to the driver."""
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN)  # so many rows at most are broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", "text")
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, y, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index, value = sparse(text or "")
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (index, value)]
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y], pa.int32()), pa.array([tie], pa.int64()), *lists], names=["id", "y", "tie", "index", "value"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((str(i), int(y), t or "") for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        model = fit([t for _, _, t in found], np.array([y for _, y, _ in found], float)) if found else None
+        found = sorted(((i, y, index.values.to_numpy(), value.values.to_numpy()) for b in batches for i, y, index, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)), key=lambda x: x[0])
+        model = fit([(i, v) for _, _, i, v in found], np.array([y for _, y, _, _ in found], float)) if found else None
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()]), pa.array([model[1]]), pa.array([model[2]])], names=["weights", "slope", "intercept"])
 
+    rows = labelled.select(F.col("id").cast("string").alias("id"), "y", F.xxhash64("text").alias("tie"), "text")
+    rows = rows.mapInArrow(tidy(made), "id string, y int, tie long, index array<int>, value array<float>")
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min_by(F.struct("index", "value"), "tie").alias("f")).select("id", "y", "f.*")
     got = rows.repartition(1).mapInArrow(tidy(train), "weights binary, slope double, intercept double").collect()
     return (np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["slope"], got[0]["intercept"]) if got else None
 

@@ -1,11 +1,13 @@
 """Secret scan: pattern candidates plus structurally confirmed keys and signed tokens.
 
 The base kinds are patterns.  The structural kinds decode a candidate and parse it before it is reported: a PEM or bare
-base64/hex blob counts only if its DER lengths nest and fill it exactly in the shape of a key, an OpenSSH key only if its
-length-prefixed fields parse, a signed token only if its header is a JSON object that names an algorithm.
+base64/hex blob counts only if its DER lengths nest, however deep, and fill it exactly in the shape of a key, an OpenSSH key only if
+its length-prefixed fields parse, a signed token only if its header is a JSON object that names an algorithm.  Bare base64 may
+be wrapped over lines: the lengths that a blob states tell how many characters it has.
 
 Nulls count as empty texts and give zero counts and empty spans; rows are independent, so repeated rows and ids repeat
-their results and extra columns of the input are ignored.  The scan is map-only and reads whole texts.
+their results, and extra columns of the input are ignored.  Spans of one start come in the order of their kinds and ends, so there are no
+ties; spans may overlap.  An empty table gives an empty result.  The scan is map-only and reads whole texts, however long.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import tidy
+from quire.llm.arrays import slices, tidy
 
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -28,11 +30,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # as [0-9a-f]+ with shorter matches dropped: a match is a whole run either way
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")  # base64 of 0x30, a DER sequence
-_SSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}={0,2}")  # base64 of openssh-key-v1
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}")  # base64 of 0x30, a DER sequence; its first line
+_SSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}")  # base64 of openssh-key-v1; its first line
+_MORE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+)")  # another line of base64
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{58,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-MAX_DEPTH = 16
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -58,11 +60,14 @@ def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return found
 
 
-def _nests(data: bytes, start: int, end: int, depth: int = 0) -> bool:
+def _nests(data: bytes, start: int, end: int) -> bool:
     """Whether every constructed element from start to end is filled exactly by its parts."""
-    if depth > MAX_DEPTH or (parts := _children(data, start, end)) is None:
-        return False
-    return all(not tag & 0x20 or _nests(data, a, b, depth + 1) for tag, a, b in parts)
+    todo = [(start, end)]
+    while todo:
+        if (parts := _children(data, *todo.pop())) is None:
+            return False
+        todo += [(a, b) for tag, a, b in parts if tag & 0x20]
+    return True
 
 
 def der_key(data: bytes) -> bool:
@@ -83,18 +88,23 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def openssh_key(data: bytes) -> bool:
-    """Whether data begins with a well-formed openssh-key-v1 header: cipher, kdf, options, key count, public key."""
+def _openssh_ends(data: bytes) -> tuple[int, int] | None:
+    """Where the public fields of an openssh-key-v1 blob end (cipher, kdf, options, key count, public key) and where its private part
+    does, None if they don't parse."""
     if not data.startswith(b"openssh-key-v1\0"):
-        return False
+        return None
     at = 15
     for _ in range(3):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        at += 4 + n
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
     keys, n = int.from_bytes(data[at : at + 4], "big"), int.from_bytes(data[at + 4 : at + 8], "big")
-    return keys == 1 and 0 < n and at + 8 + n <= len(data)
+    public = at + 8 + n
+    return (public, public + 4 + int.from_bytes(data[public : public + 4], "big")) if keys == 1 and 0 < n else None
+
+
+def openssh_key(data: bytes) -> bool:
+    """Whether data begins with a well-formed openssh-key-v1 header: cipher, kdf, options, key count, public key."""
+    ends = _openssh_ends(data)
+    return ends is not None and ends[0] <= len(data)
 
 
 def _b64(text: str, url: bool = False) -> bytes | None:
@@ -107,6 +117,36 @@ def _b64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def _wrapped(text: str, m: re.Match, size: int | None = None) -> tuple[str, int]:
+    """(characters, end) of a blob of base64 that begins with m and goes on over lines: up to what size bytes take, or all lines of the
+    first one's length and the one behind them."""
+    parts, end, width = [m[0]], m.end(), len(m[0])
+    need, have = None if size is None else -(-8 * size // 6), len(m[0])
+    while (need is None or have < need) and (more := _MORE.match(text, end)) and len(more[1]) <= width:
+        parts.append(more[1])
+        end, have = more.end(), have + len(more[1])
+        if need is None and len(more[1]) < width:
+            break
+    while end < len(text) and text[end] == "=" and -have % 4:
+        parts.append("=")
+        end, have = end + 1, have + 1
+    return "".join(parts), end
+
+
+def _der_blob(text: str, m: re.Match) -> tuple[int, bytes] | None:
+    """(end, bytes) of the DER element that a blob of base64 states the length of; None if the blob has more or fewer characters."""
+    head = _b64(m[0][:8]) or b""
+    if head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    k = head[1] & 0x7F
+    size = 2 + head[1] if head[1] < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
+    if size > len(text):
+        return None
+    body, end = _wrapped(text, m, size)
+    data = _b64(body)
+    return (end, data) if data is not None and len(data) == size else None
+
+
 def signed_token(header: str, payload: str) -> bool:
     """Whether header decodes to a JSON object with an algorithm and payload to a JSON object."""
     for part, key in ((header, "alg"), (payload, None)):
@@ -130,10 +170,17 @@ def scan(text: str) -> list[tuple[int, int, str, int]]:
             data = _b64(re.sub(r"\\[nr]|\s", "", m[2]))
             if data and (der_key(data) or openssh_key(data)):
                 out.append((*m.span(), "pem", m.start()))
-    out += [(*m.span(), "der", m.start()) for m in _BLOB.finditer(text) if (data := _b64(m[0])) and der_key(data)]
+    out += [(m.start(), found[0], "der", m.start()) for m in _BLOB.finditer(text) if (found := _der_blob(text, m)) and der_key(found[1])]
     out += [(*m.span(), "der", m.start()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0]))]
     if "b3BlbnNzaC1rZXktdjE" in text:
-        out += [(*m.span(), "openssh", m.start()) for m in _SSH.finditer(text) if (data := _b64(m[0])) and openssh_key(data)]
+        for m in _SSH.finditer(text):
+            lines = _wrapped(text, m)[0].rstrip("=")
+            data = _b64(lines[: len(lines) // 4 * 4] if len(lines) % 4 == 1 else lines) or b""
+            ends = _openssh_ends(data)
+            if ends and ends[1] <= len(data):
+                out.append((m.start(), _wrapped(text, m, ends[1])[1], "openssh", m.start()))
+            elif (data := _b64(m[0])) and openssh_key(data):
+                out.append((*m.span(), "openssh", m.start()))
     if "eyJ" in text:
         out += [(*m.span(), "jwt", m.start()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
     return sorted(out, key=lambda x: (x[0], _ORDER[x[2]], x[1]))
@@ -159,7 +206,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: id, n_assign, n_access, n_hex, base_sha256 of the base spans, and all spans as kind:start:end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [scan(t) if t else [] for t in batch.column(1).to_pylist()]
             base = [[x for x in spans if _ORDER[x[2]] < 3] for spans in found]
             count = lambda k: pa.array([sum(x[2] == k for x in spans) for spans in base], pa.int64())
@@ -175,9 +222,11 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with secrets in its texts replaced; all its columns stay, length_col (if any) follows the new text."""
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            texts = batch.column(at).to_pylist()
             new = [redact(t) for t in texts]
             for name, values in ((text_col, new), (length_col, [None if t is None else len(t) for t in new])):
                 k = batch.schema.get_field_index(name) if name else -1
