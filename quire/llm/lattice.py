@@ -8,10 +8,11 @@ Whoever meets is held against each other by cosine in double precision.
 
 Nothing writes pairs.  Rows of equal vectors are one class with a weight.  A cell gives a forest of its links, and
 components grow from those.  All links of a vector lie within its component, so they are counted there, exactly, in
-tiles of TILE x TILE vectors; large cells are split in tiles as well.
+tiles of TILE x TILE vectors, a strip at a time; large cells are split in tiles as well.  The m distinct vectors of a cell or
+component cost m * m cosines and are copied m / TILE times, spread over tiles.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
-lengths. Null ids get no component, count as vectors for others, and are kept; rows that share an id share a component. An empty
+lengths. A cosine of just the threshold is a link. Null ids get no component, count as vectors for others, and are kept; rows that share an id share a component. An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.arrays import mix
 from quire.llm.components import connected_components
-from quire.llm.tables import stored
+from quire.llm.tables import forget, stored
 
 TABLES = 14
 BLOCKS = 2
 SCALE = 2.0
 PROBES = 12
-TILE = 512
+TILE = 2048
+STRIP = 256
 SEED = 20260
 
 
@@ -145,6 +147,32 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _linked(one: np.ndarray, two: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, whether its rows and the next ones link with each of two), strip by strip."""
+    for a in range(0, len(one), STRIP):
+        yield a, one[a : a + STRIP] @ two.T >= cosine
+
+
+def _grown(linked: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A label for each vector of a cell, by links of its own members (rows of linked) with any: places reached from each other share
+    the least. Each row and column is looked at once."""
+    n = linked.shape[1]
+    row_of = np.full(n, -1)
+    row_of[own] = np.arange(len(own))
+    label, fresh = np.arange(n), np.ones(n, bool)
+    for root in np.flatnonzero(linked.any(axis=0)).tolist():
+        if not fresh[root]:
+            continue
+        fresh[root], todo = False, [root]
+        while todo:
+            x = todo.pop()
+            near = own[linked[:, x]] if row_of[x] < 0 else np.flatnonzero(linked[row_of[x]])
+            near = near[fresh[near]]
+            fresh[near], label[near] = False, root
+            todo += near.tolist()
+    return label
+
+
 def _forest(cosine: float):
     """Edges that join the vectors of a cell, or of a tile of it, which links connect."""
 
@@ -155,19 +183,11 @@ def _forest(cosine: float):
                 continue
             unit, cid = _unit(rows.column("embedding")), rows.column("cid").to_numpy()
             own = np.flatnonzero(~probe)
-            linked = unit[own] @ unit.T >= cosine
+            linked = np.concatenate([x for _, x in _linked(unit[own], unit, cosine)])
             linked[np.arange(len(own)), own] = False
             if not linked.any():
                 continue
-            label = np.arange(len(cid))
-            while True:
-                best = np.minimum(label[own], np.where(linked, label, len(cid)).min(axis=1))
-                new = label.copy()
-                new[own] = best
-                new = np.minimum(new, np.where(linked, best[:, None], len(cid)).min(axis=0))
-                if (new == label).all():
-                    break
-                label = new
+            label = _grown(linked, own)
             at = np.flatnonzero(label != np.arange(len(cid)))
             yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[label[at]])], names=["a", "b"])
 
@@ -183,12 +203,15 @@ def _counted(cosine: float):
             block, t1, t2 = (rows.column(k).to_numpy() for k in ("block", "t1", "t2"))
             one = np.flatnonzero(block == t1)
             two = one if t1[0] == t2[0] else np.flatnonzero(block == t2)
-            linked = unit[one] @ unit[two].T >= cosine
-            if one is two:
-                np.fill_diagonal(linked, False)
-            ids, n = cid[one], linked @ weight[two]
+            left, right = [], np.zeros(len(two), np.int64)
+            for a, linked in _linked(unit[one], unit[two], cosine):
+                if one is two:
+                    linked[np.arange(len(linked)), a + np.arange(len(linked))] = False
+                left.append(linked @ weight[two])
+                right += weight[one[a : a + STRIP]] @ linked
+            ids, n = cid[one], np.concatenate(left) if left else np.zeros(0, np.int64)
             if one is not two:
-                ids, n = np.concatenate([ids, cid[two]]), np.concatenate([n, weight[one] @ linked])
+                ids, n = np.concatenate([ids, cid[two]]), np.concatenate([n, right])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["cid", "links"])
 
     return run
@@ -214,9 +237,11 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     hashed = classes.select("cid", "embedding").mapInArrow(_hashed, "cid long, probe boolean, cell long")
     met = hashed.groupBy("cell").agg(F.count("*").alias("n"), F.min("probe").alias("only_probes")).where("n > 1 and not only_probes").select("cell", "n")
-    members = _tiled(hashed.join(stored(met, "cells"), "cell"), "cell", "n")
+    met = stored(met, "cells")
+    members = _tiled(hashed.join(met, "cell"), "cell", "n")
     edges = _dealt(members.join(classes.select("cid", "embedding"), "cid"), "cell").mapInArrow(_forest(cosine), "a long, b long")
     comps = connected_components(edges)
+    forget(met)
     size = stored(comps.groupBy("component").agg((F.count("*") + 1).alias("n")), "sizes")
     inside = comps.unionByName(size.select(F.col("component").alias("node"), "component")).join(size, "component")
     tiles = _tiled(inside.select(F.col("node").alias("cid"), F.col("component").alias("comp"), "n"), "comp", "n")
@@ -227,6 +252,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     reps = comps.join(named[0], "node").join(named[1], "component").select(F.col("noder").alias("a"), F.col("componentr").alias("b"))
     copies = source.where("usable").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(reps.unionByName(copies))
+    per_class = stored(per_class, "links")
+    forget(classes, comps, size)
     good = source.where("usable").select("id", "k1", "k2").join(per_class, ["k1", "k2"]).select("id", "links")
     rows = good.unionByName(source.where("not usable").select("id", F.lit(0).cast("long").alias("links")))
     component = F.coalesce("component", "id")
