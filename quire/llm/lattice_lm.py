@@ -5,12 +5,14 @@ maximisation, and a text's score is its marginal probability: over each word's l
 space by a forward recursion.  A word is written with the vocabulary's word mark in front; characters without a piece go
 through the vocabulary's byte pieces; each text ends with an end piece.
 
-Texts are dealt into blocks of BLOCK_BYTES.  A block sends each of its distinct words once; the corpus counts them, the lattice
-is walked once for each distinct word of the corpus, and the answers go back to the block, whose texts are then scored.
-Nothing but the fixed vocabulary's counts and three totals reaches the driver.
-
-Null texts count as empty (one end token). Null ids are training rows; repeated rows count each. Other columns are ignored, and an
-empty table gives an empty result.
+Texts are dealt into blocks of about BLOCK_BYTES.  A block sends each of its distinct words once; the corpus counts them, the lattice
+is walked once for each distinct word of the corpus, and the answers go back to the block, whose texts are then scored.  A task
+streams its blocks one after another and holds the distinct words of one, besides a batch of texts.  Nothing but the fixed
+vocabulary's counts and three totals reaches the driver.
+
+Null texts count as empty (one end token). Null ids are training rows; repeated rows count each (rows alike in id and text share a
+block, which costs its task time, not memory). There are no ties. Texts count whole, however long. Other columns are ignored, and an
+empty table gives an empty result.  Within a block words are told apart by 64 bits: two of a million words collide once in 10**7 blocks.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import Prefix, mix, words as words_of, buffers, chunks
+from quire.llm.arrays import Prefix, buffers, chunks, mix, tidy, words as words_of
 from quire.llm.tables import forget, stored
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 ROUNDS = 2
 SMOOTHING = 0.1
 MARK = "▁"
@@ -204,26 +206,58 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[list, list]:
     return found.tolist(), np.bincount(which, weights).tolist()
 
 
-def _vocabulary_of_block(key, table):
-    """(block, hash, word, n) of the distinct words of a block; n counts training texts only."""
-    hashes, texts, counts = np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
-    parts = []
-    for batch in table.select(["text", "trains"]).to_batches():
-        data, offsets = buffers(batch.column(0))
-        trains = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+class _Block:
+    """The distinct words of a block, gathered batch by batch."""
+
+    def __init__(self):
+        self.hashes, self.counts, self.texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, column: pa.Array, trains: np.ndarray) -> None:
+        data, offsets = buffers(column)
         for i, j in chunks(offsets, 4 << 20):
             w = words_of(data, offsets[i : j + 1], lower=True)
             h, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
             n = np.bincount(which, np.repeat(trains[i:j], w.counts), len(h)).astype(np.int64)
-            raw = w.data.tobytes()
-            parts.append((h, n, [raw[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)]))
-    if parts:
-        every = np.concatenate([p[0] for p in parts])
-        hashes, one, which = np.unique(every, return_index=True, return_inverse=True)
-        counts = np.bincount(which, np.concatenate([p[1] for p in parts]), len(hashes)).astype(np.int64)
-        flat = [x for p in parts for x in p[2]]
-        texts = [flat[k] for k in one.tolist()]
-    return pa.table({"block": pa.array(np.full(len(hashes), key[0].as_py(), np.int32)), "hash": pa.array(hashes.view(np.int64)), "word": pa.array(texts, pa.binary()).cast(pa.string()), "n": pa.array(counts)})
+            place = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            old = self.hashes[place] == h if len(self.hashes) else np.zeros(len(h), bool)
+            self.counts[place[old]] += n[old]
+            raw, new = w.data.tobytes(), ~old
+            found = np.empty(int(new.sum()), object)
+            found[:] = [raw[a:b] for a, b in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)]
+            both = np.concatenate([self.hashes, h[new]])
+            order = np.argsort(both, kind="stable")
+            self.hashes = both[order]
+            self.counts = np.concatenate([self.counts, n[new]])[order]
+            self.texts = np.concatenate([self.texts, found])[order]
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.hashes), 50_000):
+            part = slice(a, a + 50_000)
+            text = pa.array(self.texts[part].tolist(), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(text), block, np.int32)), pa.array(self.hashes[part].view(np.int64)), text, pa.array(self.counts[part])], names=["block", "hash", "word", "n"])
+
+
+def _runs(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of equal keys."""
+    columns = [batch.column(k).to_numpy() for k in keys]
+    cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True)
+
+
+def _vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, hash, word, n) of the distinct words of each block of a stream (block, text, trains) in block order; n counts training
+    texts only."""
+    now, held = None, _Block()
+    for batch in batches:
+        for a, b in _runs(batch, "block") if batch.num_rows else ():
+            block = batch.column(0)[a].as_py()
+            if block != now:
+                if now is not None:
+                    yield from held.rows(now)
+                now, held = block, _Block()
+            held.add(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64))
+    if now is not None:
+        yield from held.rows(now)
 
 
 def lm_scores(df: DataFrame, vocabulary: str, fold: int = 1, folds: int = 5, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +268,8 @@ def lm_scores(df: DataFrame, vocabulary: str, fold: int = 1, folds: int = 5, rou
     totals = source.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("trains").alias("ends")).first()
     blocks, ends = max(1, -(-(totals["bytes"] or 0) // BLOCK_BYTES)), totals["ends"]
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    asked = stored(dealt.groupBy("block").applyInArrow(_vocabulary_of_block, "block int, hash long, word string, n long"), "words")
+    in_order = dealt.select("block", "text", "trains").repartition("block").sortWithinPartitions("block")
+    asked = stored(in_order.mapInArrow(tidy(_vocabularies), "block int, hash long, word string, n long"), "words")
     counted = stored(asked.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     sums = counted.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
     n_train, v_train = (sums["n"] or 0) + ends, sums["v"] + (1 if ends else 0)
@@ -251,26 +286,42 @@ def lm_scores(df: DataFrame, vocabulary: str, fold: int = 1, folds: int = 5, rou
     answers = stored(asked.select("block", "hash", "word").join(counted.mapInArrow(walked, "word string, c long, logp double"), "word").select("block", "hash", "c", "logp"), "answers")
     forget(asked, counted)
 
-    def scored(key, texts, known):
-        order = np.argsort(known["hash"].to_numpy().view(np.uint64))
-        hashes, c, p = known["hash"].to_numpy().view(np.uint64)[order], known["c"].to_numpy()[order], known["logp"].to_numpy()[order]
-        base = np.log10(c + 0.5) - scale
-        rows = []
-        for batch in texts.select(["text"]).to_batches():
-            data, offsets = buffers(batch.column(0))
-            for i, j in chunks(offsets, 4 << 20):
-                w = words_of(data, offsets[i : j + 1], lower=True)
-                found, which = np.unique(w.hashes, return_inverse=True)
-                at = np.searchsorted(hashes, found)[which]
-                doc, m = w.doc_of_word(), j - i
-                add = lambda x: np.bincount(doc, x, m) if len(doc) else np.zeros(m)
-                rows.append((w.counts + 1, add((c[at] > 0).astype(float)).astype(np.int64) + (1 if ends else 0), add(base[at]) + base_end, add(p[at]) + of_end))
-        n_tokens, n_known, base_score, score = (np.concatenate([r[k] for r in rows]) for k in range(4))
-        return pa.table([texts["id"], pc.invert(texts["trains"]), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(n_tokens), n_train)), pa.array(base_score), pa.array(score)], names=names)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers of a block come before its texts."""
+        now, parts, known = None, [], None
+        for batch in batches:
+            for a, b in _runs(batch, "block", "kind") if batch.num_rows else ():
+                rows = batch.slice(a, b - a)
+                block, kind = rows.column(0)[0].as_py(), rows.column(1)[0].as_py()
+                if block != now:
+                    now, parts, known = block, [], None
+                if kind == 0:
+                    parts.append([rows.column(k).to_numpy() for k in (2, 3, 4)])
+                    continue
+                if known is None:
+                    h, c, p = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+                    order = np.argsort(h.view(np.uint64))
+                    known, parts = (h.view(np.uint64)[order], c[order], np.log10(c[order] + 0.5) - scale, p[order]), []
+                data, offsets = buffers(rows.column(6))
+                for i, j in chunks(offsets, 4 << 20):
+                    yield from _scored(words_of(data, offsets[i : j + 1], lower=True), rows.slice(i, j - i), known)
+
+    def _scored(w, rows: pa.RecordBatch, known: tuple) -> Iterator[pa.RecordBatch]:
+        hashes, c, base, p = known
+        found, which = np.unique(w.hashes, return_inverse=True)
+        at = np.searchsorted(hashes, found)[which]
+        doc, m = w.doc_of_word(), rows.num_rows
+        add = lambda x: np.bincount(doc, x, m) if len(doc) else np.zeros(m)
+        n_known = add((c[at] > 0).astype(float)).astype(np.int64) + (1 if ends else 0)
+        yield pa.RecordBatch.from_arrays([rows.column(5), pc.invert(rows.column(7)), pa.array(w.counts + 1), pa.array(n_known), pa.array(np.full(m, n_train)), pa.array(add(base[at]) + base_end), pa.array(add(p[at]) + of_end)], names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = source.schema[0].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    nothing = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    told = answers.select("block", F.lit(0).alias("kind"), "hash", "c", "logp", *nothing(id=kind, text="string", trains="boolean"))
+    texts = dealt.select("block", F.lit(1).alias("kind"), *nothing(hash="long", c="long", logp="double"), "id", "text", "trains")
+    both = told.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(tidy(scored), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def fitted(counted: DataFrame, vocabulary: str, ends: int, rounds: int) -> np.ndarray:

@@ -33,7 +33,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 SCREEN = 0.55
-TILE = 1024
+TILE = 2048
 _U32 = np.uint32
 
 

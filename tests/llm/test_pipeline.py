@@ -76,3 +76,52 @@ def test_stages_on_an_empty_table(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tiny).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, marks int, `quire marks` int"
+
+
+def odd_rows():
+    own = " ".join(f"o{i}" for i in range(70))
+    shared = " ".join(f"s{i}" for i in range(40))
+    two = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"]
+    rows = [
+        (1, None), (2, ""), (None, None), (3, own), (3, own), (None, own), (4, two[0]), (4, two[1]), (5, f"{two[0]} {shared} tail{5}"), (6, f"{two[1]} {shared} tail"),
+        (None, "password=abcdefghijkl12 " + " ".join(f"p{i}" for i in range(60))), (7, " ".join(f"long{i}" for i in range(30_000))),
+    ]
+    return [(i, t, "en", "web", None if t is None else len(t), "k", 1, 2) for i, t in rows]
+
+
+def test_stages_on_odd_rows(spark, tiny):
+    """Nulls, repeated rows, one id with two texts, a long text and columns whose names the stages use themselves."""
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD)
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality rules"](spark, docs, tiny)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} <= {r[:2] for r in rows if r[1]}
+    single = stage["MinHash near-dedup"](spark, docs, tiny)
+    assert single.columns == docs.columns
+    texts = {r[1] for r in rows}
+    want = Counter({(1, None): 1, (2, ""): 1, (None, None): 1} | {(min((r[0] for r in rows if r[1] == t and r[0] is not None), default=None), t): 1 for t in texts if t})
+    assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == want
+    cut = stage["substring dedup"](spark, docs, tiny)
+    assert cut.columns == docs.columns
+    left = Counter((r["doc_id"], None if r["text"] is None else " ".join(r["text"].split())) for r in cut.collect())
+    assert left == Counter((r[0], None if r[1] is None else w[2]) for r, w in zip(rows, without_repeats([r[1] for r in rows], 35), strict=True))
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut.collect())
+    hidden = stage["secret scans"](spark, docs, tiny)
+    assert hidden.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in hidden.collect()) == Counter((r[0], secrets.redact(r[1])) for r in rows)
+    pieces = Counter()
+    for r in stage["best-fit packing"](spark, docs, tiny).collect():
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces == sum((Counter({r[0]: len(library_ids([r[1] or ""])[0]) + 1}) for r in rows), Counter())
+
+
+def test_run_leaves_nothing(spark, tiny):
+    import os
+
+    from quire.llm.tables import scratch
+
+    with scratch(spark) as folder:
+        assert corpus_pipeline.run(spark, tiny).count()
+    assert not os.path.exists(folder.removeprefix("file://"))
