@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.arrays import OTHER_BASE, Prefix, Words, mix, ragged, slices, tidy, window_start, word_chunks
-from quire.llm.tables import stored
+from quire.llm.tables import forget, stored
 
 MIN_WORDS = 35
 GRAM = 8
@@ -182,7 +182,9 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> D
     whole = contexts.where("copies > 1").select("s1", "s2", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = part.unionByName(whole).groupBy("s1", "s2").agg(F.expr("bit_or(mask)").alias("mask"))
     marks = _both(every.select("k1", "k2", "first", "s1", "s2"), masks, ["s1", "s2"])
-    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    marks = stored(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks")), "marks")
+    forget(windows, contexts)
+    return marks
 
 
 def keys(id_col: Column, text_col: Column) -> list[Column]:
