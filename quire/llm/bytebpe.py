@@ -2,7 +2,7 @@
 
 Texts are cut into pretokens by array operations on code points (the split pattern of the file is fixed: contractions, letters,
 numbers, other, white space), equal pretokens are encoded once, and ids are gathered back.  How new pretokens are merged is the
-caller's choice: ``PairIndex`` (a pair occurrence index over all new pretokens of a partition's Arrow batch) or the compiled
+caller's choice: ``PairIndex`` (a pair occurrence index over the new pretokens of 8 MiB of a partition at a time) or the compiled
 merge loop of tiktoken.  A special token's string is a pretoken of its own.  Characters that this Python's Unicode data does not
 know are asked of the tokenizers library's splitter, one by one, so results equal that library's for every text.
 """
@@ -13,6 +13,7 @@ import heapq
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,7 +21,8 @@ import numpy as np
 
 from quire.llm.arrays import CHUNK_BYTES, Prefix, chunks, mix, ragged
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
+TOGETHER = 8  # chunks
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -109,11 +111,11 @@ class PairIndex:
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         found, cuts = np.unique(rank[at], return_index=True)
-        index = dict(zip(found.tolist(), (x.tolist() for x in np.split(at, cuts[1:])), strict=True)) if len(at) else {}
+        index = dict(zip(found.tolist(), (array("i", x.astype(np.int32).tobytes()) for x in np.split(at, cuts[1:])), strict=True)) if len(at) else {}
         heap = list(index)
         heapq.heapify(heap)
-        symbol = ids.tolist()
-        follows, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbol = array("i", ids.astype(np.int32).tobytes())
+        follows, before = (array("i", np.arange(k, n + k, dtype=np.int32).tobytes()) for k in (1, -1))
         for e in ends.tolist():
             if e:
                 follows[e - 1] = -1
@@ -132,12 +134,12 @@ class PairIndex:
                     before[after] = p
                     if (k := rank_of.get(new << 32 | symbol[after])) is not None:
                         if k not in index:
-                            index[k] = []
+                            index[k] = array("i")
                             heapq.heappush(heap, k)
                         index[k].append(p)
                 if (b := before[p]) >= 0 and (k := rank_of.get(symbol[b] << 32 | new)) is not None:
                     if k not in index:
-                        index[k] = []
+                        index[k] = array("i")
                         heapq.heappush(heap, k)
                     index[k].append(b)
         out, a = [], 0
@@ -249,14 +251,22 @@ class Encoder:
 
     def encode_all(self, data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, end text, ids, first id of each of these texts and the end) of the UTF-8 texts data[offsets[i]:offsets[i+1]],
-        chunk by chunk; all their new pretokens are merged together before."""
-        cut = [(i, j, *self._cut(data, offsets[i : j + 1])) for i, j in chunks(offsets, limit)]
-        new = list({s: None for _, _, strings, _, _ in cut for s in strings if s not in self.known})
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        chunk by chunk; the new pretokens of TOGETHER chunks are merged together before."""
+        every = list(chunks(offsets, limit))
+        for k in range(0, len(every), TOGETHER):
+            yield from self._encoded([(i, j, *self._cut(data, offsets[i : j + 1])) for i, j in every[k : k + TOGETHER]])
+
+    def _encoded(self, cut: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        def new() -> list[str]:
+            return list({s: None for _, _, strings, _, _ in cut for s in strings if s not in self.known})
+
+        found = new()
+        if len(self.known) + len(found) > CACHE_ENTRIES:
             self.clear()
-            new = list({s: None for _, _, strings, _, _ in cut for s in strings if s not in self.known})
-        for text, ids in zip(new, self.merge([t.encode() for t in new]), strict=True):
+            found = new()
+        for text, ids in zip(found, self.merge([t.encode() for t in found]), strict=True):
             self._keep(text, ids)
+        del found
         for i, j, strings, which, place in cut:
             entry = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))[which]
             size = self.size[entry]

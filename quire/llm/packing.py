@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm.arrays import buffers
+from quire.llm.arrays import buffers, tidy
 from quire.llm.bytebpe import encoder, with_end
 from quire.llm.tables import stored
 
@@ -132,7 +132,7 @@ def pieces(df: DataFrame, tokenizer: str, seq_len: int, end_id: int, id_col: str
     names = [id_col, "piece", "start", "length", "ids_crc32", "salt"]
     source = df.select(F.col(id_col), F.col(text_col))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, salt int")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def packed(df: DataFrame, tokenizer: str, seq_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

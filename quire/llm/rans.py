@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quire.llm.arrays import buffers
+from quire.llm.arrays import buffers, tidy
 from quire.llm.bytebpe import encoder, with_end
 
 MAGIC = b"QRNS0002"
@@ -200,7 +200,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     order = [F.col(id_col), F.xxhash64(text_col)]
     source = df.select(F.col(id_col), F.col(text_col)).repartitionByRange(*order).sortWithinPartitions(*order)
     kind = source.schema[0].dataType.simpleString()
-    files = source.mapInArrow(run, f"part int, seq int, n_tokens long, docs array<{kind}>, begins array<long>, lengths array<long>, head binary, blocks array<binary>")
+    files = source.mapInArrow(tidy(run), f"part int, seq int, n_tokens long, docs array<{kind}>, begins array<long>, lengths array<long>, head binary, blocks array<binary>")
     files.write.option("compression", "uncompressed").parquet(path)
 
 

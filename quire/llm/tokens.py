@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.arrays import buffers
+from quire.llm.arrays import buffers, tidy
 from quire.llm.bytebpe import Spelling, encoder, vocabulary
 
 
@@ -60,4 +60,4 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     source = df.select(F.col(id_col), F.col(text_col))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
