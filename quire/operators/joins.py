@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.text import image_candidates, is_internal_link, link_target
+from quire.schemas import SCREEN_WIDTH
 
 
 def resolved_links(links: DataFrame, title_map: DataFrame) -> DataFrame:
@@ -59,3 +60,20 @@ def hits(points: DataFrame, rects: DataFrame) -> DataFrame:
     keyed = points.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
     inside = (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("width")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + F.col("height"))
     return keyed.join(tiles, ["cx", "cy"]).where(inside).groupBy(*points.columns).agg(F.min("rect_id").alias("rect_id"))
+
+
+def tapped(taps: DataFrame, links: DataFrame, images: DataFrame, width: int = SCREEN_WIDTH) -> DataFrame:
+    """taps (.., page, x, y) on pages with the picture (img_id) or link (article_id) that each hits; others are left out.
+
+    links (page, seq, x, y, w, h, article_id) and images (page, seq, doc_y, thumb_h, img_id) are regions in page order.  A picture
+    takes the whole width of its rows and comes before any link; else the first region counts. A grid join on page and cell.
+    """
+    none = F.lit(None).cast("long")
+    pictures = images.select("page", F.lit(0).alias("kind"), "seq", F.lit(0).alias("left"), F.col("doc_y").alias("top"), F.lit(width).alias("w"), F.col("thumb_h").alias("h"), "img_id", none.alias("article_id"))
+    texts = links.select("page", F.lit(1).alias("kind"), "seq", F.col("x").alias("left"), F.col("y").alias("top"), "w", "h", none.alias("img_id"), "article_id")
+    spread = lambda a, n: F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(a) + F.col(n) - 1) / CELL))
+    regions = pictures.unionByName(texts).where("w > 0 and h > 0").withColumn("cx", F.explode(spread("left", "w"))).withColumn("cy", F.explode(spread("top", "h")))
+    keyed = taps.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
+    within = F.expr("x >= left and x < left + w and y >= top and y < top + h")
+    first = F.min_by(F.struct("img_id", "article_id"), F.struct("kind", "seq")).alias("hit")
+    return keyed.join(regions, ["page", "cx", "cy"]).where(within).groupBy(*taps.columns).agg(first).select(*taps.columns, "hit.img_id", "hit.article_id")

@@ -1,66 +1,147 @@
-"""Dense positions and greedy packing over a global order, without moving all rows to one task."""
+"""Dense positions, running totals and greedy packing over a global order, without moving all rows to one task.
+
+Rows are dealt into ranges of the order whose bounds are quantiles of a sample.  The sample is the rows of least hash, so it has a
+fixed size and is the same whenever it is taken, and bounds hold the whole order, ties included: neither a prefix nor a key that
+most rows share makes a range larger than others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Rows of the sample for each range, and the most ranges.
+SAMPLED, MOST_RANGES = 16, 512
 
-def with_position(df: DataFrame, key: Column, name: str, width: int = 1 << 20, ties: tuple[Column, ...] = ()) -> DataFrame:
-    """df with its rows' places (from 0) in the order of a whole-number key.
 
-    Rows are counted by ranges of width of the key; a range's rows are numbered in one task, and ranges, few of them, are added up.
-    """
-    ranged = df.withColumn("__range", F.floor(key / width))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties)) - 1
-    numbered = ranged.withColumn("__place", place).join(base, "__range")
-    return numbered.withColumn(name, F.col("__base") + F.col("__place")).drop("__range", "__base", "__place")
-
-
-def with_text_position(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), prefix: int = 2) -> DataFrame:
-    """df with its rows' places (from 0) in the byte order of a text or binary key: as above, ranges being equal first bytes."""
-    head = F.hex(F.substring(F.col(key).cast("binary"), 1, prefix))
-    ranged = df.withColumn("__range", head)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties)) - 1
-    numbered = ranged.withColumn("__place", place).join(base, "__range")
-    return numbered.withColumn(name, F.col("__base") + F.col("__place")).drop("__range", "__base", "__place")
+def _c(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def ranged(df: DataFrame, order: list[Column | str], name: str, ranges: int | None = None) -> DataFrame:
+    """df with the number of each row's range of the order (nulls first); as many ranges as shuffle partitions unless said otherwise."""
+    n = min(MOST_RANGES, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[_c(x).alias(f"k{i}") for i, x in enumerate(order)])
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLED * n)
+    every = F.greatest(F.ceil(F.size("all") / n).cast("int"), F.lit(1))
+    bounds = sample.agg(F.array_sort(F.collect_list("k")).alias("all")).select(F.filter("all", lambda x, i: (i > 0) & (i % every == 0)).alias("__bounds"))
+    bounded = df.crossJoin(F.broadcast(bounds))  # one row of at most SAMPLED * MOST_RANGES keys
+    return bounded.withColumn(name, F.size(F.filter("__bounds", lambda b: b <= key))).drop("__bounds")
+
+
+def _with_total(df: DataFrame, order: list[Column | str], name: str, value: Column) -> DataFrame:
+    """df with the total of value over all rows before a row."""
+    dealt = ranged(df, order, "__range").withColumn("__value", value.cast("long"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    base = sums.select("__range", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__base"))
+    inner = F.coalesce(F.sum("__value").over(before(Window.partitionBy("__range").orderBy(*map(_c, order)))), F.lit(0))
+    return dealt.withColumn("__inner", inner).join(base, "__range").withColumn(name, F.col("__base") + F.col("__inner")).drop("__range", "__value", "__base", "__inner")
+
+
+def with_position(df: DataFrame, key: Column | str, name: str, ties: tuple[Column | str, ...] = ()) -> DataFrame:
+    """df with its rows' places (from 0) in the order of key and ties, which together tell rows apart."""
+    return _with_total(df, [key, *ties], name, F.lit(1))
+
+
+def with_text_position(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The same in the byte order of a text or binary key."""
+    return with_position(df, F.col(key).cast("binary"), name, ties)
+
+
+def with_text_running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df with the total of value over all rows before a row in the byte order of a unique text key."""
+    return _with_total(df, [F.col(key).cast("binary")], name, F.col(value))
+
+
+class _Chunks:
+    """Where chunks begin in a run of lengths.  at: the blob bytes up to which the chunk that is open at its start reaches."""
+
+    def __init__(self, lengths: np.ndarray, limit: int):
+        self.after = np.cumsum(lengths)
+        self.before = self.after - lengths
+        self.n, self.limit = len(lengths), limit
+        reach = np.searchsorted(self.after, self.before + limit, side="right")
+        self.next = np.maximum(np.arange(self.n) + 1, reach)  # the start after a chunk that starts here
+
+    def summary(self) -> list[tuple[int, int, int]]:
+        """(low, out, chunks): for an at of low or more, and under the next row's low, what at is behind the run (from its end), and
+        how many chunks start in it. An at of the run's bytes or more passes over it."""
+        starts = np.arange(int(np.searchsorted(self.before, self.limit, side="right")))
+        last, count, now = starts.copy(), np.ones(len(starts), np.int64), starts.copy()
+        while len(now):
+            then = self.next[now]
+            going = then < self.n
+            if not going.any():
+                break
+            now = np.where(going, np.where(going, then, 0), now)
+            last = now
+            count += going
+        total = int(self.after[-1]) if self.n else 0
+        out = self.before[last] + self.limit - total if len(starts) else last
+        new = np.ones(len(starts), bool)
+        new[1:] = (out[1:] != out[:-1]) | (count[1:] != count[:-1])
+        return [(int(self.before[j]) if j else -(1 << 62), int(out[j]), int(count[j])) for j in starts[new].tolist()]
+
+    def places(self, at: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, offset) of every blob, the run being entered in this chunk."""
+        starts, j = [], int(np.searchsorted(self.after, at, side="right")) if at >= 0 else 0
+        while j < self.n:
+            starts.append(j)
+            j = int(self.next[j])
+        which = np.searchsorted(np.array(starts, np.int64), np.arange(self.n), side="right")
+        begin = np.concatenate([[at - self.limit], self.before[starts]]) if starts else np.array([at - self.limit])
+        return chunk + which, self.before - begin[which]
 
 
 def chunked(lengths: DataFrame, limit: int, id_col: str = "id", length_col: str = "length") -> DataFrame:
     """(id, length, chunk_id, offset): blobs appended in id order, a new chunk begun when one would pass limit.
 
-    The state is two numbers and depends on every blob before, so (id, length) rows alone go through one ordered pass in
-    batches; payloads join the result by id. A first blob over the limit leaves chunk 0 empty.
+    What a range of blobs does depends on the chunk that is open at its start, but chunks soon begin at the same blobs whatever that
+    is.  So each range is summed up as a step function of it, in parallel; one task follows these few steps from range to range, and
+    the ranges place their blobs in parallel. A first blob over the limit leaves chunk 0 empty.
     """
+    rows = ranged(lengths.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("length")), ["id"], "r")
 
-    def roll(batches):
-        import pyarrow as pa
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.sort_by("id")
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        n = ordered(table)["length"].to_numpy()
+        low, out, count = zip(*_Chunks(n, limit).summary(), strict=True)
+        return pa.table({"r": pa.array([key[0].as_py()] * len(low), pa.int32()), "total": pa.array([int(n.sum())] * len(low)), "low": pa.array(low, pa.int64()), "out": pa.array(out, pa.int64()), "chunks": pa.array(count, pa.int64())})
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, now, total, steps = limit, 0, None, 0, []
+
+        def behind() -> tuple[int, int]:
+            if now is None:
+                return at, chunk
+            if at >= total:
+                return at - total, chunk
+            out, count = next((o, c) for low, o, c in reversed(steps) if at >= low)
+            return out, chunk + count
 
-        chunk = offset = 0
         for batch in batches:
-            chunks, offsets = [], []
-            for n in batch.column(1).to_pylist():
-                if offset + n > limit:
-                    chunk, offset = chunk + 1, 0
-                chunks.append(chunk)
-                offsets.append(offset)
-                offset += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64()), pa.array(offsets, pa.int64())], names=[id_col, length_col, "chunk_id", "offset"])
-
-    ordered = lengths.select(F.col(id_col).cast("long"), F.col(length_col).cast("long")).repartitionByRange(1, id_col).sortWithinPartitions(id_col)
-    return ordered.mapInArrow(roll, f"`{id_col}` long, `{length_col}` long, chunk_id long, offset long")
-
-
-def with_text_running_total(df: DataFrame, key: str, value: str, name: str, prefix: int = 2) -> DataFrame:
-    """df with the total of value over all rows before a row in the byte order of a unique text key; ranges as above."""
-    ranged = df.withColumn("__range", F.hex(F.substring(F.col(key).cast("binary"), 1, prefix)))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__n"))
-    base = sums.select("__range", F.coalesce(F.sum("__n").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__base"))
-    inner = F.coalesce(F.sum(value).over(before(Window.partitionBy("__range").orderBy(key))), F.lit(0))
-    return ranged.withColumn("__inner", inner).join(base, "__range").withColumn(name, F.col("__base") + F.col("__inner")).drop("__range", "__base", "__inner")
+            entered = []
+            for r, t, low, out, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now:
+                    at, chunk = behind()
+                    now, total, steps = r, t, []
+                    entered.append((r, at, chunk))
+                steps.append((low, out, count))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in entered], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["r", "at", "chunk"])
+
+    def placed(key: tuple, blobs: pa.Table, state: pa.Table) -> pa.Table:
+        blobs = ordered(blobs)
+        if not len(blobs):
+            return pa.table({id_col: pa.array([], pa.int64()), length_col: pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "offset": pa.array([], pa.int64())})
+        chunk, offset = _Chunks(blobs["length"].to_numpy(), limit).places(state["at"][0].as_py(), state["chunk"][0].as_py())
+        return pa.table({id_col: blobs["id"], length_col: blobs["length"], "chunk_id": pa.array(chunk), "offset": pa.array(offset)})
+
+    steps = rows.groupBy("r").applyInArrow(summed, "r int, total long, low long, out long, chunks long")
+    entered = steps.repartition(1).sortWithinPartitions("r", "low").mapInArrow(followed, "r int, at long, chunk long")
+    return rows.groupBy("r").cogroup(entered.groupBy("r")).applyInArrow(placed, f"`{id_col}` long, `{length_col}` long, chunk_id long, offset long")

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -8,7 +9,7 @@ from quire import registry
 from quire.operators import joins, ordering
 from quire.plans import catalog as C, search as S
 from quire.sources import entries as E
-from quire.streaming import gestures, logs, navigation
+from quire.streaming import gestures, logs, navigation, screens
 
 PAGE = "<html><head><title>{0}</title></head><body><p>{0} <a href='x'>q</a> <a href=\"{1}\">l</a></p></body></html>"
 
@@ -59,7 +60,7 @@ def test_build_write_load_and_read(spark, entries, tmp_path):
     engine = S.SearchEngine(made.index, made.words, made.title31)
     assert [r["title"] for r in engine.prefix("FOO").collect()] == ["foo bar"] and engine.prefix("").count() == 0 and engine.prefix("x" * 61).count() == 0
     assert [r["article_id"] for r in engine.contains("bar").collect()] == [1] and engine.contains("the").count() == 0 and engine.contains("it's").count() == 0
-    assert [tuple(r)[:3] for r in engine.go("knot").collect()] == [(0, 1, 0)] and [r["section"] for r in engine.go("title").collect()] == [1]
+    assert [tuple(r)[:3] for r in engine.go("knot").collect()] == [(0, 1, 0)] and [(r["section"], r["article_id"] is None) for r in engine.go("title").orderBy("section").collect()] == [(1, True), (2, False)]
     assert engine.exact("Knot").first()["article_id"] == 0 and engine.exact("é").count() == 0
     assert [r["section"] for r in engine.desktop("o").collect()] == [1, 1] and engine.info("n").first()["article_count"] == 4
     assert S.SearchEngine(made.index, device_compat=True).exact("Foo  Bar").count() == 0 and engine.exact("Foo  Bar").count() == 1
@@ -93,21 +94,54 @@ def python_chunks(lengths, limit):
     return out
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(0, 30), max_size=30))
-def test_chunks(spark, lengths):
-    df = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").repartition(3)
-    got = [(r["chunk_id"], r["offset"]) for r in ordering.chunked(df, 20).orderBy("id").collect()]
-    assert got == python_chunks(lengths, 20)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.integers(0, 40), max_size=6), st.integers(1, 25))
+def test_chunks_from_range_to_range(lengths, cuts, limit):
+    """What the ranges' steps say equals a walk over all blobs, wherever ranges begin."""
+    bounds = [0, *sorted(min(c, len(lengths)) for c in cuts), len(lengths)]
+    at, chunk, out = limit, 0, []
+    for a, b in zip(bounds, bounds[1:]):
+        if a == b:
+            continue
+        run = ordering._Chunks(np.array(lengths[a:b], np.int64), limit)
+        which, offset = run.places(at, chunk)
+        out += zip(which.tolist(), offset.tolist())
+        if at >= run.after[-1]:
+            at -= int(run.after[-1])
+        else:
+            low, then, count = [s for s in run.summary() if s[0] <= at][-1]
+            at, chunk = then, chunk + count
+    assert out == python_chunks(lengths, limit)
+
+
+def test_chunks(spark):
+    rnd = np.random.default_rng(3)
+    for lengths in ([], [50], [0, 0, 50, 3], rnd.integers(0, 30, 400).tolist()):
+        df = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").repartition(3)
+        got = [(r["chunk_id"], r["offset"]) for r in ordering.chunked(df, 20).orderBy("id").collect()]
+        assert got == python_chunks(lengths, 20)
 
 
 def test_positions(spark):
     df = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "k long").repartition(5)
-    assert [(r["k"], r["p"]) for r in ordering.with_position(df, F.col("k"), "p", width=10).orderBy("k").collect()] == [(k, k) for k in range(101)]
+    assert [(r["k"], r["p"]) for r in ordering.with_position(df, F.col("k"), "p").orderBy("k").collect()] == [(k, k) for k in range(101)]
     words = sorted({f"{a}{b}é" for a in "abé" for b in range(9)} | {"", "a"}, key=str.encode)
     df = spark.createDataFrame([(w, 2) for w in words], "w string, n long").repartition(5)
     assert [r["w"] for r in ordering.with_text_position(df, "w", "p").orderBy("p").collect()] == words
     assert [r["t"] for r in ordering.with_text_running_total(df, "w", "n", "t").orderBy("t").collect()] == [2 * k for k in range(len(words))]
+    assert ordering.with_position(df.limit(0), "n", "p").count() == 0
+
+
+def test_ranges_are_even_whatever_the_keys(spark):
+    """Hot prefixes, ids that are hashes, and one key that most rows share."""
+    hot = spark.range(4000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("the same beginning "), F.col("id").cast("string"))).otherwise(F.hex("id")).alias("k"), "id")
+    hashes = spark.range(4000).select(F.xxhash64("id").alias("k"), "id")
+    equal = spark.range(4000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    for df in (hot, hashes, equal):
+        sizes = [r["count"] for r in ordering.ranged(df, ["k", "id"], "r", 8).groupBy("r").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+        placed = ordering.with_position(df, "k", "p", ("id",)).orderBy("k", "id").collect()
+        assert [r["p"] for r in placed] == list(range(4000))
 
 
 def test_picture_names(spark):
@@ -181,6 +215,54 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {tuple(r) for r in run_stream(logs.tail(spark, str(tmp_path / "log")), "lines")} == {("[touch] press", "touch"), ("plain", None)}
 
 
+def test_state_of_idle_keys_goes():
+    class State:
+        exists, hasTimedOut, gone = True, True, False
+
+        def remove(self):
+            self.gone = True
+
+    for make, columns in ((gestures.stream_gestures, "device string, ts_ms long, pressed boolean, x int, y int"), (navigation.stream_sessions, "session string, seq long, action string, article_id long")):
+        held = {}
+
+        class Frame:
+            def where(self, _):
+                return self
+
+            def groupBy(self, _):
+                return self
+
+            def applyInPandasWithState(self, run, *rest):
+                held["run"], held["timeout"] = run, rest[-1]
+
+        make(Frame(), 1000)
+        state = State()
+        assert list(held["run"](("k",), iter([]), state)) == [] and state.gone and held["timeout"] == "ProcessingTimeTimeout" and columns
+
+
+def tap(x, y, **more):
+    return ("TAP", x, y, 0, more)
+
+
+def test_screens(spark):
+    keys = [tap(30, 40), tap(20, 130), tap(10, 180), tap(30, 150), tap(20, 220), tap(5, 110), tap(5, 220)]  # box, a key, shift, A, numbers, 1, numbers
+    story = [
+        *keys, tap(300, 180), ("HOLD", 300, 180, 0, {}), tap(40, 100), tap(300, 230, found=30), ("SWIPE_UP", 0, 0, -40, {}), tap(300, 10), tap(50, 100, result_id=7),
+        ("SWIPE_UP", 0, 0, -100, {"height": 900}), tap(230, 10, height=900), tap(50, 90, height=900, img_id=3), ("SWIPE_UP", 0, 0, -9, {}), tap(1, 1), tap(50, 90, height=900, link_id=8),
+        tap(10, 10), tap(100, 10), tap(10, 10), tap(30, 30), tap(300, 230, found=1, exact_id=9),
+    ]
+    columns = ("found", "result_id", "exact_id", "height", "img_id", "link_id")
+    rows = [("s", k, kind, x, y, dy, *(more.get(c) for c in columns)) for k, (kind, x, y, dy, more) in enumerate(story)]
+    df = spark.createDataFrame(rows, "session string, seq long, type string, x int, y int, dy int, found int, result_id long, exact_id long, height int, img_id long, link_id long")
+    got = screens.screens(df.repartition(3)).orderBy("seq").collect()
+    assert [r["query"] for r in got[:10]] == ["", "q", "q", "qA", "qA", "qA1", "qA1", "qA", "q", "qw"]
+    assert [(r["screen"], r["action"], r["article_id"], r["img_id"], r["scroll"], r["depth"]) for r in got[10:]] == [
+        ("SEARCH", "search", None, None, 0, 0), ("SEARCH", "scroll", None, None, 2, 0), ("SEARCH", "scroll", None, None, 19, 0), ("ARTICLE", "open", 7, None, 0, 0),
+        ("ARTICLE", "scroll", 7, None, 100, 0), ("ARTICLE", "scroll", 7, None, 0, 0), ("IMAGE", "picture", 7, 3, 0, 0), ("IMAGE", "", 7, 3, 0, 0), ("ARTICLE", "close", 7, None, 0, 0), ("ARTICLE", "follow", 8, None, 0, 1),
+        ("ARTICLE", "back", 7, None, 0, 0), ("ARTICLE", "", 7, None, 0, 0), ("SEARCH", "back", 7, None, 19, 0), ("SEARCH", "keyboard", 7, None, 19, 0), ("ARTICLE", "open", 9, None, 0, 0),
+    ]
+
+
 def test_history_drops_the_oldest():
     state = ("ARTICLE", 0, 0, [])
     for k in range(1, 40):
