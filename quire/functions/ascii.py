@@ -41,12 +41,18 @@ def table() -> dict[str, str]:
 
 
 def to_ascii(text: Column | str) -> Column:
-    """ASCII stays, known characters become their replacement, others "?". Text without any others is passed on as it is."""
+    """ASCII stays, known characters become their replacement, others "?". Text without any others is passed on as it is, and
+    replacements longer than a character are tried only where there are any, those outside Latin only where one of these occurs."""
     c = F.col(text) if isinstance(text, str) else text
-    one, more = {}, {}
-    for k, v in table().items():
-        (one if len(v) == 1 else more)[k] = v
+    one = {k: v for k, v in table().items() if len(v) == 1}
+    latin, other = ({k: v for k, v in table().items() if len(v) != 1 and (k < "\u0180") == near} for near in (True, False))
     plain = F.translate(c, "".join(one), "".join(one.values()))
-    for k, v in more.items():
-        plain = F.replace(plain, F.lit(k), F.lit(v))
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(plain, r"[^\x00-\x7f]", "?"))
+
+    def changed(x: Column, found: dict[str, str]) -> Column:
+        for k, v in found.items():
+            x = F.replace(x, F.lit(k), F.lit(v))
+        return x
+
+    has = lambda found: c.rlike(f"[{''.join(found)}]")
+    longer = F.when(has(other), changed(plain, latin | other)).when(has(latin), changed(plain, latin)).otherwise(plain)
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(longer, r"[^\x00-\x7f]", "?"))

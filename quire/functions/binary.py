@@ -150,6 +150,31 @@ def unpacked_articles(blob: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([r or (None, None, None) for r in rows], columns=["article_id", "title", "blocks"]).astype({"article_id": "Int64"})
 
 
+@arrow_udf("binary")
+def packed_legacy(article_id: pd.Series, title: pd.Series, html: pd.Series) -> pd.Series:
+    """Column function: (id, title, html) to a blob of the older format."""
+    return pd.Series([None if h is None else pack_legacy(int(i), t or "", h) for i, t, h in zip(article_id, title, html, strict=True)], dtype=object)
+
+
+@arrow_udf("binary")
+def compressed(data: pd.Series) -> pd.Series:
+    """Column function: text or bytes to an LZ4 block behind its size."""
+    return pd.Series([None if d is None else compress_block(d.encode() if isinstance(d, str) else bytes(d)) for d in data], dtype=object)
+
+
+@arrow_udf("binary")
+def decompressed(block: pd.Series) -> pd.Series:
+    """Column function: an LZ4 block behind its size to its bytes; null for what is malformed."""
+
+    def one(b):
+        try:
+            return None if b is None else decompress_block(bytes(b))
+        except (ValueError, struct.error):
+            return None
+
+    return pd.Series([one(b) for b in block], dtype=object)
+
+
 def little_endian(data: Column | str, at: int | Column, n: int) -> Column:
     """Unsigned little-endian number of n bytes at a position from 0; null past the end."""
     part = F.substring(_c(data), (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(n))
@@ -183,11 +208,39 @@ def kind_of(data: Column | str) -> Column:
     return out.when(h.startswith("FFD8"), "jpeg").when(h == code(b"\x89PNG"), "png").otherwise("unknown")
 
 
+def size_of(data: bytes) -> tuple[int, int] | None:
+    """(w, h) from a picture's header: QOI's, PNG's, or that of a JPEG's first frame; None for others and for what is cut off."""
+    if data[:4] == b"qoif":
+        found = struct.unpack_from(">II", data, 4) if len(data) >= 12 else None
+    elif data[:8] == b"\x89PNG\r\n\x1a\n":
+        found = struct.unpack_from(">II", data, 16) if len(data) >= 24 and data[12:16] == b"IHDR" else None
+    else:
+        found = _frame_size(data) if data[:2] == b"\xff\xd8" else None
+    return found if found and max(found) < 1 << 31 else None
+
+
+def _frame_size(data: bytes) -> tuple[int, int] | None:
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker, size = struct.unpack_from(">BH", data, at + 1)
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker in (0xC0, 0xC1, 0xC2):
+            return (*reversed(struct.unpack_from(">HH", data, at + 5)),) if at + 9 <= len(data) else None
+        elif marker == 0xDA or size < 2:
+            return None
+        else:
+            at += 2 + size
+    return None
+
+
+@arrow_udf("w int, h int")
+def _sizes(data: pd.Series) -> pd.DataFrame:
+    rows = [(size_of(bytes(d)) if d is not None else None) or (None, None) for d in data]
+    return pd.DataFrame(rows, columns=["w", "h"]).astype("Int32")
+
+
 def picture_size(data: Column | str) -> Column:
-    """(w, h) from a picture's header: QOI's, or a JPEG's first frame; nulls for others."""
-    d = _c(data)
-    h = F.hex(d)
-    frame = F.regexp_extract(h, r"^FFD8(?:FF(?!C0|C1|C2)(?:[0-9A-F]{2})(?:0002|(?:....)(?:..)*?)(?=FF))*?FFC[012]....08(....)(....)", 0)
-    high, wide = (F.conv(F.nullif(F.substring(frame, F.length(frame) - k, F.lit(4)), F.lit("")), 16, 10).cast("int") for k in (7, 3))
-    qoi = F.struct(big_endian(d, 4, 4).cast("int").alias("w"), big_endian(d, 8, 4).cast("int").alias("h"))
-    return F.when(kind_of(d) == "qoi", qoi).when((kind_of(d) == "jpeg") & (frame != ""), F.struct(wide.alias("w"), high.alias("h")))
+    """Column function: size_of() by rows, as (w, h); null for what is no picture. Segments before a JPEG's frame may have any size."""
+    found = _sizes(_c(data))
+    return F.when(found["w"].isNotNull(), found)

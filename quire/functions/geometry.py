@@ -11,6 +11,9 @@ from quire.schemas import NAV_HEIGHT, SCREEN_HEIGHT, SCREEN_WIDTH
 CONTENT_HEIGHT = SCREEN_HEIGHT - NAV_HEIGHT
 KEY_WIDTH, ROW_STRIDE, ROWS = 32, 36, 4
 SHIFT, NUM, CLEAR, BACKSPACE, GO = "\x01", "\x02", "\x03", "\b", "\r"
+#: Keys of the keyboard's rows; fixed values.
+LETTERS = ("QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM")
+DIGITS, SHIFTED_DIGITS, SYMBOLS = "1234567890", "!@#$%^&*()", ("-/:;()$&@", "!'\"`,.?")
 
 
 def _c(x: Column | str | int) -> Column:
@@ -102,9 +105,9 @@ def key_at(x: Column | str, y: Column | str, top: Column | int, shift: Column, n
     letter = lambda chars, col: F.when(shift, pick(chars, col)).otherwise(pick(chars.lower(), col))
     col0, col1, col2 = (quotient(x - a, KEY_WIDTH).cast("int") for a in (0, 16, 48))
     within = lambda col, n: (col >= 0) & (col < n)
-    first = F.when(within(col0, 10), F.when(num & shift, pick("!@#$%^&*()", col0)).when(num, pick("1234567890", col0)).otherwise(letter("QWERTYUIOP", col0)))
-    second = F.when(within(col1, 9), F.when(num, pick("-/:;()$&@", col1)).otherwise(letter("ASDFGHJKL", col1)))
-    third = F.when(x < 48, SHIFT).when(x >= 272, BACKSPACE).when(within(col2, 7), F.when(num, pick("!'\"`,.?", col2)).otherwise(letter("ZXCVBNM", col2)))
+    first = F.when(within(col0, 10), F.when(num & shift, pick(SHIFTED_DIGITS, col0)).when(num, pick(DIGITS, col0)).otherwise(letter(LETTERS[0], col0)))
+    second = F.when(within(col1, 9), F.when(num, pick(SYMBOLS[0], col1)).otherwise(letter(LETTERS[1], col1)))
+    third = F.when(x < 48, SHIFT).when(x >= 272, BACKSPACE).when(within(col2, 7), F.when(num, pick(SYMBOLS[1], col2)).otherwise(letter(LETTERS[2], col2)))
     fourth = F.when(x < 32, NUM).when(x < 176, " ").when(x < 224, CLEAR).otherwise(GO)
     inside = (dy >= 0) & (dy < ROWS * ROW_STRIDE)
     return F.when(inside, reduce(lambda a, kv: a.when(row == kv[0], kv[1]), [(1, second), (2, third), (3, fourth)], F.when(row == 0, first)))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from quire.functions.lazy import arrow_udf
+from quire.functions.text import WHITE
 from quire.schemas import BLOCK_BYTES
 
 _DROPPED = frozenset("script style table sup sub noscript meta link header footer nav aside math figcaption".split())
@@ -197,12 +198,22 @@ def tokens(html: str) -> Iterator[tuple[int, str, str, bool, str, str]]:
         seq += 1
 
 
-@F.udtf(returnType="seq int, kind string, name string, closing boolean, attrs string, text string")
-class HtmlTokens:
-    """Table function: one row for each token of a document."""
+def token_list(html: Column | str) -> Column:
+    """Column function: the tokens of a document in order, as structs (kind, name, closing, attrs, text); the place is the seq."""
+    pieces = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"<[^<>]*>?|[^<]+"), F.lit(0))
+    strip = lambda x: F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")
 
-    def eval(self, html: str):
-        yield from tokens(html or "")
+    def token(piece: Column) -> Column:
+        is_tag = piece.startswith("<")
+        tag = F.when(is_tag, strip(F.substring(piece, F.lit(2), F.length(piece) - 2))).otherwise("")
+        closing = tag.startswith("/")
+        body = F.when(closing, F.substring(tag, F.lit(2), F.length(tag))).otherwise(tag)
+        name = F.substring_index(body, " ", 1)
+        attrs = F.substring(body, F.length(name) + 2, F.length(body))
+        return F.struct(F.when(is_tag, "tag").otherwise("text").alias("kind"), F.lower(name).alias("name"), closing.alias("closing"), attrs.alias("attrs"), F.when(is_tag, "").otherwise(piece).alias("text"))
+
+    whole = F.filter(pieces, lambda x: ~x.startswith("<") | (x.endswith(">") & (strip(F.substring(x, F.lit(2), F.length(x) - 2)) != "")))
+    return F.transform(whole, token)
 
 
 CHAR_WIDTH, BODY_LINE, GAP, MARGIN, INDENT = 7, 16, 6, 4, 14
@@ -305,12 +316,46 @@ def page_layout(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"links": [[dict(zip(link, x, strict=True)) for x in p.links] for p in pages], "images": [[dict(zip(image, x, strict=True)) for x in p.images] for p in pages], "content_height": [p.height for p in pages]})
 
 
-#: Numbers that stand for the next and the previous page in links.
+#: Numbers that stand for the next and the previous page in links; fixed values.
 NEXT_PAGE, PREVIOUS_PAGE = 0xFFFFFFFE, 0xFFFFFFFD
 
 
 def with_page_links(html: Column | str, page: Column, has_next: Column) -> Column:
-    """A page with links to the pages before and behind it."""
+    """A page with links to the pages before and behind it, in the words that the device shows."""
     h = F.col(html) if isinstance(html, str) else html
-    link = lambda i, t: F.lit(f'<p><a href="/wiki/{i}">{t}</a></p>')
-    return F.concat(F.when(page > 0, link(PREVIOUS_PAGE, "Previous page")).otherwise(""), h, F.when(has_next, link(NEXT_PAGE, "Next page")).otherwise(""))
+    link = lambda i, t: f'<a href="/wiki/{i}">{t}</a>'
+    before = F.when(page > 0, link(PREVIOUS_PAGE, "&lt; Prev page") + "<p></p>").otherwise("")
+    return F.concat(before, h, F.when(has_next, "<p></p>" + link(NEXT_PAGE, "Next page &gt;")).otherwise(""))
+
+
+def page_of(data: bytes, page: int, known: list[int], size: int = BLOCK_BYTES) -> tuple[int, int, bool]:
+    """(start, end, whether another follows) of a page of an entry that was stored whole: size bytes at most, cut behind the last ">",
+    be it the first byte, else at size. known has the starts found so far, from 0 on, and gets those up to the page behind this one;
+    pages before it are found on the way. A page past the end is empty."""
+
+    def end(start: int) -> int:
+        return len(data) if start + size >= len(data) else data.rfind(b">", start, start + size) + 1 or start + size
+
+    while len(known) <= page + 1 and end(known[-1]) < len(data):
+        known.append(end(known[-1]))
+    start = known[page] if page < len(known) else len(data)
+    return start, end(start), end(start) < len(data)
+
+
+def page_bounds(size: int = BLOCK_BYTES):
+    """Column function: (start, end) of every page of an entry that was stored whole, found as a reader who turns its pages finds them."""
+
+    @arrow_udf("array<struct<start int, end int>>")
+    def bounds(html: pd.Series) -> pd.Series:
+        out = []
+        for h in html:
+            data, known, page, own = (h.encode() if isinstance(h, str) else bytes(h or b"")), [0], 0, []
+            more = len(data) > 0
+            while more:
+                start, end, more = page_of(data, page, known, size)
+                own.append({"start": start, "end": end})
+                page += 1
+            out.append(None if h is None else own)
+        return pd.Series(out, dtype=object)
+
+    return bounds

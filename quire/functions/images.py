@@ -1,7 +1,4 @@
-"""Pictures: classification, lossless decoding and encoding, reduction for a display.
-
-JPEG and WebP pixels are not decoded (no such library is at hand); their headers are (functions.binary.picture_size).
-"""
+"""Pictures: classification, the QOI format, scaling, and reduction for a display. PNG and JPEG are in functions.raster."""
 
 from __future__ import annotations
 

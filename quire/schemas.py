@@ -13,6 +13,7 @@ BLOCK_BYTES = 60_000
 MAX_ARTICLE_BYTES = 16 * 1024 * 1024
 ARTICLE_CHUNK_BYTES = 32 * 1024 * 1024
 IMAGE_CHUNK_BYTES = 4 * 1024 * 1024
+JPEG_QUALITY = 90
 MIN_IMAGE_SIDE = 50
 THUMB_WIDTH, THUMB_HEIGHT = 320, 212
 SCREEN_WIDTH, SCREEN_HEIGHT, NAV_HEIGHT = 320, 240, 28
@@ -30,15 +31,4 @@ STOP_WORDS = (
 ).split()
 
 ENTRIES = "entry_id long, path string, title string, is_redirect boolean, mimetype string, content binary"
-IMAGE_ENTRIES = "entry_id long, path string, mimetype string, orig_w int, orig_h int, colours int, is_redirect boolean"
-TITLE_MAP = "title_norm string, article_id long"
-INDEX = "title_key string, article_id long, offset long, length long"
-ID_INDEX = "article_id long, chunk_id long, offset long, length long"
-WORD_INDEX = "word string, article_ids array<long>"
-TITLE_INDEX = "article_id long, title31 string"
-META = "key string, value string"
-BLOCKS = "article_id long, block_num int, data binary"
-TOKENS = "seq int, kind string, name string, closing boolean, attrs string, text string"
-TOUCH_SAMPLES = "device string, ts_ms long, pressed boolean, x int, y int"
 TOUCH_EVENTS = "device string, ts_ms long, type string, x int, y int, dy int"
-NAV_ACTIONS = "session string, seq long, action string, article_id long"

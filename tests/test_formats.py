@@ -1,11 +1,13 @@
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quire.functions import binary as B, geometry as G, html as H, images as I
+from quire.functions import binary as B, geometry as G, html as H, images as I, raster as R
 
 
 @settings(max_examples=200, deadline=None)
@@ -62,6 +64,75 @@ def test_binary_columns(spark):
     assert tuple(one(jpeg, B.picture_size)) == (40, 30) and tuple(one(I.qoi_encode(np.zeros((3, 5, 3), np.uint8)), B.picture_size)) == (5, 3) and one(b"x", B.picture_size) is None
 
 
+def test_headers_behind_large_segments(spark):
+    frame = bytes.fromhex("FFC0000B08001E00280101")
+    segment = lambda n: b"\xff\xe1" + (n + 2).to_bytes(2, "big") + b"\xab" * n
+    cases = [(b"\xff\xd8" + segment(n) + frame, (40, 30)) for n in (0, 20, 1200, 2000, 65533)]
+    cases += [(b"\xff\xd8" + segment(65533) * 4 + frame, (40, 30)), (b"\xff\xd8\xff\xff" + segment(3) + frame, (40, 30)), (b"\xff\xd8" + segment(9), None), (b"\xff\xd8" + frame[:7], None), (b"\xff\xd8\xff\xda\0\x04ab" + frame, None), (b"\xff\xd8\xff\xe1\0\1" + frame, None), (b"\xff\xd8" + b"x" * 50, None), (b"qoif" + b"\xff" * 8, None), (None, None), (b"", None)]
+    df = spark.createDataFrame([(k, None if d is None else bytearray(d)) for k, (d, _) in enumerate(cases)], "k int, d binary")
+    got = {r["k"]: r["s"] for r in df.select("k", B.picture_size("d").alias("s")).collect()}
+    assert [got[k] and tuple(got[k]) for k in range(len(cases))] == [want for _, want in cases]
+
+
+def filtered(px, kind):
+    """A PNG whose rows all have one filter."""
+    h, w, lanes = px.shape
+    raw = bytearray()
+    for y in range(h):
+        raw.append(kind)
+        for k in range(w * lanes):
+            x, c = divmod(k, lanes)
+            now, a, b = int(px[y, x, c]), int(px[y, x - 1, c]) if x else 0, int(px[y - 1, x, c]) if y else 0
+            d = int(px[y - 1, x - 1, c]) if x and y else 0
+            near = min((a, b, d), key=lambda v: abs(a + b - d - v))
+            raw.append((now - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[lanes]
+    return R.PNG_MAGIC + R._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + R._chunk(b"IDAT", zlib.compress(bytes(raw))) + R._chunk(b"IEND", b"")
+
+
+def test_png():
+    rng = np.random.default_rng(4)
+    for lanes in (1, 2, 3, 4):
+        px = rng.integers(0, 256, (7, 9, lanes)).astype(np.uint8)
+        for kind in range(5):
+            got = R.pixels_of(filtered(px, kind))
+            assert (got[:, :, :3] == px[:, :, : 3 if lanes > 2 else 1]).all() and (got[:, :, 3] == (px[:, :, -1] if lanes in (2, 4) else 255)).all()
+    rgb = rng.integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    assert (R.pixels_of(R.png_encode(rgb))[:, :, :3] == rgb).all()
+    head = R.PNG_MAGIC + R._chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 2, 2, 3, 0, 0, 0)) + R._chunk(b"PLTE", bytes(range(12))) + R._chunk(b"tRNS", b"\x00\x80")
+    small = R.pixels_of(head + R._chunk(b"IDAT", zlib.compress(b"\0\x1b\x40\0\xe4\x80")) + R._chunk(b"IEND", b""))
+    assert small[:, :, 0].tolist() == [[0, 3, 6, 9, 3], [9, 6, 3, 0, 6]] and small[0, :2, 3].tolist() == [0, 128]
+    for bad in (b"", R.PNG_MAGIC, R.png_encode(rgb)[:-30], b"\xff\xd8\xff"):
+        with pytest.raises(ValueError):
+            R.pixels_of(bad)
+
+
+def test_jpeg():
+    y, x = np.mgrid[0:61, 0:83]
+    smooth = np.stack([128 + 100 * np.sin(x / 9), 128 + 100 * np.cos(y / 7), 128 + 60 * np.sin((x + y) / 11)], 2).astype(np.uint8)
+    for quality, most in ((50, 20), (90, 8), (100, 3)):
+        got = R.pixels_of(R.jpeg_encode(smooth, quality))
+        assert got.shape == (61, 83, 4) and np.abs(got[:, :, :3].astype(int) - smooth).max() <= most
+    noise = np.random.default_rng(1).integers(0, 256, (17, 9, 3)).astype(np.uint8)
+    assert np.abs(R.pixels_of(R.jpeg_encode(noise, 100))[:, :, :3].astype(int) - noise).max() <= 4
+    assert B.size_of(R.jpeg_encode(noise)) == (9, 17)
+    data = R.jpeg_encode(noise)
+    for bad in (data.replace(b"\xff\xc0", b"\xff\xc2", 1), data[:60], data[: data.index(b"\xff\xda")]):
+        with pytest.raises(ValueError):
+            R.pixels_of(bad)
+
+
+def test_pages_of_whole_entries():
+    html = b"<p>one</p><p>two</p>" + b"x" * 30 + b">tail"
+    known, found, page, more = [0], [], 0, True
+    while more:
+        a, b, more = H.page_of(html, page, known, 15)
+        found.append(html[a:b])
+        page += 1
+    assert b"".join(found) == html and found[0] == b"<p>one</p><p>" and found[1] == b"two</p>" and all(len(x) <= 15 for x in found)
+    assert H.page_of(html, 3, [0], 15) == H.page_of(html, 3, known, 15) and H.page_of(html, 99, [0], 15) == (len(html), len(html), False) and H.page_of(b"", 0, [0]) == (0, 0, False)
+
+
 def test_qoi_round_trip_and_reduction(spark):
     rng = np.random.default_rng(1)
     for shape, high in (((1, 1), 256), ((7, 9), 256), ((40, 30), 4), ((3, 200), 1)):
@@ -112,6 +183,10 @@ def test_tokens_and_layout():
 def test_html_columns(spark):
     df = spark.createDataFrame([('<a href="/wiki/3">x</a><img h="8" src="/img/5" w="9"/><a class=q href="z">',)], "h string")
     r = df.select(H.entry_links("h").alias("l"), H.entry_images("h").alias("i"), H.hrefs("h").alias("r"), H.with_page_links("h", F.lit(1), F.lit(True)).alias("p")).first()
+    texts = ["a<B c=1>t</b>< >x>y<open", "", "<><a/><>", "< a  b='1' >x</ a>", "<<p>"]
+    lists = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", H.token_list("t").alias("l")).collect()
+    for row in lists:
+        assert [(k, *x) for k, x in enumerate(row["l"])] == [(seq, kind, name, closing, attrs, text) for seq, kind, name, closing, attrs, text in H.tokens(texts[row["k"]])]
     assert r["l"] == [3] and [tuple(x) for x in r["i"]] == [(5, 9, 8)] and r["r"] == ["/wiki/3", "z"] and "4294967294" in r["p"] and "4294967293" in r["p"]
 
 
