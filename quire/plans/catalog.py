@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quire.functions import html as H, images as I
+from quire.functions import html as H, images as I, raster
 from quire.functions.binary import packed_articles
 from quire.functions.geometry import fitted
 from quire.functions.text import cut_bytes, display_name, is_internal_link, key_text, link_target, normalise_title, title_key, title_or_path, title_words
 from quire.operators import joins, ordering
-from quire.schemas import ARTICLE_CHUNK_BYTES, BLOCK_BYTES, IMAGE_CHUNK_BYTES, MAX_ARTICLE_BYTES, POSTING_CAP, SPARSE_KEY_BYTES, SPARSE_STEP, THUMB_HEIGHT, THUMB_WIDTH, TITLE_ENTRY_BYTES
+from quire.schemas import ARTICLE_CHUNK_BYTES, BLOCK_BYTES, IMAGE_CHUNK_BYTES, JPEG_QUALITY, MAX_ARTICLE_BYTES, POSTING_CAP, SPARSE_KEY_BYTES, SPARSE_STEP, THUMB_HEIGHT, THUMB_WIDTH, TITLE_ENTRY_BYTES
 from quire.sources.entries import is_article_entry
 
 
@@ -48,10 +48,14 @@ def postings(pairs: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
     return pairs.withColumn("r", rank).where(F.col("r") <= cap).drop("r")
 
 
+def grouped_postings(pairs: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
+    """(word, article_ids): sorted postings. A filter on the word goes down to the pairs."""
+    return postings(pairs, cap).groupBy("word").agg(F.array_sort(F.collect_list("article_id")).alias("article_ids"))
+
+
 def listed_postings(pairs: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
     """(word, article_ids, ids_count, ids_start): sorted postings, and where they begin in the list of all postings by word."""
-    listed = postings(pairs, cap).groupBy("word").agg(F.array_sort(F.collect_list("article_id")).alias("article_ids"))
-    return ordering.with_text_running_total(listed.withColumn("ids_count", F.size("article_ids")), "word", "ids_count", "ids_start")
+    return ordering.with_text_running_total(grouped_postings(pairs, cap).withColumn("ids_count", F.size("article_ids")), "word", "ids_count", "ids_start")
 
 
 def word_index(titles: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
@@ -72,6 +76,26 @@ def image_table(image_entries: DataFrame, width: int = THUMB_WIDTH, height: int
     return ordering.with_position(shown, F.col("entry_id"), "img_id").select(F.col("img_id").cast("long"), "entry_id", "path", "diagram", "w", "h")
 
 
+def stored_pictures(image_entries: DataFrame, width: int = THUMB_WIDTH, height: int = THUMB_HEIGHT, quality: int = JPEG_QUALITY) -> DataFrame:
+    """(img_id, entry_id, path, diagram, w, h, data) of picture entries (with content): decoded, fitted, encoded, numbered in entry order."""
+    wanted = image_entries.where(I.is_image_entry("path", "mimetype", "is_redirect")).select("entry_id", "path", "mimetype", "content")
+    made = wanted.mapInArrow(raster.prepare(width, height, quality), raster.PREPARED).where(I.is_large_enough("mimetype", "orig_w", "orig_h"))
+    return made.select("entry_id", "path", "diagram", "w", "h", "data")
+
+
+def numbered_pictures(pictures: DataFrame) -> DataFrame:
+    """Pictures with img_id in front, their place in entry order; only entry ids are put in order, the data is joined to them."""
+    ids = ordering.with_position(pictures.select("entry_id"), "entry_id", "img_id").select("entry_id", F.col("img_id").cast("long").alias("img_id"))
+    return pictures.join(ids, "entry_id").select("img_id", *pictures.columns)
+
+
+def counters(titles: DataFrame, articles: DataFrame, places: DataFrame) -> DataFrame:
+    """One row on a build: titles, articles written and skipped, bytes, chunks, entries of the sparse index."""
+    found = titles.select("article_id").join(places.select(F.col("id").alias("article_id"), "length", "chunk_id"), "article_id", "left")
+    made = found.agg(F.count("*").alias("titles"), F.count("length").alias("written"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"), F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("chunks"))
+    return made.select("titles", "written", (F.col("titles") - F.col("written")).alias("skipped"), "total_bytes", "chunks", (F.floor(F.col("written") / SPARSE_STEP) + 1).alias("sparse_entries"))
+
+
 @dataclass
 class Catalog:
     """Tables of one catalog."""
@@ -90,17 +114,18 @@ class Catalog:
 
 @dataclass
 class CatalogBuilder:
-    """Options of a build. Calls are lazy; write() stores what the parts have in common once."""
+    """Options of a build. write() makes all of a catalog, write_images() and write_words() only those parts of it."""
 
     limit: int | None = None
     sparse_step: int = SPARSE_STEP
     block_bytes: int = BLOCK_BYTES
     chunk_bytes: int = ARTICLE_CHUNK_BYTES
+    image_chunk_bytes: int = IMAGE_CHUNK_BYTES
     posting_cap: int = POSTING_CAP
     thumb: tuple[int, int] = (THUMB_WIDTH, THUMB_HEIGHT)
+    jpeg_quality: int = JPEG_QUALITY
     with_images: bool = True
     name: str = ""
-    _cache: dict = field(default_factory=dict, repr=False)
 
     def cleaned(self, entries: DataFrame, titles: DataFrame, image_info: DataFrame | None = None) -> DataFrame:
         """(article_id, title, html): of each title's first entry, links and pictures resolved by joins."""
@@ -137,36 +162,68 @@ class CatalogBuilder:
         articles = self.packed(self.cleaned(entries, titles, info))
         return self.assemble(titles, articles, image_table(image_entries, *self.thumb) if info is not None else None)
 
-    def assemble(self, titles: DataFrame, articles: DataFrame, images: DataFrame | None = None) -> Catalog:
-        lengths = articles.select(F.col("article_id").alias("id"), F.octet_length("data").cast("long").alias("length"))
-        places = ordering.chunked(lengths, self.chunk_bytes)
+    def assemble(self, titles: DataFrame, articles: DataFrame, images: DataFrame | None = None, places: DataFrame | None = None) -> Catalog:
+        if places is None:
+            places = self.places(articles)
         index = index_records(titles, places)
         written = titles.join(articles.select("article_id"), "article_id", "left_semi")
         counts = places.agg(F.count("*").alias("article_count"), (F.coalesce(F.max("chunk_id"), F.lit(0)) + 1).alias("chunk_count"))
         settings = {"record_size": 80, "chunk_size": self.chunk_bytes, "sparse_step": self.sparse_step, "sparse_key_len": SPARSE_KEY_BYTES}
-        pairs = [(F.lit(k), F.col(k).cast("string")) for k in ("article_count", "chunk_count")] + [(F.lit(k), F.lit(str(v))) for k, v in settings.items()] + [(F.lit("db_name"), display_name(F.lit(self.name)))]
-        meta = counts.select(F.explode(F.map_from_arrays(F.array(*[k for k, _ in pairs]), F.array(*[v for _, v in pairs]))).alias("key", "value"))
+        meta = _settings(counts, settings, {"db_name": display_name(F.lit(self.name))})
         skipped = titles.join(articles.select("article_id"), "article_id", "left_anti")
         return Catalog(titles, articles, index, id_index(places), sparse_index(index, self.sparse_step), word_index(written, self.posting_cap), title_index(written), meta, images, skipped)
 
+    def places(self, articles: DataFrame) -> DataFrame:
+        """(id, length, chunk_id, offset) of blobs."""
+        return ordering.chunked(articles.select(F.col("article_id").alias("id"), F.octet_length("data").cast("long").alias("length")), self.chunk_bytes)
+
     def write(self, entries: DataFrame, path: str, image_entries: DataFrame | None = None) -> None:
         """All tables as Parquet under path: articles by chunk, the index sorted by key, so that prefixes skip row groups."""
-        spark = entries.sparkSession
-        save = lambda df, name, **kw: df.write.mode("overwrite").parquet(f"{path}/{name}", **kw)
-        save(title_map(entries, self.limit), "titles")
-        titles = spark.read.parquet(f"{path}/titles")
+        keep = self._keeper(entries, path)
+        titles = keep(title_map(entries, self.limit), "titles")
         info = None
         if self.with_images and image_entries is not None:
-            save(image_table(image_entries, *self.thumb), "images")
-            info = joins.image_names(spark.read.parquet(f"{path}/images"))
-        save(self.packed(self.cleaned(entries, titles, info)), "blobs")
-        made = self.assemble(titles, spark.read.parquet(f"{path}/blobs"))
-        save(made.index.repartitionByRange("title_key").sortWithinPartitions("title_key", "article_id"), "index")
-        index = spark.read.parquet(f"{path}/index")
-        save(spark.read.parquet(f"{path}/blobs").join(index.select("article_id", "chunk_id", "offset"), "article_id"), "articles", partitionBy="chunk_id")
-        save(sparse_index(index, self.sparse_step), "sparse")
+            info = joins.image_names(self.write_images(image_entries, path))
+        blobs = keep(self.packed(self.cleaned(entries, titles, info)), "blobs")
+        places = keep(self.places(blobs), "places")
+        made = self.assemble(titles, blobs, None, places)
+        index = keep(made.index.repartitionByRange("title_key", "article_id").sortWithinPartitions("title_key", "article_id"), "index")
+        keep(blobs.join(index.select("article_id", "chunk_id", "offset"), "article_id").repartition("chunk_id"), "articles", partitionBy="chunk_id")
+        keep(sparse_index(index, self.sparse_step), "sparse")
         for name, df in (("ids", made.ids), ("words", made.words), ("title31", made.title31), ("meta", made.meta)):
-            save(df, name)
+            keep(df, name)
+
+    def write_images(self, image_entries: DataFrame, path: str) -> DataFrame:
+        """Pictures only; articles stay as they are. Entries with content are decoded and stored, others give their sizes alone."""
+        keep = self._keeper(image_entries, path)
+        if "content" not in image_entries.columns:
+            return keep(image_table(image_entries, *self.thumb), "images")
+        images = keep(numbered_pictures(keep(stored_pictures(image_entries, *self.thumb, self.jpeg_quality), "pictures")), "images")
+        places = keep(image_chunks(images, self.image_chunk_bytes), "image_places")
+        counts = places.agg(F.count("*").alias("image_count"), F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("chunk_count"))
+        keep(_settings(counts, {"chunk_size": self.image_chunk_bytes}), "image_meta")
+        return images
+
+    def write_words(self, spark: SparkSession, path: str) -> None:
+        """Word and title index only, from the stored index."""
+        keys = spark.read.parquet(f"{path}/index").select(F.col("title_key").alias("title_norm"), "article_id")
+        for name, df in (("words", word_index(keys, self.posting_cap)), ("title31", title_index(keys))):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def _keeper(df: DataFrame, path: str):
+        def keep(table: DataFrame, name: str, **how) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{path}/{name}", **how)
+            return df.sparkSession.read.parquet(f"{path}/{name}")
+
+        return keep
+
+
+def _settings(counts: DataFrame, fixed: dict[str, int], more: dict[str, Column] | None = None) -> DataFrame:
+    """(key, value) rows: the columns of a one-row table, and fixed settings."""
+    pairs = [(F.lit(k), F.col(k).cast("string")) for k in counts.columns] + [(F.lit(k), F.lit(str(v))) for k, v in fixed.items()]
+    pairs += [(F.lit(k), v) for k, v in (more or {}).items()]
+    return counts.select(F.explode(F.map_from_arrays(F.array(*[k for k, _ in pairs]), F.array(*[v for _, v in pairs]))).alias("key", "value"))
 
 
 def load(spark: SparkSession, path: str) -> Catalog:
@@ -174,7 +231,7 @@ def load(spark: SparkSession, path: str) -> Catalog:
     from quire.sources.entries import optional_table
 
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    images = optional_table(spark, f"{path}/images", "img_id long, entry_id long, path string, diagram boolean, w int, h int")
+    images = optional_table(spark, f"{path}/images", "img_id long, entry_id long, path string, diagram boolean, w int, h int, data binary")
     return Catalog(read("titles"), read("articles"), read("index"), read("ids"), read("sparse"), read("words"), read("title31"), read("meta"), images)
 
 

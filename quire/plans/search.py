@@ -19,10 +19,10 @@ class SearchEngine:
         self.index, self.words, self.title31 = index, words, title31
         self.fold = device_key if device_compat else normalise_title
 
-    def _q(self, query: str) -> Column:
-        return self.fold(F.lit(query))
+    def _q(self, query: str | Column) -> Column:
+        return self.fold(F.lit(query) if isinstance(query, str) else query)
 
-    def exact(self, query: str) -> DataFrame:
+    def exact(self, query: str | Column) -> DataFrame:
         """The article of this title; of titles with equal keys the least id."""
         return self.index.where((F.col("title_key") == self._q(query)) & (self._q(query) != "")).orderBy("article_id").limit(1).select("article_id", F.col("title_key").alias("title"))
 
@@ -50,14 +50,15 @@ class SearchEngine:
         return found.orderBy("pos").limit(n).select("article_id", F.col("title_key").alias("title"))
 
     def go(self, query: str, n: int = UI_RESULTS) -> DataFrame:
-        """(section, rank, article_id, title): section 0 titles that begin with the query, 1 those that hold it; a first title that is
-        the query stands alone."""
+        """(section, rank, article_id, title): section 0 titles that begin with the query, 2 those that hold it, with a divider (no
+        article) as section 1 between them if there are any; a first title that is the query stands alone."""
         ranked = lambda df, section, *order: df.withColumns({"section": F.lit(section), "rank": F.row_number().over(_window(order))})
         first = ranked(self.prefix(query, n), 0, "title", "article_id")
-        second = ranked(self.contains(query, n), 1, "article_id")
+        second = ranked(self.contains(query, n), 2, "article_id")
+        divider = second.where("rank = 1").select(F.lit(None).cast("long").alias("article_id"), F.lit("").alias("title"), F.lit(1).alias("section"), F.lit(1).alias("rank"))
         hit = first.where((F.col("rank") == 1) & (F.trim("title") == self._q(query))).agg((F.count("*") > 0).alias("hit"))
-        both = first.unionByName(second).crossJoin(F.broadcast(hit))  # one row
-        return both.where(~F.col("hit") | ((F.col("section") == 0) & (F.col("rank") == 1))).select("section", "rank", "article_id", "title")
+        every = first.unionByName(divider).unionByName(second).crossJoin(F.broadcast(hit))  # one row
+        return every.where(~F.col("hit") | ((F.col("section") == 0) & (F.col("rank") == 1))).select("section", "rank", "article_id", "title")
 
     def desktop(self, query: str, n: int = SERVER_RESULTS) -> DataFrame:
         """(section, article_id, title): titles that begin with the query, then those that hold it, by lower-cased title."""
@@ -102,6 +103,12 @@ def chunk_slice(chunks: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
     return places.where("length > 0").join(chunks, "chunk_id").select(id_col, data.alias("data"))
 
 
+def article_at(chunks: DataFrame, ids: DataFrame, article_id: int) -> DataFrame:
+    """(article_id, title, html) of an entry read by its place (chunk_id, offset, length) in chunk files (chunk_id, content); no row
+    for holes and ids out of range."""
+    return full_article(chunk_slice(chunks, ids.where(F.col("article_id") == article_id), "article_id"), article_id)
+
+
 def window_of_results(results: DataFrame, order: list[str], scroll: int, height: int, row: int = 18) -> DataFrame:
     """The rows of a result list that a view of this height shows from a scroll position on."""
     return results.orderBy(*order).offset(scroll).limit(height // row)

@@ -54,11 +54,15 @@ def first_images(found: DataFrame, scanned: int = 100_000, wanted: int = 5) -> D
     return found.where((F.col("entry_id") < scanned) & F.col("path").rlike(r"(?i)^i/|\.(png|jpe?g|gif|webp|svg)$")).orderBy("entry_id").limit(wanted).select("entry_id", "path")
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) rows of a key=value text; lines without "=" are left out."""
-    lines = spark.read.text(path)
+def settings_of(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., key, value) rows of key=value lines (keys.., value); lines without "=" are left out."""
     parts = F.split("value", "=", 2)
-    return lines.where(F.col("value").contains("=")).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    return lines.where(F.col("value").contains("=")).select(*keys, F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """settings_of() a text file."""
+    return settings_of(spark.read.text(path))
 
 
 def catalog_settings(meta: DataFrame) -> DataFrame:
@@ -76,9 +80,16 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def records_of(content: Column | str, size: int) -> Column:
+    """Column function: the records of size bytes of a file's content, in order; a short last one is left out."""
+    c = _c(content)
+    count = F.floor(F.octet_length(c) / size)
+    one = lambda k: F.substring(c, (k * size + 1).cast("int"), F.lit(size))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), one)).otherwise(F.array().cast("array<binary>"))
+
+
 def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """Records of size bytes of the files at path, in order (pos, record); a short last one is left out."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    count = F.floor(F.octet_length("content") / size)
-    places = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<long>"))
-    return files.select("content", F.explode(places).alias("pos")).select("pos", F.substring("content", (F.col("pos") * size + 1).cast("int"), F.lit(size)).alias("record"))
+    """(pos, record) of a device's file, as records_of(). Such files are of less than 2 GB (devices count in 32 bits); each is read by a
+    task, and its records are dealt out from there."""
+    files = spark.read.format("binaryFile").load(path).select(records_of("content", size).alias("records"))
+    return files.select(F.posexplode("records").alias("pos", "record")).select(F.col("pos").cast("long").alias("pos"), "record")

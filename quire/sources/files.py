@@ -6,6 +6,10 @@ written by one writer, which takes sorted partitions one at a time and never hol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.binary import little_endian
@@ -46,10 +50,15 @@ def title_record(title: Column | str) -> Column:
     return padded(cut_bytes(title, TITLE_ENTRY_BYTES), TITLE_ENTRY_BYTES + 1)
 
 
+def index_fields(record: Column | str) -> list[Column]:
+    """title_key, article_id, offset, length of an index record; broken characters of keys become U+FFFD."""
+    text = F.rtrim(F.substring(_c(record), 1, TITLE_KEY_BYTES).cast("string"), F.lit("\0"))
+    return [key_text(text.cast("binary")).alias("title_key"), *[little_endian(record, TITLE_KEY_BYTES + 4 * k, 4).alias(c) for k, c in enumerate(("article_id", "offset", "length"))]]
+
+
 def index_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, title_key, article_id, offset, length) of an index file; broken characters of keys become U+FFFD."""
-    text = F.rtrim(F.substring("record", 1, TITLE_KEY_BYTES).cast("string"), F.lit("\0"))
-    return fixed_records(spark, path, INDEX_RECORD).select("pos", key_text(text.cast("binary")).alias("title_key"), *[little_endian("record", TITLE_KEY_BYTES + 4 * k, 4).alias(c) for k, c in enumerate(("article_id", "offset", "length"))])
+    """(pos, title_key, article_id, offset, length) of an index file."""
+    return fixed_records(spark, path, INDEX_RECORD).select("pos", *index_fields("record"))
 
 
 def place_rows(spark: SparkSession, path: str, id_col: str = "article_id") -> DataFrame:
@@ -63,40 +72,80 @@ def title_rows(spark: SparkSession, path: str) -> DataFrame:
     return fixed_records(spark, path, TITLE_RECORD).select(F.col("pos").alias("article_id"), key_text(text.cast("binary")).alias("title31")).where("title31 <> ''")
 
 
+def word_lists(content: Column | str) -> Column:
+    """Column function: (word, article_ids) structs of a word file's content: a count and the place of the ids, word records, ids."""
+    c = _c(content)
+    count, ids_at = little_endian(c, 0, 4), little_endian(c, 4, 4)
+
+    def entry(k: Column) -> Column:
+        at = (8 + k * WORD_RECORD).cast("int")
+        word = F.rtrim(F.substring(c, at + 1, F.lit(WORD_KEY_CHARS + 1)).cast("string"), F.lit("\0"))
+        start, n = little_endian(c, at + WORD_KEY_CHARS + 1, 4), little_endian(c, at + WORD_KEY_CHARS + 5, 2)
+        one = lambda i: little_endian(c, (ids_at + (start + i) * 4).cast("int"), 4)
+        ids = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one)).otherwise(F.array().cast("array<long>"))
+        return F.struct(key_text(word.cast("binary")).alias("word"), ids.alias("article_ids"))
+
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), entry))
+
+
 def word_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(word, article_ids) of a word file: a count and the place of the ids, word records, ids."""
-    whole = spark.read.format("binaryFile").load(path).select("content")
-    count, ids_at = little_endian("content", 0, 4), little_endian("content", 4, 4)
-    entries = whole.select("content", ids_at.alias("ids_at"), F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))).alias("k"))
-    at = (8 + F.col("k") * WORD_RECORD).cast("int")
-    word = F.rtrim(F.substring(F.col("content"), at + 1, F.lit(WORD_KEY_CHARS + 1)).cast("string"), F.lit("\0"))
-    found = entries.select("content", "ids_at", key_text(word.cast("binary")).alias("word"), little_endian("content", at + WORD_KEY_CHARS + 1, 4).alias("start"), little_endian("content", at + WORD_KEY_CHARS + 5, 2).alias("n"))
-    one = lambda i: little_endian("content", (F.col("ids_at") + (F.col("start") + i) * 4).cast("int"), 4)
-    return found.select("word", F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array().cast("array<long>")), one).alias("article_ids"))
+    """(word, article_ids) of a word file."""
+    return spark.read.format("binaryFile").load(path).select(F.inline(word_lists("content")))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a partition in pieces of a batch, and their numbers."""
+    for batch in batches:
+        column = batch.column(0).cast(pa.large_binary())
+        if len(column):
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            piece = column.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if offsets[-1] > offsets[0] else b""
+            yield pa.RecordBatch.from_arrays([pa.array([len(column)]), pa.array([piece], pa.binary())], names=["n", "piece"])
+
+
+def _create(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
 
 
 def write_records(records: DataFrame, order: list[str], path: str, head: bytes = b"") -> int:
-    """Writes the binary column "record" in order to one file of the store; returns the number of records."""
-    spark = records.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
-    n = 0
+    """Writes the binary column "record" in order to one file of the store; returns the number of records. Tasks join the records of
+    a batch, and the file's one writer passes on these pieces, one partition at a time."""
+    out, n = _create(records.sparkSession, path), 0
     try:
         out.write(bytearray(head))
-        held, size = [], 0
-        for row in records.orderBy(*order).select("record").toLocalIterator():
-            held.append(bytes(row["record"]))
-            size, n = size + len(held[-1]), n + 1
-            if size >= 1 << 20:
-                out.write(bytearray(b"".join(held)))
-                held, size = [], 0
-        out.write(bytearray(b"".join(held)))
+        pieces = records.orderBy(*order).select("record").where("record is not null").mapInArrow(_joined, "n long, piece binary")
+        for row in pieces.toLocalIterator():
+            out.write(bytearray(row["piece"]))
+            n += row["n"]
     finally:
         out.close()
     return n
 
 
+def write_chunks(blobs: DataFrame, folder: str, stem: str) -> int:
+    """Chunk files folder/stem_NNNN.dat of (chunk_id, offset, data), one writer for each; files of higher numbers, from an earlier
+    run, are deleted. Returns their number."""
+    spark = blobs.sparkSession
+    last = blobs.agg(F.max("chunk_id")).first()[0]
+    count = 0 if last is None else int(last) + 1
+    for k in range(count):
+        write_records(blobs.where(F.col("chunk_id") == k).select(F.col("data").alias("record"), "offset"), ["offset"], f"{folder}/{stem}_{k:04d}.dat")
+    stale = count
+    while True:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{stem}_{stale:04d}.dat")
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False):
+            return count
+        stale += 1
+
+
+def chunk_files(spark: SparkSession, folder: str, stem: str) -> DataFrame:
+    """(chunk_id, content) of the chunk files in a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{stem}_*.dat").load(folder)
+    number = F.regexp_extract("path", rf"{stem}_(\d+)\.dat$", 1).cast("long")
+    return found.select(number.alias("chunk_id"), "content")
+
+
 def write_words(words: DataFrame, path: str) -> None:
     """The word file of (word, article_ids, ids_count, ids_start)."""
     n = words.count()

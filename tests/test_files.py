@@ -1,6 +1,10 @@
 import struct
 
-from quire.plans import catalog as C
+import numpy as np
+from pyspark.sql import functions as F
+
+from quire.functions import raster as R
+from quire.plans import catalog as C, search as S
 from quire.sources import entries as E, files
 
 
@@ -29,3 +33,51 @@ def test_files_of_a_catalog(spark, tmp_path):
     files.write_metadata(meta, path("meta.txt"))
     assert (tmp_path / "meta.txt").read_text() == "a=1\nb=x=y\n" and E.metadata(spark, path("meta.txt")).count() == 2
     assert files.as_json(meta.limit(1)).first()["json"].startswith("{")
+
+
+def test_pictures_of_a_build(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    y, x = np.mgrid[0:300, 0:500]
+    photo = np.stack([x % 256, y % 256, (x + y) % 256], 2).astype(np.uint8)
+    plain = np.zeros((60, 80, 3), np.uint8)
+    noisy = rng.integers(0, 256, (60, 80, 3)).astype(np.uint8)
+    rows = [
+        (5, "I/photo.jpg", "image/jpeg", False, R.jpeg_encode(photo)), (2, "I/plain.png", "image/png", False, R.png_encode(plain)), (3, "I/tiny.png", "image/png", False, R.png_encode(plain[:40])),
+        (4, "_mw_/x.png", "image/png", False, R.png_encode(plain)), (6, "I/broken.jpg", "image/jpeg", False, b"\xff\xd8\xff"), (7, "I/noisy.jpg", "image/jpeg", False, R.jpeg_encode(noisy, 100)), (8, "I/none.png", "image/png", False, None), (9, "I/p.jpg", "image/jpeg", True, R.jpeg_encode(plain)),
+    ]
+    df = spark.createDataFrame([(*r[:4], None if r[4] is None else bytearray(r[4])) for r in rows], "entry_id long, path string, mimetype string, is_redirect boolean, content binary")
+    builder, path = C.CatalogBuilder(image_chunk_bytes=4000), str(tmp_path / "c")
+    builder.write_images(df, path)
+    got = {r["path"]: r for r in spark.read.parquet(f"{path}/images").collect()}
+    assert {p: (r["img_id"], r["w"], r["h"], r["diagram"]) for p, r in got.items()} == {"I/plain.png": (0, 80, 60, True), "I/photo.jpg": (1, 320, 192, False), "I/noisy.jpg": (2, 80, 60, False)}
+    assert bytes(got["I/plain.png"]["data"][:4]) == b"qoif" and bytes(got["I/photo.jpg"]["data"][:2]) == b"\xff\xd8"
+    assert np.abs(R.pixels_of(bytes(got["I/noisy.jpg"]["data"]))[:, :, :3].astype(int) - noisy).mean() < 12
+    places = spark.read.parquet(f"{path}/image_places")
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/image_meta").collect()}
+    assert meta["image_count"] == "3" and meta["chunk_size"] == "4000"
+    folder = str(tmp_path / "files")
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / f"img_{int(meta['chunk_count']):04d}.dat").write_bytes(b"stale")
+    blobs = spark.read.parquet(f"{path}/images").join(places, "img_id").select("chunk_id", "offset", "data")
+    assert files.write_chunks(blobs, folder, "img") == int(meta["chunk_count"])
+    assert len(list((tmp_path / "files").glob("img_*.dat"))) == int(meta["chunk_count"])
+    back = S.chunk_slice(files.chunk_files(spark, folder, "img"), places, "img_id").collect()
+    assert {r["img_id"]: bytes(r["data"]) for r in back} == {r["img_id"]: bytes(r["data"]) for r in got.values()}
+    assert S.image(spark.read.parquet(f"{path}/images"), 1).first()["img_id"] == 1 and S.image(spark.read.parquet(f"{path}/images"), 9).count() == 0
+
+
+def test_parts_of_a_build(spark, tmp_path):
+    rows = [(k, f"A/t{k}", f"title number {k}", False, "text/html", bytearray(f"<p>{k} {'x' * (k * 7 % 90)}</p>".encode())) for k in range(40)]
+    entries = spark.createDataFrame(rows, "entry_id long, path string, title string, is_redirect boolean, mimetype string, content binary")
+    path, builder = str(tmp_path / "c"), C.CatalogBuilder(chunk_bytes=300, with_images=False)
+    builder.write(entries, path)
+    made = C.load(spark, path)
+    assert made.index.count() == 40
+    chunks = made.articles.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("p")).select("chunk_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
+    assert S.article_at(chunks, made.ids, 17).first()["html"] == f"<p>17 {'x' * 29}</p>" and S.article_at(chunks, made.ids, 400).count() == 0
+    words = sorted(map(str, made.words.collect()))
+    spark.createDataFrame([("gone", [1], 1, 0)], "word string, article_ids array<long>, ids_count int, ids_start long").write.mode("overwrite").parquet(f"{path}/words")
+    builder.write_words(spark, path)
+    assert sorted(map(str, C.load(spark, path).words.collect())) == words
+    counts = C.counters(made.titles, made.articles, spark.read.parquet(f"{path}/places")).first()
+    assert (counts["titles"], counts["written"], counts["skipped"]) == (40, 40, 0) and counts["chunks"] > 1
