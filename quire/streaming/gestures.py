@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.schemas import TOUCH_EVENTS
+from quire.streaming.folds import folded
 
 DEBOUNCE_MS, HOLD_MS, REPEAT_MS, STILL, SWIPE, NEAR, QUICK_MS = 60, 500, 100, 15, 25, 40, 500
 STATE = "pressed boolean, start_x int, start_y int, last_x int, last_y int, press_ms long, moved int, next_hold long"
@@ -42,27 +43,35 @@ def step(state: tuple, ms: int, pressed: bool, x: int, y: int) -> tuple[tuple, t
     return (False, x0, y0, x1, y1, since, moved, hold), event
 
 
-def _fold(device: str, rows: pd.DataFrame, state: tuple) -> tuple[tuple, pd.DataFrame]:
-    out = []
-    for ms, pressed, x, y in rows.sort_values("ts_ms", kind="stable")[["ts_ms", "pressed", "x", "y"]].itertuples(index=False):
-        state, event = step(state, int(ms), bool(pressed), 0 if pd.isna(x) else int(x), 0 if pd.isna(y) else int(y))
-        if event:
-            out.append((device, int(ms), *event))
-    return state, pd.DataFrame(out, columns=["device", "ts_ms", "type", "x", "y", "dy"])
+def _gesture(state: tuple, ms: int, pressed: bool, x: int | None, y: int | None) -> tuple[tuple, tuple | None]:
+    state, event = step(state, ms, pressed, x or 0, y or 0)
+    return state, event and (ms, *event)
 
 
 def gestures(samples: DataFrame) -> DataFrame:
-    """Gestures of a table of samples (device, ts_ms, pressed, x, y); samples without a time are left out."""
-    return samples.where("ts_ms is not null and pressed is not null").groupBy("device").applyInPandas(lambda key, rows: _fold(key[0], rows, IDLE)[1], TOUCH_EVENTS)
+    """Gestures of a table of samples (device, ts_ms, pressed, x, y); samples without a time are left out, a missing place is 0.
+    Samples of one time are taken in the order of their other columns."""
+    rows = samples.where("ts_ms is not null and pressed is not null").select("device", "ts_ms", "pressed", "x", "y")
+    return folded(rows, "device", ["ts_ms", "pressed", "x", "y"], IDLE, _gesture, TOUCH_EVENTS)
 
 
-def stream_gestures(samples: DataFrame) -> DataFrame:
-    """The same for a stream; samples of a device come in time order."""
+def stream_gestures(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same for a stream; samples of a device come in time order. With idle_ms, the state of a device goes when nothing came for so
+    long, for which Spark runs batches without data as well."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        now, out = _fold(key[0], rows, tuple(state.get) if state.exists else IDLE)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, out = tuple(state.get) if state.exists else IDLE, []
+        for ms, pressed, x, y in pd.concat(list(batches)).sort_values(["ts_ms", "pressed", "x", "y"])[["ts_ms", "pressed", "x", "y"]].itertuples(index=False):
+            now, event = _gesture(now, int(ms), bool(pressed), 0 if pd.isna(x) else int(x), 0 if pd.isna(y) else int(y))
+            if event:
+                out.append((key[0], *event))
         state.update(now)
-        yield out
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["device", "ts_ms", "type", "x", "y", "dy"])
 
-    return samples.where("ts_ms is not null and pressed is not null").groupBy("device").applyInPandasWithState(run, TOUCH_EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = samples.where("ts_ms is not null and pressed is not null")
+    return rows.groupBy("device").applyInPandasWithState(run, TOUCH_EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.schemas import HISTORY_CAP
+from quire.streaming.folds import folded
 
 OUT = "session string, seq long, action string, screen string, article_id long, page int, depth int"
 STATE = "screen string, article_id long, page int, history array<long>"
@@ -42,27 +43,35 @@ def step(state: tuple, action: str, target: int | None) -> tuple:
     return ("IMAGE", article, page, history) if action == "image" else state
 
 
-def _fold(session: str, rows: pd.DataFrame, state: tuple) -> tuple[tuple, pd.DataFrame]:
-    out = []
-    for seq, action, target in rows.sort_values("seq", kind="stable")[["seq", "action", "article_id"]].itertuples(index=False):
-        state = step(state, action, None if pd.isna(target) else int(target))
-        out.append((session, int(seq), action, state[0], None if state[1] < 0 else state[1], state[2], len(state[3])))
-    made = pd.DataFrame(out, columns=["session", "seq", "action", "screen", "article_id", "page", "depth"])
-    return state, made.astype({"article_id": "Int64"})
+def _action(state: tuple, seq: int, action: str, target: int | None) -> tuple[tuple, tuple]:
+    state = step(state, action, target)
+    return state, (seq, action, state[0], None if state[1] < 0 else state[1], state[2], len(state[3]))
 
 
 def sessions(actions: DataFrame) -> DataFrame:
-    """State after each action (session, seq, action, article_id) of a table."""
-    return actions.where("seq is not null").groupBy("session").applyInPandas(lambda key, rows: _fold(key[0], rows, START)[1], OUT)
+    """State after each action (session, seq, action, article_id) of a table. Actions of one seq are taken in the order of their
+    other columns; those without a seq are left out."""
+    rows = actions.where("seq is not null").select("session", "seq", "action", "article_id")
+    return folded(rows, "session", ["seq", "action", "article_id"], START, _action, OUT)
 
 
-def stream_sessions(actions: DataFrame) -> DataFrame:
-    """The same for a stream; actions of a session come in order."""
+def stream_sessions(actions: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same for a stream; actions of a session come in order. With idle_ms, the state of a session goes when nothing came for so
+    long, for which Spark runs batches without data as well."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        then = (*state.get[:3], list(state.get[3])) if state.exists else START
-        now, out = _fold(key[0], pd.concat(list(batches)), then)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, out = (*state.get[:3], list(state.get[3])) if state.exists else START, []
+        rows = pd.concat(list(batches)).sort_values(["seq", "action", "article_id"], na_position="first")
+        for seq, action, target in rows[["seq", "action", "article_id"]].itertuples(index=False):
+            now, made = _action(now, int(seq), action, None if pd.isna(target) else int(target))
+            out.append((key[0], *made))
         state.update(now)
-        yield out
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        made = pd.DataFrame(out, columns=["session", "seq", "action", "screen", "article_id", "page", "depth"])
+        yield made.astype({"article_id": "Int64"})
 
-    return actions.where("seq is not null").groupBy("session").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return actions.where("seq is not null").groupBy("session").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
