@@ -34,10 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from quire import device_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLE)
 
 
@@ -61,9 +64,22 @@ _PAGES = f"named AS (SELECT page_id AS entry_id, {_norm(_PAGE_TITLE)} AS title_n
 _DOCS = f"named AS (SELECT doc_id AS entry_id, {_norm('string_split(text, chr(10))[1]')} AS title_norm FROM documents)"
 _MAP = """first AS (SELECT title_norm, min(entry_id) AS entry_id FROM named WHERE title_norm <> '' GROUP BY title_norm),
 titles AS (SELECT title_norm, entry_id, row_number() OVER (ORDER BY entry_id) - 1 AS article_id FROM first)"""
-_CUT = "substr(hex(encode({0})), 1, {1})"
+
+
+def _cut(x: str, n: int) -> str:
+    """SQL of the first n bytes of a text; a broken last character gives U+FFFD."""
+    part = _whole(x, n)
+    return f"{part} || CASE WHEN octet_length(encode({x})) > {n} AND octet_length(encode({part})) < {n} THEN chr(65533) ELSE '' END"
+
+
+def _whole(x: str, n: int) -> str:
+    """SQL of the characters of a text that fit n bytes."""
+    return f"substr({x}, 1, list_max(list_filter(range(0, {n + 1}), lambda k: octet_length(encode(substr({x}, 1, k))) <= {n})))"
+
+
+_KEYS = f"""keyed AS (SELECT article_id, entry_id, {_cut("title_norm", 60)} AS title_key, {_cut("title_norm", 31)} AS title31 FROM titles)"""
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_WORDS = rf"""raw AS (SELECT article_id, unnest(string_split(title_norm, ' ')) AS r FROM titles),
+_WORDS = rf"""{_KEYS}, raw AS (SELECT article_id, unnest(string_split(trim(title_key), ' ')) AS r FROM keyed),
 cleaned AS (SELECT article_id, regexp_replace(regexp_replace(r, '[^\p{{L}}\p{{N}}-]', '', 'g'), '^-+|-+$', '', 'g') AS w FROM raw),
 postings AS (SELECT DISTINCT substr(w, 1, 13) AS word, article_id FROM cleaned WHERE length(w) >= 3 AND w NOT IN ({_STOP}))"""
 
@@ -76,9 +92,9 @@ def _titles(read, table: str = "documents") -> DataFrame:
     return C.title_map(_page_entries(read) if table == "pages" else E.entries_of_documents(read("documents")))
 
 
-def _full_keys(titles: DataFrame) -> DataFrame:
-    """Titles as an index of uncut keys, for queries that SQL can follow."""
-    return titles.select(F.col("title_norm").alias("title_key"), "article_id")
+def _keys(titles: DataFrame) -> DataFrame:
+    """(title_key, article_id): the index's keys, cut to 60 bytes."""
+    return titles.select(T.key_text(T.title_key("title_norm")).alias("title_key"), "article_id")
 
 
 # building
@@ -99,44 +115,48 @@ def title_map_limited(read):
     return C.title_map(_page_entries(read), limit=100).select("title_norm", "article_id")
 
 
-@query(f"""WITH {_DOCS}, {_MAP} SELECT article_id, {_CUT.format("title_norm", 24)} AS key_start, least(octet_length(encode(title_norm)), 60) AS key_bytes FROM titles""")
+@query(f"""WITH {_DOCS}, {_MAP}, cut AS (SELECT article_id, title_norm AS t, {_whole("title_norm", 60)} AS p FROM titles)
+SELECT article_id, hex(encode(p)) || CASE WHEN octet_length(encode(t)) > 60 THEN substr('EFBFBD', 1, 2 * (60 - octet_length(encode(p)))) ELSE '' END AS key_bytes FROM cut""")
 def title_keys(read):
-    key = T.title_key("title_norm")
-    return _titles(read).select("article_id", F.substring(F.hex(key), 1, 24).alias("key_start"), F.octet_length(key).cast("long").alias("key_bytes"))
+    return _titles(read).select("article_id", F.hex(T.title_key("title_norm")).alias("key_bytes"))
+
+
+@query(f"WITH {_DOCS}, {_MAP}, {_KEYS} SELECT article_id, title_key, title31 FROM keyed")
+def title_index(read):
+    titles = _titles(read)
+    return _keys(titles).join(C.title_index(titles), "article_id").select("article_id", "title_key", "title31")
+
 
+def _listed(cap: int) -> str:
+    return f"""WITH {_DOCS}, {_MAP}, {_WORDS}, ranked AS (SELECT word, article_id, row_number() OVER (PARTITION BY word ORDER BY article_id) AS r FROM postings),
+listed AS (SELECT word, count(*) AS ids_count, array_to_string(list(article_id ORDER BY article_id), ',') AS ids FROM ranked WHERE r <= {cap} GROUP BY word)
+SELECT word, ids_count, ids, CAST(coalesce(sum(ids_count) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ids_start FROM listed"""
 
-@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, ranked AS (SELECT word, article_id, row_number() OVER (PARTITION BY word ORDER BY article_id) AS r FROM postings),
-listed AS (SELECT word, count(*) AS ids_count, min(article_id) AS first_id, max(article_id) AS last_id, CAST(sum(article_id) AS BIGINT) AS ids_sum FROM ranked WHERE r <= 500 GROUP BY word)
-SELECT word, ids_count, first_id, last_id, ids_sum, CAST(coalesce(sum(ids_count) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ids_start FROM listed""")
+
+@query(_listed(500))
 def word_index(read):
     return _word_rows(_titles(read), 500)
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, ranked AS (SELECT word, article_id, row_number() OVER (PARTITION BY word ORDER BY article_id) AS r FROM postings),
-listed AS (SELECT word, count(*) AS ids_count, min(article_id) AS first_id, max(article_id) AS last_id, CAST(sum(article_id) AS BIGINT) AS ids_sum FROM ranked WHERE r <= 5 GROUP BY word)
-SELECT word, ids_count, first_id, last_id, ids_sum, CAST(coalesce(sum(ids_count) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ids_start FROM listed""")
+@query(_listed(5))
 def posting_cap(read):
     return _word_rows(_titles(read), 5)
 
 
 def _word_rows(titles: DataFrame, cap: int) -> DataFrame:
-    pairs = titles.select(F.explode(T.title_words("title_norm")).alias("word"), "article_id")
-    made = C.listed_postings(pairs, cap)
-    total = F.aggregate("article_ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    return made.select("word", F.col("ids_count").cast("long").alias("ids_count"), F.get("article_ids", F.lit(0)).alias("first_id"), F.element_at("article_ids", -1).alias("last_id"), total.alias("ids_sum"), "ids_start")
+    return C.word_index(titles, cap).select("word", F.col("ids_count").cast("long").alias("ids_count"), F.array_join("article_ids", ",").alias("ids"), "ids_start")
 
 
 @query(f"""WITH {_DOCS}, {_MAP}, {_WORDS} SELECT count(DISTINCT word) AS words, count(DISTINCT article_id) AS articles, max(article_id) AS last_id, count(*) AS pairs FROM postings""")
 def word_statistics(read):
-    pairs = _titles(read).select(F.explode(T.title_words("title_norm")).alias("word"), "article_id")
+    pairs = _keys(_titles(read)).select(F.explode(T.title_words("title_key")).alias("word"), "article_id")
     return pairs.agg(F.countDistinct("word").alias("words"), F.countDistinct("article_id").alias("articles"), F.max("article_id").alias("last_id"), F.count("*").alias("pairs"))
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, placed AS (SELECT title_norm, row_number() OVER (ORDER BY title_norm, article_id) - 1 AS pos FROM titles)
-SELECT CAST(pos // 64 AS BIGINT) AS pos, substr(title_norm, 1, 4) AS sparse_start FROM placed WHERE pos % 64 = 0""")
+@query(f"""WITH {_DOCS}, {_MAP}, {_KEYS}, placed AS (SELECT title_key, row_number() OVER (ORDER BY title_key, article_id) - 1 AS pos FROM keyed)
+SELECT CAST(pos // 64 AS BIGINT) AS pos, {_cut("title_key", 12)} AS sparse_key FROM placed WHERE pos % 64 = 0""")
 def sparse_index(read):
-    made = C.sparse_index(_full_keys(_titles(read)), 64)
-    return made.select("pos", F.substring("sparse_key", 1, 4).alias("sparse_start"))
+    return C.sparse_index(_keys(_titles(read)), 64)
 
 
 @query(f"""WITH {_DOCS}, {_MAP}, top AS (SELECT max(entry_id) AS m FROM titles), ids AS (SELECT unnest(range(0, (SELECT m + 1 FROM top))) AS id)
@@ -146,10 +166,10 @@ def dense_ids(read):
     return joins.dense(rows, "id", None, {"article_id": -1})
 
 
-@query(f"""WITH {_DOCS}, {_MAP} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT entry_id FROM titles)""")
+@query(f"""WITH {_DOCS}, {_MAP} SELECT id FROM (SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS id) WHERE id NOT IN (SELECT entry_id FROM titles)""")
 def id_holes(read):
-    documents = read("documents")
-    return documents.select(F.col("doc_id").alias("id")).join(_titles(read).select(F.col("entry_id").alias("id")), "id", "left_anti")
+    last = read("documents").agg(F.max("doc_id")).first()[0]
+    return joins.holes(_titles(read).select(F.col("entry_id").alias("id")), "id", last if last is not None else -1)
 
 
 @query("""WITH RECURSIVE rows AS (SELECT page_id AS id, octet_length(encode(html)) AS length, row_number() OVER (ORDER BY page_id) AS k FROM pages),
@@ -168,9 +188,9 @@ def article_sizes(read):
     return made.select("articles", "total_bytes", F.round("average_kb", 6).alias("average_kb"), F.round("index_mb", 6).alias("index_mb"), "sparse_entries")
 
 
-@query("SELECT count(*) AS entry_count, CAST(0 AS BIGINT) AS media_count FROM pages")
+@query("""SELECT count(*) AS entry_count, count(*) FILTER (WHERE p_size % 4 < 3) AS media_count FROM part""")
 def archive_statistics(read):
-    return E.archive_statistics(_page_entries(read))
+    return E.archive_statistics(_pictures(read))
 
 
 _NAMES = """SELECT n_nationkey, n_name, 'wikipedia_' || CASE n_regionkey WHEN 0 THEN 'en_simple' WHEN 1 THEN 'fr' WHEN 2 THEN 'xx' WHEN 3 THEN 'de_nopic' ELSE 'en' END || '_all_maxi_' ||
@@ -179,10 +199,13 @@ CASE n_nationkey % 3 WHEN 0 THEN '2026-05' WHEN 1 THEN '2025-13' ELSE 'part' END
 
 @query(f"""WITH named AS ({_NAMES}) SELECT n_nationkey, CASE WHEN path LIKE 'wikipedia_en_simple%' THEN 'Simple English' WHEN path LIKE 'wikipedia_fr%' THEN 'French' WHEN path LIKE 'wikipedia_xx%' THEN 'Xx' WHEN path LIKE 'wikipedia_de_nopic%' THEN 'Nopic German' ELSE 'English' END || ': All Maxi ' || CASE n_nationkey % 3 WHEN 0 THEN 'May 2026' WHEN 1 THEN '2025-13' ELSE 'Part' END AS name FROM named""")
 def display_names(read):
+    return read("nation").select("n_nationkey", T.display_name(_archive_path()).alias("name"))
+
+
+def _archive_path():
     region = F.element_at(F.array(*map(F.lit, ("en_simple", "fr", "xx", "de_nopic", "en"))), F.col("n_regionkey").cast("int") + 1)
     date = F.element_at(F.array(*map(F.lit, ("2026-05", "2025-13", "part"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    path = F.concat(F.lit("/data/wikipedia_"), region, F.lit("_all_maxi_"), date, F.lit(".zim"))
-    return read("nation").select("n_nationkey", T.display_name(path).alias("name"))
+    return F.concat(F.lit("/data/wikipedia_"), region, F.lit("_all_maxi_"), date, F.lit(".zim"))
 
 
 # search
@@ -190,50 +213,54 @@ def display_names(read):
 
 def _engine(read) -> SearchEngine:
     titles = _titles(read)
-    words = C.listed_postings(titles.select(F.explode(T.title_words("title_norm")).alias("word"), "article_id"), 500)
-    return SearchEngine(_full_keys(titles), words, titles.select("article_id", F.col("title_norm").alias("title31")))
+    keys = _keys(titles)
+    words = C.grouped_postings(keys.select(F.explode(T.title_words("title_key")).alias("word"), "article_id"))
+    return SearchEngine(keys, words, C.title_index(titles))
+
+
+_SEARCHED = f"WITH {_DOCS}, {_MAP}, {_KEYS}"
+_CAPPED = "capped AS (SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY article_id) AS r FROM postings WHERE word = '{0}') WHERE r <= 500)"
 
 
-@query(f"WITH {_DOCS}, {_MAP} SELECT article_id, title_norm AS title FROM titles WHERE starts_with(title_norm, 'the') ORDER BY title_norm, article_id LIMIT 20")
+@query(f"{_SEARCHED} SELECT article_id, title_key AS title FROM keyed WHERE starts_with(title_key, 'the') ORDER BY title_key, article_id LIMIT 20")
 def prefix_search(read):
     return _engine(read).prefix(" THE ", 20)
 
 
-@query(f"WITH {_DOCS}, {_MAP} SELECT article_id, title_norm AS title FROM titles WHERE title_norm = (SELECT min(title_norm) FROM titles WHERE starts_with(title_norm, 'the '))")
+@query(f"{_SEARCHED} SELECT min(article_id) AS article_id, title_key AS title FROM keyed WHERE title_key = (SELECT min(title_key) FROM keyed WHERE starts_with(title_key, 'the ')) GROUP BY title_key")
 def exact_search(read):
-    titles = _full_keys(_titles(read))
-    wanted = titles.where(F.col("title_key").startswith("the ")).agg(F.min("title_key").alias("title_key"))
-    return titles.join(F.broadcast(wanted), "title_key").select("article_id", F.col("title_key").alias("title"))  # one row
+    engine = _engine(read)
+    wanted = engine.index.where(F.col("title_key").startswith("the ")).agg(F.upper(F.min("title_key")))
+    return engine.exact(wanted.scalar())
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, capped AS (SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY article_id) AS r FROM postings WHERE word = 'ering') WHERE r <= 500)
-SELECT article_id, title_norm AS title FROM titles JOIN capped USING (article_id) WHERE contains(title_norm, 'ering') AND NOT starts_with(title_norm, 'ering') ORDER BY article_id LIMIT 20""")
+@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, {_CAPPED.format("ering")}
+SELECT article_id, title31 AS title FROM keyed JOIN capped USING (article_id) WHERE contains(title31, 'ering') AND NOT starts_with(title31, 'ering') ORDER BY article_id LIMIT 20""")
 def contains_search(read):
     return _engine(read).contains("Ering", 20)
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, capped AS (SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY article_id) AS r FROM postings WHERE word = 'erin') WHERE r <= 500),
-a AS (SELECT 0 AS section, row_number() OVER (ORDER BY title_norm, article_id) AS rank, article_id, title_norm AS title FROM titles WHERE starts_with(title_norm, 'erin')),
-b AS (SELECT 1 AS section, row_number() OVER (ORDER BY article_id) AS rank, article_id, title_norm AS title FROM titles JOIN capped USING (article_id) WHERE contains(title_norm, 'erin') AND NOT starts_with(title_norm, 'erin'))
-SELECT section, rank, article_id, title FROM a WHERE rank <= 20 UNION ALL SELECT section, rank, article_id, title FROM b WHERE rank <= 20""")
+@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, {_CAPPED.format("erin")},
+a AS (SELECT 0 AS section, row_number() OVER (ORDER BY title_key, article_id) AS rank, article_id, title_key AS title FROM keyed WHERE starts_with(title_key, 'erin')),
+b AS (SELECT 2 AS section, row_number() OVER (ORDER BY article_id) AS rank, article_id, title31 AS title FROM keyed JOIN capped USING (article_id) WHERE contains(title31, 'erin') AND NOT starts_with(title31, 'erin'))
+SELECT section, rank, article_id, title FROM a WHERE rank <= 20 UNION ALL SELECT 1, 1, NULL, '' FROM b WHERE rank = 1 UNION ALL SELECT section, rank, article_id, title FROM b WHERE rank <= 20""")
 def go_search(read):
     return _engine(read).go("erin", 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, found AS (SELECT CASE WHEN starts_with(title_norm, 'to') THEN 0 ELSE 1 END AS section, article_id, title_norm AS title FROM titles WHERE contains(title_norm, 'to'))
+@query(f"""{_SEARCHED}, found AS (SELECT CASE WHEN starts_with(title_key, 'to') THEN 0 ELSE 1 END AS section, article_id, title_key AS title FROM keyed WHERE contains(title_key, 'to'))
 SELECT section, article_id, title FROM found ORDER BY section, title, article_id LIMIT 40""")
 def desktop_search(read):
     return _engine(read).desktop(" To", 40)
 
 
-@query(f"""WITH {_DOCS}, {_MAP}, placed AS (SELECT title_norm, article_id, row_number() OVER (ORDER BY title_norm, article_id) - 1 AS pos FROM titles),
-blocks AS (SELECT pos // 64 AS block FROM placed WHERE pos % 64 = 0 AND contains(substr(title_norm, 1, 12), 'er') AND NOT starts_with(title_norm, 'er') ORDER BY pos LIMIT 15)
-SELECT article_id, title_norm AS title FROM placed JOIN blocks ON pos // 64 = block WHERE contains(title_norm, 'er') AND NOT starts_with(title_norm, 'er') ORDER BY pos LIMIT 20""")
+@query(f"""{_SEARCHED}, placed AS (SELECT title_key, article_id, row_number() OVER (ORDER BY title_key, article_id) - 1 AS pos FROM keyed),
+blocks AS (SELECT pos // 64 AS block FROM placed WHERE pos % 64 = 0 AND contains({_cut("title_key", 12)}, 'er') AND NOT starts_with(title_key, 'er') ORDER BY pos LIMIT 15)
+SELECT article_id, title_key AS title FROM placed JOIN blocks ON pos // 64 = block WHERE contains(title_key, 'er') AND NOT starts_with(title_key, 'er') ORDER BY pos LIMIT 20""")
 def block_search(read):
-    keys = _full_keys(_titles(read))
+    keys = _keys(_titles(read))
     placed = ordering.with_text_position(keys, "title_key", "pos", ("article_id",))
-    sparse = placed.where("pos % 64 = 0").select((F.col("pos") / 64).cast("long").alias("pos"), F.substring("title_key", 1, 12).alias("sparse_key"))
-    return SearchEngine(keys).contains_by_blocks("er", sparse, placed, 64, 20)
+    return SearchEngine(keys).contains_by_blocks("er", C.sparse_index(keys, 64), placed, 64, 20)
 
 
 @query(f"WITH {_DOCS}, {_MAP} SELECT count(*) AS article_count, 'Pages' AS db_name FROM titles")
@@ -260,7 +287,7 @@ named AS (SELECT page_id, internal, CASE WHEN internal THEN {_norm("replace(stri
 SELECT page_id, count(*) AS links, count(*) FILTER (WHERE internal) AS internal_links, count(d.article_id) AS resolved, coalesce(CAST(sum(d.article_id) AS BIGINT), -1) AS id_sum
 FROM named LEFT JOIN dictionary d ON target = d.word GROUP BY page_id""".replace(f"{_DOCS}", _DOCS.replace("named AS", "title_rows AS")).replace("FROM named WHERE title_norm", "FROM title_rows WHERE title_norm"))
 def link_graph(read):
-    words = _titles(read).select(F.explode(T.title_words("title_norm")).alias("word")).distinct()
+    words = _keys(_titles(read)).select(F.explode(T.title_words("title_key")).alias("word")).distinct()
     placed = ordering.with_text_position(words, "word", "article_id").select(F.concat(F.lit("/"), F.col("word")).alias("title_norm"), "article_id")
     links = read("pages").select("page_id", F.explode(H.hrefs("html")).alias("href"))
     out = joins.resolved_links(links, placed).groupBy("page_id")
@@ -275,10 +302,7 @@ def decoded_titles(read):
 @query(r"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<([^<>]*)>', 1)) AS tag FROM pages), named AS (SELECT page_id, trim(tag) AS tag FROM tags WHERE trim(tag) <> '')
 SELECT page_id, lower(string_split(ltrim(tag, '/'), ' ')[1]) AS name, count(*) FILTER (WHERE starts_with(tag, '/')) AS closing, count(*) FILTER (WHERE NOT starts_with(tag, '/')) AS opening FROM named GROUP BY ALL""")
 def html_tokens(read):
-    pages = read("pages")
-    pages.sparkSession.udtf.register("quire_tokens", H.HtmlTokens)
-    pages.createOrReplaceTempView("quire_pages")
-    rows = pages.sparkSession.sql("SELECT page_id, t.* FROM quire_pages, LATERAL quire_tokens(html) t").where("kind = 'tag'")
+    rows = read("pages").select("page_id", F.explode(H.token_list("html")).alias("t")).where("t.kind = 'tag'").select("page_id", "t.*")
     return rows.groupBy("page_id", "name").agg(F.count_if("closing").alias("closing"), F.count_if(~F.col("closing")).alias("opening"))
 
 
@@ -294,12 +318,19 @@ def packed_articles(read):
     builder = C.CatalogBuilder(block_bytes=1000, with_images=False)
     blobs = builder.packed(builder.cleaned(entries, C.title_map(entries)))
     read_back = blobs.select(binary.unpacked_articles("data").alias("a"), binary.kind_of("data").alias("kind"), F.octet_length("data").alias("bytes"))
-    return read_back.select("a.article_id", "a.title", "kind", "bytes", F.size("a.blocks").alias("blocks"), binary.rolling_checksum(F.get("a.blocks", F.lit(0))).alias("checksum"))
+    whole = F.aggregate("a.blocks", F.lit(b""), lambda a, b: F.concat(a, b))
+    return read_back.select("a.article_id", "a.title", "kind", "bytes", F.size("a.blocks").alias("blocks"), F.md5(whole).alias("html_md5"), binary.rolling_checksum(F.get("a.blocks", F.lit(0))).alias("checksum"))
 
 
-@query()
+_BLOCKS = """src AS (SELECT page_id, hex(encode(html)) AS h FROM pages),
+cut AS (SELECT page_id, 0 AS block_num, h AS rest, CASE WHEN length(h) <= 2000 THEN length(h) ELSE coalesce(list_max(list_filter(range(1, 1000), lambda i: substr(h, 2 * i + 1, 2) = '3E')) * 2 + 2, 2000) END AS n FROM src WHERE h <> ''
+UNION ALL SELECT page_id, block_num + 1, substr(rest, n + 1), CASE WHEN length(rest) - n <= 2000 THEN length(rest) - n ELSE coalesce(list_max(list_filter(range(1, 1000), lambda i: substr(rest, n + 2 * i + 1, 2) = '3E')) * 2 + 2, 2000) END FROM cut WHERE length(rest) > n)"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT page_id, block_num, n // 2 AS bytes, md5(substr(rest, 1, n)) AS hex_md5 FROM cut")
 def html_blocks(read):
-    return read("pages").select("page_id", F.posexplode(H.html_blocks(1000)("html")).alias("block_num", "data")).select("page_id", "block_num", F.octet_length("data").alias("bytes"))
+    blocks = read("pages").select("page_id", F.posexplode(H.html_blocks(1000)("html")).alias("block_num", "data"))
+    return blocks.select("page_id", "block_num", F.octet_length("data").cast("long").alias("bytes"), F.md5(F.hex("data")).alias("hex_md5"))
 
 
 @query()
@@ -307,7 +338,7 @@ def page_layouts(read):
     entries = _page_entries(read)
     cleaned = C.CatalogBuilder(with_images=False).cleaned(entries, C.title_map(entries))
     laid = cleaned.select("article_id", H.page_layout(ascii.to_ascii(T.decode_entities("html"))).alias("p"))
-    return laid.select("article_id", F.size("p.links").alias("links"), F.size("p.images").alias("images"), "p.content_height")
+    return laid.select("article_id", F.size("p.links").alias("links"), F.size("p.images").alias("images"), "p.content_height", F.md5(F.to_json("p")).alias("regions_md5"))
 
 
 def _ascii_sql(x: str) -> str:
@@ -333,9 +364,9 @@ def checksums(read):
 # pictures
 
 _PICTURES = """pictures AS (SELECT p_partkey AS entry_id, '_assets_/' || (p_partkey % 97) || '/' || replace(p_name, ' ', '_') || CASE p_size % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.svg' ELSE '' END AS path,
-CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/svg+xml; charset=utf-8' ELSE 'text/css' END AS mimetype, p_size * 12 AS orig_w, (51 - p_size) * 9 AS orig_h FROM part),
-kept AS (SELECT * FROM pictures WHERE mimetype <> 'text/css' AND (mimetype LIKE 'image/svg%' OR (orig_w >= 50 AND orig_h >= 50))),
-stored AS (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS img_id, entry_id, path, (mimetype LIKE 'image/svg%' OR path LIKE '%.png') AS diagram,
+CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/svg+xml; charset=utf-8' ELSE 'text/css' END AS mimetype, p_size * 12 AS orig_w, (51 - p_size) * 9 AS orig_h, p_partkey % 500 AS colours, p_partkey % 11 = 0 AS is_redirect FROM part),
+kept AS (SELECT * FROM pictures WHERE NOT is_redirect AND mimetype <> 'text/css' AND (mimetype LIKE 'image/svg%' OR (orig_w >= 50 AND orig_h >= 50))),
+stored AS (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS img_id, entry_id, path, (mimetype LIKE 'image/svg%' OR path LIKE '%.png' OR colours <= 256) AS diagram,
 CASE WHEN orig_w <= 320 AND orig_h <= 212 THEN orig_w WHEN orig_w * 212 >= orig_h * 320 THEN 320 ELSE greatest(1, CAST(floor(orig_w * 212 / orig_h + 0.5) AS INTEGER)) END AS w,
 CASE WHEN orig_w <= 320 AND orig_h <= 212 THEN orig_h WHEN orig_w * 212 >= orig_h * 320 THEN greatest(1, CAST(floor(orig_h * 320 / orig_w + 0.5) AS INTEGER)) ELSE 212 END AS h FROM kept)"""
 
@@ -344,7 +375,7 @@ def _pictures(read) -> DataFrame:
     kind = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_size") % 4 + 1).cast("int"))
     name = F.concat(F.lit("_assets_/"), (F.col("p_partkey") % 97).cast("string"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), kind(".png", ".jpg", ".svg", ""))
     mime = kind("image/png", "image/webp", "image/svg+xml; charset=utf-8", "text/css")
-    return read("part").select(F.col("p_partkey").alias("entry_id"), name.alias("path"), mime.alias("mimetype"), (F.col("p_size") * 12).alias("orig_w"), ((51 - F.col("p_size")) * 9).alias("orig_h"), F.lit(1000).alias("colours"), F.lit(False).alias("is_redirect"))
+    return read("part").select(F.col("p_partkey").alias("entry_id"), name.alias("path"), mime.alias("mimetype"), (F.col("p_size") * 12).alias("orig_w"), ((51 - F.col("p_size")) * 9).alias("orig_h"), (F.col("p_partkey") % 500).alias("colours"), (F.col("p_partkey") % 11 == 0).alias("is_redirect"))
 
 
 @query(f"WITH {_PICTURES} SELECT img_id, entry_id, path, diagram, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h FROM stored")
@@ -427,14 +458,38 @@ def touch_samples(read):
     return logs.sampled(raw.withColumn("y", F.col("x"))).select("device", "sample", "x")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS device, epoch_us(ts) // 10000 AS ms, event_id % 5 <> 0 AS p, CAST(trunc(abs(value) % 320) AS INTEGER) AS x, CAST(trunc(abs(value) * 7 % 240) AS INTEGER) AS y FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ms, p, x, y) AS k FROM s),
+walk AS (SELECT device, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ms, false AS down, 0 AS x0, 0 AS y0, 0 AS x1, 0 AS y1, CAST(-1 AS BIGINT) AS since, 0 AS moved, CAST(-1 AS BIGINT) AS hold, '' AS type, 0 AS x, 0 AS y, 0 AS dy FROM (SELECT DISTINCT device FROM s)
+UNION ALL SELECT w.device, r.k, r.ms, CASE WHEN r.p AND NOT w.down THEN NOT (w.since >= 0 AND r.ms - w.since < 60) ELSE r.p END,
+CASE WHEN r.p AND NOT w.down AND NOT (w.since >= 0 AND r.ms - w.since < 60) THEN r.x ELSE w.x0 END, CASE WHEN r.p AND NOT w.down AND NOT (w.since >= 0 AND r.ms - w.since < 60) THEN r.y ELSE w.y0 END,
+CASE WHEN r.p AND (w.down OR NOT (w.since >= 0 AND r.ms - w.since < 60)) THEN r.x ELSE w.x1 END, CASE WHEN r.p AND (w.down OR NOT (w.since >= 0 AND r.ms - w.since < 60)) THEN r.y ELSE w.y1 END,
+CASE WHEN r.p AND NOT w.down AND NOT (w.since >= 0 AND r.ms - w.since < 60) THEN r.ms ELSE w.since END,
+CASE WHEN r.p AND w.down THEN w.moved + r.y - w.y1 WHEN r.p AND NOT (w.since >= 0 AND r.ms - w.since < 60) THEN 0 ELSE w.moved END,
+CASE WHEN r.p AND w.down THEN CASE WHEN abs(w.moved + r.y - w.y1) < 15 AND CASE WHEN w.hold >= 0 THEN r.ms >= w.hold ELSE r.ms - w.since >= 500 END THEN r.ms + 100 ELSE w.hold END WHEN r.p AND NOT (w.since >= 0 AND r.ms - w.since < 60) THEN -1 ELSE w.hold END,
+CASE WHEN r.p AND w.down AND abs(w.moved + r.y - w.y1) < 15 AND CASE WHEN w.hold >= 0 THEN r.ms >= w.hold ELSE r.ms - w.since >= 500 END THEN 'HOLD'
+WHEN NOT r.p AND w.down AND w.hold < 0 AND abs(w.moved) >= 25 THEN CASE WHEN w.moved < 0 THEN 'SWIPE_UP' ELSE 'SWIPE_DOWN' END
+WHEN NOT r.p AND w.down AND w.hold < 0 AND trunc(sqrt((w.x1 - w.x0) * (w.x1 - w.x0) + (w.y1 - w.y0) * (w.y1 - w.y0))) < 40 AND r.ms - w.since < 500 THEN 'TAP' ELSE '' END,
+CASE WHEN NOT r.p AND w.down AND abs(w.moved) >= 25 THEN 0 ELSE w.x0 END, CASE WHEN NOT r.p AND w.down AND abs(w.moved) >= 25 THEN 0 ELSE w.y0 END, CASE WHEN NOT r.p AND w.down AND abs(w.moved) >= 25 THEN w.moved ELSE 0 END
+FROM walk w JOIN r ON r.device = w.device AND r.k = w.k + 1)
+SELECT device, ms AS ts_ms, type, x, y, dy FROM walk WHERE type <> ''""")
 def touch_gestures(read):
-    ms = (F.unix_millis(F.col("ts").cast("timestamp")) / 10).cast("long")
+    ms = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10)
     samples = read("events").select(F.col("user_id").cast("string").alias("device"), ms.alias("ts_ms"), (F.col("event_id") % 5 != 0).alias("pressed"), (F.abs("value") % 320).cast("int").alias("x"), (F.abs("value") * 7 % 240).cast("int").alias("y"))
     return gestures.gestures(samples)
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, ['open', 'follow', 'follow', 'next', 'back', 'follow', 'image', 'tap', 'previous'][event_id % 9 + 1] AS action, event_id * 7 % 1000 AS target FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM a),
+walk AS (SELECT session, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, '' AS action, 'SEARCH' AS screen, CAST(-1 AS BIGINT) AS article, 0 AS page, CAST([] AS BIGINT[]) AS history FROM (SELECT DISTINCT session FROM a)
+UNION ALL SELECT w.session, r.k, r.seq, r.action,
+CASE WHEN w.screen = 'SEARCH' THEN CASE WHEN r.action = 'open' THEN 'ARTICLE' ELSE 'SEARCH' END WHEN w.screen = 'IMAGE' THEN CASE WHEN r.action = 'tap' THEN 'ARTICLE' ELSE 'IMAGE' END
+WHEN r.action = 'back' AND len(w.history) = 0 THEN 'SEARCH' WHEN r.action = 'image' THEN 'IMAGE' ELSE 'ARTICLE' END,
+CASE WHEN w.screen = 'SEARCH' AND r.action = 'open' THEN r.target WHEN w.screen = 'ARTICLE' AND r.action = 'follow' THEN r.target WHEN w.screen = 'ARTICLE' AND r.action = 'back' THEN coalesce(w.history[-1], -1) ELSE w.article END,
+CASE WHEN w.screen = 'SEARCH' AND r.action = 'open' THEN 0 WHEN w.screen <> 'ARTICLE' THEN w.page WHEN r.action IN ('follow', 'back') THEN 0 WHEN r.action = 'next' THEN w.page + 1 WHEN r.action = 'previous' THEN greatest(w.page - 1, 0) ELSE w.page END,
+CASE WHEN w.screen = 'SEARCH' AND r.action = 'open' THEN CAST([] AS BIGINT[]) WHEN w.screen <> 'ARTICLE' THEN w.history WHEN r.action = 'follow' THEN list_append(w.history, w.article)[-30:] WHEN r.action = 'back' THEN w.history[:-2] ELSE w.history END
+FROM walk w JOIN r ON r.session = w.session AND r.k = w.k + 1)
+SELECT session, seq, action, screen, CASE WHEN article >= 0 THEN article END AS article_id, page, CAST(len(history) AS INTEGER) AS depth FROM walk WHERE k > 0""")
 def reading_sessions(read):
     action = F.element_at(F.array(*map(F.lit, ("open", "follow", "follow", "next", "back", "follow", "image", "tap", "previous"))), (F.col("event_id") % 9 + 1).cast("int"))
     actions = read("events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") * 7 % 1000).alias("article_id"))
@@ -442,12 +497,15 @@ def reading_sessions(read):
 
 
 @query("""SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '/')[-1] AS base, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '') AS page_no,
-contains(url, '://') AND false AS internal, substr(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), 1, 36) AS shown FROM pages""")
+page_id % 6 NOT IN (0, 1, 2, 5) AS internal, substr(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), 1, 36) AS shown FROM pages""")
 def url_parts(read):
     path = F.parse_url("url", F.lit("PATH"))
-    return read("pages").select("page_id", T.base_name(path).alias("base"), T.api_query("url", "page").alias("page_no"), T.is_internal_link("url").alias("internal"), T.result_row(T.html_escape("url")).alias("shown"))
+    href = F.concat(F.element_at(F.array(*map(F.lit, ("https://", "#", "../", "", "/", "http"))), (F.col("page_id") % 6 + 1).cast("int")), F.regexp_replace(path, "^/+", ""), F.lit("x"))
+    return read("pages").select("page_id", T.base_name(path).alias("base"), T.api_query("url", "page").alias("page_no"), T.is_internal_link(href).alias("internal"), T.result_row(T.html_escape("url")).alias("shown"))
 
 
-@query("""WITH q AS (SELECT c_custkey, lower(c_name) AS name FROM customer) SELECT c_custkey, CASE WHEN length(name) >= 3 THEN substr(name, 1, 13) END AS word FROM q""")
+@query("""WITH q AS (SELECT c_custkey, 'ab ' || lower(c_name) || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' firstofequal13 lastofequal145' WHEN 2 THEN ' ab' ELSE ' customer#00000000' END AS name FROM customer)
+SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'lastofequal14' WHEN 3 THEN 'customer#0000' ELSE substr(string_split(name, ' ')[2], 1, 13) END AS word FROM q""")
 def query_words(read):
-    return read("customer").select("c_custkey", T.query_word(T.device_key("c_name")).alias("word"))
+    more = F.element_at(F.array(*map(F.lit, ("", " FirstOfEqual13 LastOfEqual145", " ab", " Customer#00000000"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return read("customer").select("c_custkey", T.query_word(T.device_key(F.concat(F.lit(" ab "), "c_name", more))).alias("word"))
