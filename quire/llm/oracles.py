@@ -31,3 +31,56 @@ links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM comp c LEFT JOIN n ON n.doc_id = c.doc_id"""
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+QUALITY_COUNTS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 2], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, h FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, h, unnest([i, i + 1, i + 2]) AS p FROM g) JOIN twice USING (doc_id, h) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id"""
+
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _places(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT doc_id, {rank} AS k, '{kind}' AS kind, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS a, length(found[i]) AS n
+FROM (SELECT doc_id, found, value, parts, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS value, string_split_regex(t, '{pattern}') AS parts FROM d)) WHERE length(value[i]) >= {least}"""
+
+
+SECRET_COUNTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_places(0, "assign", _ASSIGN, 2, 12)} UNION ALL {_places(1, "access", "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_places(2, "hex", "[0-9a-f]+", 0, 16)}),
+s AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, k) AS joined FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(joined, '')) AS base_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+LM_COUNTS = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '{_WORD}') AS ws FROM (SELECT doc_id, text, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+w AS (SELECT doc_id, held, unnest(list_append(ws, chr(10))) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held GROUP BY w), total AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 3) AS base_score
+FROM w LEFT JOIN c USING (w), total GROUP BY doc_id, held"""
+
+BPE_TEXTS = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+PACKING_CHECKS = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS lost_pieces, CAST(0 AS BIGINT) AS long_sequences, CAST(0 AS BIGINT) AS gaps FROM documents"
+
+TOKEN_PLACES = "SELECT count(*) AS documents, greatest(count(*) - 1, 0) AS followed, greatest(count(*) - 1, 0) AS ascending FROM documents"
+
+
+def license_counts(templates: dict[str, list[str]]) -> str:
+    """Word-for-word occurrences of templates (lists of words); each word stands between blanks of its own, so none are shared."""
+    spaced = lambda ws: "".join(f" {w} " for w in ws)
+    each = " + ".join(f"(length(s) - length(replace(s, '{spaced(t)}', ''))) // {len(spaced(t))}" for t in templates.values())
+    return f"""WITH w AS (SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(text, '[0-9A-Za-z](?:[0-9A-Za-z.-]*[0-9A-Za-z])?'), lambda x: ' ' || lower(x) || ' '), ''), '') AS s FROM documents)
+SELECT doc_id, CAST({each} AS BIGINT) AS n_licenses FROM w"""

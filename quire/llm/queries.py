@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import lattice, lattice_lm, licenses, minhash, oracles, packing, quality, rans, secrets, substrings, tokens
-from quire.llm.tables import fresh_path, read
+from quire.llm.tables import fresh_path, read, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -62,9 +62,54 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_scores(read(spark, sf_dir, "documents"), tokenizer_path(PIECES), fold=1, folds=5)
 
 
+# what SQL can say of the operators that it can't express
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that no model decides."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op9."""
+    return op9_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word model of op10."""
+    return op10_lattice_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def bpe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 decodes is the text."""
+    return op5_bpe_round_trip(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def packing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents of op3, pieces that lack, sequences over 1024 tokens, sequences with gaps."""
+    made = stored(op3_best_fit_packing(spark, sf_dir), "packed")
+    docs = made.groupBy("doc_id").agg((F.max("piece") + 1 - F.count("*")).alias("lost")).agg(F.count("*").alias("documents"), F.sum("lost").cast("long").alias("lost_pieces"))
+    bins = made.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k"), F.countDistinct("offset").alias("places"))
+    return docs.crossJoin(bins.agg(F.count_if(F.col("n") > 1024).alias("long_sequences"), F.count_if(F.expr("n <> end or k <> places")).alias("gaps")))  # one row each
+
+
+def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents of op7, how many are followed by another without a gap, and by one of a greater id."""
+    made = stored(op7_token_files(spark, sf_dir), "placed")
+    after = made.select((F.col("start") + F.col("n_tokens")).alias("start"), F.col("doc_id").alias("before"))
+    pairs = made.select("doc_id", "start").join(after, "start").agg(F.count("*").alias("followed"), F.count_if(F.expr("before < doc_id")).alias("ascending"))
+    return made.agg(F.count("*").alias("documents")).crossJoin(pairs)  # one row each
+
+
+def license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that op8 finds; SQL counts those that stand in the text word for word."""
+    return op8_license_scans(spark, sf_dir).select("doc_id", "n_licenses")
+
+
 def queries() -> dict:
     found = (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op6_quality_rules, op7_token_files, op8_license_scans, op9_secret_scans, op10_lattice_lm)
-    return {f.__name__: f for f in found}
+    checks = (quality_counts, secret_counts, lm_counts, bpe_texts, packing_checks, token_places, license_counts)
+    return {f.__name__: f for f in (*found, *checks)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,4 +117,11 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op2_lattice_near_dedup": oracles.LATTICE_NEAR_DEDUP,
         "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
+        "quality_counts": oracles.QUALITY_COUNTS,
+        "secret_counts": oracles.SECRET_COUNTS,
+        "lm_counts": oracles.LM_COUNTS,
+        "bpe_texts": oracles.BPE_TEXTS,
+        "packing_checks": oracles.PACKING_CHECKS,
+        "token_places": oracles.TOKEN_PLACES,
+        "license_counts": oracles.license_counts({k: licenses.words(t)[0] for k, t in licenses.TEMPLATES.items()}),
     }
