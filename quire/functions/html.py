@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from quire.functions.lazy import arrow_udf
-from quire.functions.text import WHITE
+from quire.functions.text import WHITE_CHARACTERS
 from quire.schemas import BLOCK_BYTES
 
 _DROPPED = frozenset("script style table sup sub noscript meta link header footer nav aside math figcaption".split())
@@ -201,18 +201,20 @@ def tokens(html: str) -> Iterator[tuple[int, str, str, bool, str, str]]:
 def token_list(html: Column | str) -> Column:
     """Column function: the tokens of a document in order, as structs (kind, name, closing, attrs, text); the place is the seq."""
     pieces = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"<[^<>]*>?|[^<]+"), F.lit(0))
-    strip = lambda x: F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")
 
-    def token(piece: Column) -> Column:
-        is_tag = piece.startswith("<")
-        tag = F.when(is_tag, strip(F.substring(piece, F.lit(2), F.length(piece) - 2))).otherwise("")
-        closing = tag.startswith("/")
-        body = F.when(closing, F.substring(tag, F.lit(2), F.length(tag))).otherwise(tag)
+    def piece(x: Column) -> Column:
+        is_tag = x.startswith("<")
+        tag = F.when(is_tag & x.endswith(">"), F.btrim(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(WHITE_CHARACTERS))).otherwise("")
+        return F.struct(is_tag.alias("is_tag"), tag.alias("tag"), F.when(is_tag, "").otherwise(x).alias("text"))
+
+    def token(x: Column) -> Column:
+        closing = x["tag"].startswith("/")
+        body = F.when(closing, F.substring(x["tag"], 2, 1 << 30)).otherwise(x["tag"])
         name = F.substring_index(body, " ", 1)
         attrs = F.substring(body, F.length(name) + 2, F.length(body))
-        return F.struct(F.when(is_tag, "tag").otherwise("text").alias("kind"), F.lower(name).alias("name"), closing.alias("closing"), attrs.alias("attrs"), F.when(is_tag, "").otherwise(piece).alias("text"))
+        return F.struct(F.when(x["is_tag"], "tag").otherwise("text").alias("kind"), F.lower(name).alias("name"), closing.alias("closing"), attrs.alias("attrs"), x["text"].alias("text"))
 
-    whole = F.filter(pieces, lambda x: ~x.startswith("<") | (x.endswith(">") & (strip(F.substring(x, F.lit(2), F.length(x) - 2)) != "")))
+    whole = F.filter(F.transform(pieces, piece), lambda x: ~x["is_tag"] | (x["tag"] != ""))
     return F.transform(whole, token)
 
 

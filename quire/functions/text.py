@@ -12,6 +12,7 @@ from quire.schemas import STOP_WORDS, TITLE_KEY_BYTES, WORD_KEY_CHARS
 DASHES = "‐‑‒–—―−⁃﹘﹣－"
 #: White space as the index builder's str.split sees it.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WHITE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
