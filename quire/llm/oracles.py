@@ -84,3 +84,51 @@ def license_counts(templates: dict[str, list[str]]) -> str:
     each = " + ".join(f"(length(s) - length(replace(s, '{spaced(t)}', ''))) // {len(spaced(t))}" for t in templates.values())
     return f"""WITH w AS (SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(text, '[0-9A-Za-z](?:[0-9A-Za-z.-]*[0-9A-Za-z])?'), lambda x: ' ' || lower(x) || ' '), ''), '') AS s FROM documents)
 SELECT doc_id, CAST({each} AS BIGINT) AS n_licenses FROM w"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LETTERS}), '{_TERM}')) AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_LETTERS}), '{_TERM}')) AS t FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t),
+m AS (SELECT doc_id, 50 + ((50 * n * docs) // terms) AS m FROM n, total),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+_LUHN = """(list_sum(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(v[length(v) + 1 - i] AS INTEGER)
+ELSE (2 * CAST(v[length(v) + 1 - i] AS INTEGER)) // 10 + (2 * CAST(v[length(v) + 1 - i] AS INTEGER)) % 10 END)) % 10 = 0)"""
+
+
+def _personal(rank: int, kind: str, pattern: str, check: str) -> str:
+    """Matches of a pattern that pass check, a condition on m, the match, and v, its digits."""
+    whole = _places(rank, kind, pattern, 0, 0).replace("AS n\n", "AS n, found[i] AS m, regexp_replace(found[i], '[^0-9]', '', 'g') AS v\n", 1)
+    return f"SELECT doc_id, k, kind, a, n FROM ({whole}) WHERE {check}"
+
+
+_BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length(v) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(v) BETWEEN 10 AND 15"),
+}
+
+PERSONAL_COUNTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_personal(i, kind, *x) for i, (kind, x) in enumerate(_BASE.items()))}),
+s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{kind}" for i, kind in enumerate(_BASE))},
+string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, k) AS joined FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _BASE)}, sha256(coalesce(joined, '')) AS base_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""

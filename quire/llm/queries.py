@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import lattice, lattice_lm, licenses, minhash, oracles, packing, quality, rans, secrets, substrings, tokens
+from quire.llm import lattice, lattice_lm, lexical, licenses, minhash, negatives, oracles, packing, personal, quality, rans, secrets, substrings, tokens
 from quire.llm.tables import fresh_path, read, stored
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,19 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lm_scores(read(spark, sf_dir, "documents"), tokenizer_path(PIECES), fold=1, folds=5)
 
 
+def op11_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_spans(read(spark, sf_dir, "documents"))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), anchors=F.col("id") % 100 == 0, label=label)
+
+
 # what SQL can say of the operators that it can't express
 
 
@@ -75,6 +88,11 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op11."""
+    return personal.base_counts(read(spark, sf_dir, "documents"))
+
+
 def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word model of op10."""
     return op10_lattice_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
@@ -107,8 +125,8 @@ def license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op6_quality_rules, op7_token_files, op8_license_scans, op9_secret_scans, op10_lattice_lm)
-    checks = (quality_counts, secret_counts, lm_counts, bpe_texts, packing_checks, token_places, license_counts)
+    found = (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op6_quality_rules, op7_token_files, op8_license_scans, op9_secret_scans, op10_lattice_lm, op11_weak_supervision_pii, op12_threshold_search, op13_hard_negatives)
+    checks = (quality_counts, secret_counts, pii_counts, lm_counts, bpe_texts, packing_checks, token_places, license_counts)
     return {f.__name__: f for f in (*found, *checks)}
 
 
@@ -117,6 +135,9 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op2_lattice_near_dedup": oracles.LATTICE_NEAR_DEDUP,
         "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
+        "op12_threshold_search": oracles.LEXICAL,
+        "op13_hard_negatives": oracles.HARD_NEGATIVES,
+        "pii_counts": oracles.PERSONAL_COUNTS,
         "quality_counts": oracles.QUALITY_COUNTS,
         "secret_counts": oracles.SECRET_COUNTS,
         "lm_counts": oracles.LM_COUNTS,
