@@ -90,60 +90,124 @@ def _find(node: _Node, name: str) -> _Node | None:
     return None
 
 
-def clean(html: str, targets: dict[str, int], images: dict[str, tuple[int, int, int]] | None = None) -> str:
-    """The body of a document without chrome: links to known titles become /wiki/ID, others lose their target (unknown entries lose
-    their tag), pictures become /img/ID or go, all other attributes go. Without a body, all of it."""
+def skeleton(html: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """A document's body without chrome, parsed once: the texts around its holes (one more than these), and the holes, which are what
+    other entries decide: ("a", normalised title) where a link to an entry begins and ("/a", the same) where it ends, ("img", source).
+    Links elsewhere lose their target, and all other attributes go. Without a body, all of the document counts."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    parts: list[str] = []
+    holes: list[tuple[str, str]] = []
     out: list[str] = []
     todo: list = [_find(tree.root, "body") or tree.root]
     while todo:
         part = todo.pop()
+        hole = None
         if isinstance(part, tuple):
-            out.append(part[0])
+            if len(part) == 1:
+                out.append(part[0])
+            else:
+                hole = part
         elif isinstance(part, str):
             out.append(escape(part, quote=False))
         elif part.name in _DROPPED or part.name == "div" and "zim-footer" in part.attrs.get("class", "").split():
             continue
         elif part.name == "img":
-            if info := (images or {}).get(part.attrs.get("src", "")):
-                out.append(f'<img h="{info[2]}" src="/img/{info[0]}" w="{info[1]}"/>')
+            hole = ("img", part.attrs.get("src", ""))
         else:
-            head, tail = f"<{part.name}>", f"</{part.name}>"
+            tail = (f"</{part.name}>",)
+            href = part.attrs.get("href", "") if part.name == "a" else ""
             if part.name in _VOID:
-                head, tail = f"<{part.name}/>", ""
+                out.append(f"<{part.name}/>")
+                tail = ("",)
             elif part.name in ("", "figure"):
-                head = tail = ""
-            elif part.name == "a":
-                href = part.attrs.get("href", "")
-                if href and not href.startswith(("#", "http", "./", "../")) and "://" not in href:
-                    found = targets.get(normalised(href.split("#")[0].replace("_", " ")))
-                    head, tail = ("", "") if found is None else (f'<a href="/wiki/{found}">', "</a>")
-            out.append(head)
-            todo.append((tail,))
+                tail = ("",)
+            elif href and not href.startswith(("#", "http", "./", "../")) and "://" not in href:
+                key = normalised(href.split("#")[0].replace("_", " "))
+                hole, tail = ("a", key), ("/a", key)
+            else:
+                out.append(f"<{part.name}>")
+            todo.append(tail)
             todo += reversed(part.parts)
+        if hole:
+            parts.append("".join(out))
+            holes.append(hole)
+            out = []
+    return [*parts, "".join(out)], holes
+
+
+def fill(parts: list[str], holes: list[tuple[str, str]], targets: dict[str, int], images: dict[str, tuple[int, int, int]]) -> str:
+    """The document of a skeleton: links to known titles become /wiki/ID, unknown ones lose their tag, pictures become /img/ID or go."""
+    out = [parts[0]]
+    for (kind, key), text in zip(holes, parts[1:], strict=True):
+        if kind == "img":
+            if info := images.get(key):
+                out.append(f'<img h="{info[2]}" src="/img/{info[0]}" w="{info[1]}"/>')
+        elif (found := targets.get(key)) is not None:
+            out.append(f'<a href="/wiki/{found}">' if kind == "a" else "</a>")
+        out.append(text)
     return "".join(out)
 
 
+def clean(html: str, targets: dict[str, int], images: dict[str, tuple[int, int, int]] | None = None) -> str:
+    """The cleaned document, where all targets (by normalised title) and pictures (by source) are at hand."""
+    return fill(*skeleton(html), targets, images or {})
+
+
+SKELETON = "parts array<string>, holes array<struct<kind string, key string>>"
+
+
+@arrow_udf(SKELETON)
+def skeletons(html: pd.Series) -> pd.DataFrame:
+    """skeleton() by rows; a null document gives null parts and holes."""
+    made = [(None, None) if h is None else skeleton(h) for h in html]
+    return pd.DataFrame({"parts": [p for p, _ in made], "holes": [None if h is None else [{"kind": k, "key": x} for k, x in h] for _, h in made]})
+
+
 @arrow_udf("string")
-def clean_html(html: pd.Series, targets: pd.Series, images: pd.Series) -> pd.Series:
-    """clean() by rows: html, map of normalised titles to ids, map of sources to (img_id, w, h). A null document gives null."""
+def filled(parts: pd.Series, holes: pd.Series, targets: pd.Series, images: pd.Series) -> pd.Series:
+    """fill() by rows, with a map of normalised titles to ids and one of sources to (img_id, w, h), each of them or null."""
     entry = lambda v: (v["img_id"], v["w"], v["h"])
-    out = []
-    for h, t, i in zip(html, targets, images, strict=True):
-        out.append(None if h is None else clean(h, dict(t) if t is not None else {}, {k: entry(v) for k, v in dict(i).items()} if i is not None else None))
-    return pd.Series(out, dtype=object)
+    known = lambda t, i: ({} if t is None else dict(t), {} if i is None else {k: entry(v) for k, v in dict(i).items()})
+    rows = zip(parts, holes, targets, images, strict=True)
+    return pd.Series([None if p is None else fill(list(p), [(x["kind"], x["key"]) for x in h], *known(t, i)) for p, h, t, i in rows], dtype=object)
+
 
+def hole_keys(holes: Column | str, kind: str) -> Column:
+    """The distinct keys of a kind of holes."""
+    return F.array_distinct(F.transform(F.filter(holes, lambda x: x["kind"] == kind), lambda x: x["key"]))
+
+
+class _Targets(HTMLParser):
+    """The values of one attribute of one kind of tag, in order."""
+
+    def __init__(self, tag: str, attribute: str):
+        super().__init__(convert_charrefs=True)
+        self.wanted, self.found = (tag, attribute), []
+
+    def handle_starttag(self, name, attrs):
+        if name == self.wanted[0]:
+            self.found += [v or "" for k, v in attrs if k == self.wanted[1]][:1]
+
+
+def _targets(tag: str, attribute: str):
+    @arrow_udf("array<string>")
+    def found(html: pd.Series) -> pd.Series:
+        out = []
+        for h in html:
+            parser = _Targets(tag, attribute)
+            if h is not None:
+                parser.feed(h)
+                parser.close()
+            out.append(None if h is None else parser.found)
+        return pd.Series(out, dtype=object)
 
-def hrefs(html: Column | str) -> Column:
-    """Targets of all links in order, by pattern."""
-    return F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return found
 
 
-def sources(html: Column | str) -> Column:
-    """Sources of all pictures in order, by pattern."""
-    return F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r'<img\s[^>]*?src="([^"]*)"'), F.lit(1))
+#: Column functions: the targets of all links, or the sources of all pictures, of a document in order, however they are spelt.
+hrefs, sources = _targets("a", "href"), _targets("img", "src")
 
 
 def entry_links(html: Column | str) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quire.functions import html as H, images as I, raster
 from quire.functions.binary import packed_articles
 from quire.functions.geometry import fitted
-from quire.functions.text import cut_bytes, display_name, is_internal_link, key_text, link_target, normalise_title, title_key, title_or_path, title_words
+from quire.functions.text import cut_bytes, display_name, key_text, normalise_title, title_key, title_or_path, title_words
 from quire.operators import joins, ordering
+from quire.operators.staging import shuffle_partitions, staged
 from quire.schemas import ARTICLE_CHUNK_BYTES, BLOCK_BYTES, IMAGE_CHUNK_BYTES, JPEG_QUALITY, MAX_ARTICLE_BYTES, POSTING_CAP, SPARSE_KEY_BYTES, SPARSE_STEP, THUMB_HEIGHT, THUMB_WIDTH, TITLE_ENTRY_BYTES
 from quire.sources.entries import is_article_entry
 
@@ -128,25 +129,27 @@ class CatalogBuilder:
     name: str = ""
 
     def cleaned(self, entries: DataFrame, titles: DataFrame, image_info: DataFrame | None = None) -> DataFrame:
-        """(article_id, title, html): of each title's first entry, links and pictures resolved by joins."""
+        """(article_id, title, html): of each title's first entry. Pages are parsed once, to texts with holes; joins resolve what the
+        holes name, links and pictures, and another pass fills them."""
         title = title_or_path("title", "path", decode=False)
         named = entries.where(is_article_entry()).select("entry_id", title.alias("title"), normalise_title(title).alias("title_norm"))
         chosen = named.groupBy("title_norm").agg(F.min("entry_id").alias("entry_id"), F.min_by("title", "entry_id").alias("title"))
         chosen = chosen.join(titles.select("title_norm", "article_id"), "title_norm").select("entry_id", "article_id", "title")
-        pages = entries.join(chosen.select("entry_id", "article_id", F.col("title").alias("shown")), "entry_id").select("article_id", F.col("shown").alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
-        links = pages.select("article_id", F.explode(F.array_distinct(H.hrefs("html"))).alias("href")).where(is_internal_link("href"))
-        wanted = links.select("article_id", link_target("href").alias("title_norm")).distinct()
+        spread = entries.repartition(shuffle_partitions(entries.sparkSession), "entry_id")  # the join's own shuffle; parsing is spread even if it needs none
+        pages = spread.join(chosen.select("entry_id", "article_id", F.col("title").alias("shown")), "entry_id").select("article_id", F.col("shown").alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+        parsed = staged(pages.select("article_id", "title", H.skeletons("html").alias("s")).select("article_id", "title", "s.parts", "s.holes"), "skeletons")
+        wanted = parsed.select("article_id", F.explode(H.hole_keys("holes", "a")).alias("title_norm"))
         known = wanted.join(titles.select("title_norm", F.col("article_id").alias("target")), "title_norm")
         targets = known.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("title_norm", "target"))).alias("targets"))
-        out = pages.join(targets, "article_id", "left")
+        out = parsed.join(targets, "article_id", "left")
         if image_info is not None:
-            sources = pages.select("article_id", F.explode(F.array_distinct(H.sources("html"))).alias("src"))
+            sources = parsed.select("article_id", F.explode(H.hole_keys("holes", "img")).alias("src"))
             found = joins.resolved_images(sources, image_info, ["article_id"])
             shown = found.groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("src", F.struct("img_id", "w", "h")))).alias("images"))
             out = out.join(shown, "article_id", "left")
         else:
             out = out.withColumn("images", F.lit(None).cast("map<string,struct<img_id:bigint,w:int,h:int>>"))
-        return out.select("article_id", "title", H.clean_html("html", "targets", "images").alias("html"))
+        return out.select("article_id", "title", H.filled("parts", "holes", "targets", "images").alias("html"))
 
     def packed(self, cleaned: DataFrame) -> DataFrame:
         """(article_id, title, data): blobs; those over the size limit are left out."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import ascii, binary, geometry as G, html as H, images as I, text as T
@@ -306,6 +308,27 @@ def html_tokens(read):
     return rows.groupBy("page_id", "name").agg(F.count_if("closing").alias("closing"), F.count_if(~F.col("closing")).alias("opening"))
 
 
+#: A document whose links to its own title are spelt in each way that HTML allows, one to a title that no page has, and ones that don't count.
+_SPELLINGS = ("<A HREF='{0}'>1</A>", '<a class="x" href = "{0}">2</a>', "<a href={1}>3</a>", '<a title=">" href="{0}#part">4</a>', "<a\nhRef='{0}'/>5", '<a href="&#32;{0}">6</a>', "<script>'<a href=\"{0}\">'</script>", "<!-- <a href='{0}'> -->", '<a href="no such page">7</a>', "<a href='./{0}'>8</a>", "<a name={1}>9</a>")
+
+
+@query(f"""WITH {_PAGES}, {_MAP} SELECT article_id, CAST(n AS BIGINT) AS links, CAST(n * article_id AS BIGINT) AS id_sum, '1 2 3 4 5 6 7 8 9' AS shown
+FROM (SELECT article_id, CASE WHEN contains(title_norm, '#') THEN 0 ELSE 6 END AS n FROM titles)""")
+def spelt_links(read):
+    """Pages that link to themselves by title in all spellings: as many links as were planted come out of a build (none if the title has
+    a "#", which begins a place in a page)."""
+    entries = _page_entries(read)
+    quoted = T.html_escape("title")
+    plain = F.regexp_replace(F.regexp_replace(quoted, " ", "_"), "'", "&#39;")
+    link = lambda x: F.concat(*[p for i, bit in enumerate(re.split(r"(\{\d\})", x)) for p in [F.lit(bit) if i % 2 == 0 else {"{0}": F.replace(quoted, F.lit("'"), F.lit("&#39;")), "{1}": plain}[bit]]])
+    body = F.concat(F.lit("<html><body>"), *[F.concat(link(x), F.lit(" ")) for x in _SPELLINGS], F.lit("</body></html>"))
+    planted = entries.withColumn("content", body.cast("binary"))
+    cleaned = C.CatalogBuilder(with_images=False).cleaned(planted, C.title_map(planted))
+    ids = H.entry_links("html")
+    shown = F.btrim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), " +", " "))
+    return cleaned.select("article_id", F.size(ids).cast("long").alias("links"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), shown.alias("shown"))
+
+
 @query()
 def cleaned_pages(read):
     entries = _page_entries(read)

@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 import zlib
 
@@ -167,6 +168,10 @@ def test_cleaning():
     assert clean('<p><a href="Knot_theory#H" title=x>k</a> <a href="Unknown">u</a> <a href="http://x">e</a><a>n</a></p>', {"knot theory": 5}) == '<p><a href="/wiki/5">k</a> u <a>e</a><a>n</a></p>'
     figure = '<body><figure><img src="./a.png"><figcaption>cap</figcaption></figure><img src="b"></body>'
     assert clean(figure, None, {"./a.png": (3, 10, 20)}) == '<body><img h="20" src="/img/3" w="10"/></body>' and clean(figure) == "<body></body>"
+    spelt = """<A HREF='T1'>1</A><a href=T2>2</a><a x="1>2" href = "T&#51;">3</a><a\nHref='t4#x'>4</a><a href="t5"><a href='no'>n</a>5<script>"<a href='T1'>"</script><!-- <a href=T1> -->"""
+    assert re.sub("</?a[^>]*>", "", clean(spelt, {f"t{k}": k for k in range(1, 6)})) == "1234n5"
+    assert re.findall(r'href="/wiki/(\d)"', clean(spelt, {f"t{k}": k for k in range(1, 6)})) == list("12345")
+    assert H.skeleton("<p>a<img src=x><a href=U>b</a></p>") == (["<p>a", "", "b", "</p>"], [("img", "x"), ("a", "u"), ("/a", "u")])
     assert clean('<body>x<div class="a zim-footer">f</div>&lt;&amp;<br></body>') == "<body>x&lt;&amp;<br/></body>"
     assert clean("") == "" and clean("plain") == "plain" and clean("<body><b>open<i>x") == "<body><b>open<i>x</i></b></body>"
     assert len(clean("<div>" * 5000 + "x")) == 5000 * 11 + 1
