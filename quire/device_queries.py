@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import ascii, binary as B, geometry as G, html as H, images as I, raster, text as T
 from quire.operators import joins, ordering
+from quire.operators.staging import fresh_path, staged
 from quire.plans import catalog as C, search as S
-from quire.registry import _BLOCKS, _DOCS, _KEYS, _MAP, _NAMES, _PAGES, _PICTURES, _keys, _page_entries, _pictures, _titles, query
+from quire.registry import _BLOCKS, _DOCS, _KEYS, _MAP, _NAMES, _PAGES, _PICTURES, _WORDS, _cut, _keys, _page_entries, _pictures, _titles, query
 from quire.sources import entries as E, files
 
 
@@ -118,11 +119,22 @@ def article_load(read):
 
 @query("SELECT page_id AS id, octet_length(encode(html)) AS length, md5(html) AS html_md5 FROM pages WHERE html <> ''")
 def chunk_reads(read):
+    """Pages written to chunk files, one task a file, and read back by their places."""
     pages = read("pages").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("data"))
     places = ordering.chunked(pages.select("id", F.octet_length("data").alias("length")), 20000)
-    held = pages.join(places, "id").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "data"))).alias("parts"))
-    chunks = held.select("chunk_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("content"))
-    return S.chunk_slice(chunks, places, "id").join(places.select("id", "length"), "id").select("id", "length", F.md5("data").alias("html_md5"))
+    folder = fresh_path(pages.sparkSession, "chunks")
+    files.write_chunks(pages.join(places, "id"), folder, "pages")
+    return files.read_places(places, folder, "pages", "id").select("id", F.octet_length("data").cast("long").alias("length"), F.md5("data").alias("html_md5"))
+
+
+@query(f"""WITH {_DOCS}, {_MAP}, {_WORDS}, ranked AS (SELECT word, article_id, row_number() OVER (PARTITION BY word ORDER BY article_id) AS r FROM postings)
+SELECT {_cut("word", 13)} AS word, n, ids_md5 FROM (SELECT word, count(*) AS n, md5(array_to_string(list(article_id ORDER BY article_id), ',')) AS ids_md5 FROM ranked WHERE r <= 500 GROUP BY word)""")
+def word_file_reads(read):
+    """The word index written to one file by all tasks, and read back: its records by ranges, its lists by place."""
+    titles = _titles(read)
+    path = f"{fresh_path(titles.sparkSession, 'words')}/words.bin"
+    files.write_words(staged(C.word_index(titles), "words"), path)
+    return files.word_rows(titles.sparkSession, path).select("word", F.size("article_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("article_ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
 
 
 # records
@@ -141,11 +153,12 @@ def index_records(read):
 
 @query(f"""WITH {_DOCS}, {_MAP}, {_KEYS} SELECT row_number() OVER (ORDER BY title_key, article_id) - 1 AS pos, title_key, article_id, article_id * 7 AS "offset", 4294967295 - article_id AS length FROM keyed""")
 def index_reads(read):
+    """The index written to one file by all tasks, and read back by ranges of records."""
     rows = _keys(_titles(read))
-    made = rows.select(F.struct("title_key", "article_id", files.index_record("title_key", "article_id", F.col("article_id") * 7, F.lit(4294967295) - F.col("article_id")).alias("r")).alias("x"))
-    content = F.aggregate(F.array_sort(F.collect_list("x")), F.lit(b""), lambda a, x: F.concat(a, x["r"]))
-    records = made.agg(F.concat(content, F.lit(b"short")).alias("content")).select(F.posexplode(E.records_of("content", files.INDEX_RECORD)).alias("pos", "record"))
-    return records.select(F.col("pos").cast("long").alias("pos"), *files.index_fields("record"))
+    made = files.index_record("title_key", "article_id", F.col("article_id") * 7, F.lit(4294967295) - F.col("article_id"))
+    path = f"{fresh_path(rows.sparkSession, 'index')}/index.bin"
+    files.write_records(rows.select("title_key", "article_id", made.alias("record")), ["title_key", "article_id"], path)
+    return files.index_rows(rows.sparkSession, path).select("pos", "title_key", "article_id", "offset", "length")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS little, l_suppkey AS big, CASE l_orderkey % 7 WHEN 0 THEN 'article' WHEN 1 THEN 'legacy' WHEN 2 THEN 'qoi' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'png' ELSE 'unknown' END AS kind FROM lineitem")

@@ -28,11 +28,17 @@ def _folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted as staged tables are."""
+    path = f"{_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a stored table."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -86,10 +86,3 @@ def records_of(content: Column | str, size: int) -> Column:
     count = F.floor(F.octet_length(c) / size)
     one = lambda k: F.substring(c, (k * size + 1).cast("int"), F.lit(size))
     return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), one)).otherwise(F.array().cast("array<binary>"))
-
-
-def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(pos, record) of a device's file, as records_of(). Such files are of less than 2 GB (devices count in 32 bits); each is read by a
-    task, and its records are dealt out from there."""
-    files = spark.read.format("binaryFile").load(path).select(records_of("content", size).alias("records"))
-    return files.select(F.posexplode("records").alias("pos", "record")).select(F.col("pos").cast("long").alias("pos"), "record")

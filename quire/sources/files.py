@@ -1,21 +1,20 @@
 """The catalog's binary files: records as Column expressions, whole files out and in.
 
-Tables stay Parquet inside the engine; these files are for devices that read them. A file is one ordered run of records, so it is
-written by one writer, which takes sorted partitions one at a time and never holds more than one.
+Tables stay Parquet inside the engine; these files are for devices that read them. Tasks write and read parts of files side by side
+(quire.sources.stores).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from quire.functions.binary import little_endian
 from quire.functions.text import cut_bytes, key_text, padded, title_key
 from quire.schemas import SPARSE_KEY_BYTES, TITLE_ENTRY_BYTES, TITLE_KEY_BYTES, WORD_KEY_CHARS
-from quire.sources.entries import fixed_records
+from quire.sources.entries import records_of
+from quire.sources.stores import count_of_files, fixed_records, ranges_of_files, read_bytes, write_parts
 
 INDEX_RECORD, PLACE_RECORD, WORD_RECORD, TITLE_RECORD = 80, 12, 20, 32
 
@@ -72,78 +71,41 @@ def title_rows(spark: SparkSession, path: str) -> DataFrame:
     return fixed_records(spark, path, TITLE_RECORD).select(F.col("pos").alias("article_id"), key_text(text.cast("binary")).alias("title31")).where("title31 <> ''")
 
 
-def word_lists(content: Column | str) -> Column:
-    """Column function: (word, article_ids) structs of a word file's content: a count and the place of the ids, word records, ids."""
-    c = _c(content)
-    count, ids_at = little_endian(c, 0, 4), little_endian(c, 4, 4)
-
-    def entry(k: Column) -> Column:
-        at = (8 + k * WORD_RECORD).cast("int")
-        word = F.rtrim(F.substring(c, at + 1, F.lit(WORD_KEY_CHARS + 1)).cast("string"), F.lit("\0"))
-        start, n = little_endian(c, at + WORD_KEY_CHARS + 1, 4), little_endian(c, at + WORD_KEY_CHARS + 5, 2)
-        one = lambda i: little_endian(c, (ids_at + (start + i) * 4).cast("int"), 4)
-        ids = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one)).otherwise(F.array().cast("array<long>"))
-        return F.struct(key_text(word.cast("binary")).alias("word"), ids.alias("article_ids"))
-
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), entry))
-
-
 def word_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(word, article_ids) of a word file."""
-    return spark.read.format("binaryFile").load(path).select(F.inline(word_lists("content")))
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of a partition in pieces of a batch, and their numbers."""
-    for batch in batches:
-        column = batch.column(0).cast(pa.large_binary())
-        if len(column):
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            piece = column.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if offsets[-1] > offsets[0] else b""
-            yield pa.RecordBatch.from_arrays([pa.array([len(column)]), pa.array([piece], pa.binary())], names=["n", "piece"])
-
-
-def _create(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    """(word, article_ids) of a word file: a count and the place of the ids, word records, ids. Records are read by ranges, ids by place."""
+    count, ids_at = struct.unpack("<II", read_bytes(path, 0, 8))
+    words = fixed_records(spark, path, WORD_RECORD, 8, count).select(
+        key_text(F.rtrim(F.substring("record", 1, WORD_KEY_CHARS + 1).cast("string"), F.lit("\0")).cast("binary")).alias("word"),
+        little_endian("record", WORD_KEY_CHARS + 1, 4).alias("start"), little_endian("record", WORD_KEY_CHARS + 5, 2).alias("n"),
+    )
+    lists = ranges_of_files(words.select(F.col("word").alias("key"), F.lit(path).alias("path"), (F.lit(ids_at) + F.col("start") * 4).alias("offset"), (F.col("n") * 4).alias("length")))
+    return lists.select(F.col("key").alias("word"), F.transform(records_of("data", 4), lambda x: little_endian(x, 0, 4)).alias("article_ids"))
 
 
 def write_records(records: DataFrame, order: list[str], path: str, head: bytes = b"") -> int:
-    """Writes the binary column "record" in order to one file of the store; returns the number of records. Tasks join the records of
-    a batch, and the file's one writer passes on these pieces, one partition at a time."""
-    out, n = _create(records.sparkSession, path), 0
-    try:
-        out.write(bytearray(head))
-        pieces = records.orderBy(*order).select("record").where("record is not null").mapInArrow(_joined, "n long, piece binary")
-        for row in pieces.toLocalIterator():
-            out.write(bytearray(row["piece"]))
-            n += row["n"]
-    finally:
-        out.close()
-    return n
+    """Writes the binary column "record" in order to one file of the store, after head; returns the number of records. Tasks write the
+    ranges of the order side by side, and the commit joins them; a failed run leaves the old file."""
+    seen = Observation()
+    rows = records.where("record is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = rows.select(F.spark_partition_id().cast("long").alias("part"), F.col("record").alias("data"))
+    folder, _, name = path.rpartition("/")
+    write_parts(parts.observe(seen, F.count("data").alias("n")), folder, file=name, head=head.hex())
+    return seen.get["n"]
 
 
 def write_chunks(blobs: DataFrame, folder: str, stem: str) -> int:
-    """Chunk files folder/stem_NNNN.dat of (chunk_id, offset, data), one writer for each; files of higher numbers, from an earlier
-    run, are deleted. Returns their number."""
-    spark = blobs.sparkSession
-    last = blobs.agg(F.max("chunk_id")).first()[0]
-    count = 0 if last is None else int(last) + 1
-    for k in range(count):
-        write_records(blobs.where(F.col("chunk_id") == k).select(F.col("data").alias("record"), "offset"), ["offset"], f"{folder}/{stem}_{k:04d}.dat")
-    stale = count
-    while True:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{stem}_{stale:04d}.dat")
-        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False):
-            return count
-        stale += 1
-
-
-def chunk_files(spark: SparkSession, folder: str, stem: str) -> DataFrame:
-    """(chunk_id, content) of the chunk files in a folder."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{stem}_*.dat").load(folder)
-    number = F.regexp_extract("path", rf"{stem}_(\d+)\.dat$", 1).cast("long")
-    return found.select(number.alias("chunk_id"), "content")
+    """Chunk files folder/stem_NNNN.dat of (chunk_id, offset, data), all written in one job, each by one task; files of higher numbers,
+    from an earlier run, are deleted. Returns their number."""
+    rows = blobs.repartition("chunk_id").sortWithinPartitions("chunk_id", "offset")
+    write_parts(rows.select(F.col("chunk_id").cast("long").alias("part"), "data"), folder, stem=stem)
+    return count_of_files(folder, stem)
+
+
+def read_places(places: DataFrame, folder: str, stem: str, id_col: str = "article_id") -> DataFrame:
+    """(id, data) of places (id, chunk_id, offset, length) in chunk files: only those bytes are read. Holes, of length 0, give no row."""
+    number = F.lpad(F.col("chunk_id").cast("string"), F.greatest(F.lit(4), F.length(F.col("chunk_id").cast("string"))), F.lit("0"))
+    wanted = places.where("length > 0").select(F.col(id_col).alias("key"), F.concat(F.lit(f"{folder}/{stem}_"), number, F.lit(".dat")).alias("path"), "offset", "length")
+    return ranges_of_files(wanted).withColumnRenamed("key", id_col)
 
 
 def write_words(words: DataFrame, path: str) -> None:

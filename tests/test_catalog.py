@@ -9,6 +9,7 @@ from quire import registry
 from quire.operators import joins, ordering
 from quire.plans import catalog as C, search as S
 from quire.sources import entries as E
+from quire.sources.stores import fixed_records
 from quire.streaming import gestures, logs, navigation, screens
 
 PAGE = "<html><head><title>{0}</title></head><body><p>{0} <a href='x'>q</a> <a href=\"{1}\">l</a></p></body></html>"
@@ -166,7 +167,7 @@ def test_sources(spark, tmp_path):
     assert {r["key"]: r["value"] for r in meta.collect()} == {"article_count": "3", "db_name": "a=b", "unknown": "1"}
     assert tuple(E.catalog_settings(meta).first()) == (3, 64, "a=b") and E.catalog_settings(meta.where("key <> 'article_count'")).count() == 0
     (tmp_path / "r.bin").write_bytes(b"abcdefgh")
-    assert [bytes(r["record"]) for r in E.fixed_records(spark, str(tmp_path / "r.bin"), 3).orderBy("pos").collect()] == [b"abc", b"def"]
+    assert [bytes(r["record"]) for r in fixed_records(spark, str(tmp_path / "r.bin"), 3, parts=2).orderBy("pos").collect()] == [b"abc", b"def"]
     assert E.optional_table(spark, str(tmp_path / "nothing"), "a int").count() == 0
 
 

@@ -1,11 +1,13 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import raster as R
 from quire.plans import catalog as C, search as S
-from quire.sources import entries as E, files
+from quire.sources import entries as E, files, stores
 
 
 def test_files_of_a_catalog(spark, tmp_path):
@@ -61,7 +63,8 @@ def test_pictures_of_a_build(spark, tmp_path):
     blobs = spark.read.parquet(f"{path}/images").join(places, "img_id").select("chunk_id", "offset", "data")
     assert files.write_chunks(blobs, folder, "img") == int(meta["chunk_count"])
     assert len(list((tmp_path / "files").glob("img_*.dat"))) == int(meta["chunk_count"])
-    back = S.chunk_slice(files.chunk_files(spark, folder, "img"), places, "img_id").collect()
+    assert not list((tmp_path / "files").glob("_staging*"))
+    back = files.read_places(places, folder, "img", "img_id").collect()
     assert {r["img_id"]: bytes(r["data"]) for r in back} == {r["img_id"]: bytes(r["data"]) for r in got.values()}
     assert S.image(spark.read.parquet(f"{path}/images"), 1).first()["img_id"] == 1 and S.image(spark.read.parquet(f"{path}/images"), 9).count() == 0
 
@@ -81,3 +84,54 @@ def test_parts_of_a_build(spark, tmp_path):
     assert sorted(map(str, C.load(spark, path).words.collect())) == words
     counts = C.counters(made.titles, made.articles, spark.read.parquet(f"{path}/places")).first()
     assert (counts["titles"], counts["written"], counts["skipped"]) == (40, 40, 0) and counts["chunks"] > 1
+
+
+def test_a_failed_write_leaves_the_old_files(spark, tmp_path):
+    folder = str(tmp_path / "f")
+    rows = spark.range(40).select((F.col("id") % 4).alias("chunk_id"), F.col("id").alias("offset"), F.lit(b"old").alias("data"))
+    assert files.write_chunks(rows, folder, "c") == 4
+    bad = F.udf(lambda k: b"new" if k < 30 else 1 / 0, "binary")
+    with pytest.raises(Exception):
+        files.write_chunks(rows.withColumn("data", bad("offset")), folder, "c")
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == [f"c_{k:04d}.dat" for k in range(4)]
+    assert all(p.read_bytes() == b"old" * 10 for p in (tmp_path / "f").iterdir())
+    assert files.write_chunks(rows.where("chunk_id = 1 and offset > 0").withColumn("data", F.lit(b"n")), folder, "c") == 2
+    assert {p.name: p.read_bytes() for p in (tmp_path / "f").iterdir()} == {"c_0000.dat": b"", "c_0001.dat": b"n" * 10}
+    with pytest.raises(Exception, match="several tasks"):
+        stores.write_parts(rows.repartition(3).select(F.lit(0).cast("long").alias("part"), "data"), folder, stem="c")
+    assert files.write_chunks(rows.limit(0), folder, "c") == 0 and not list((tmp_path / "f").iterdir())
+
+
+def test_records_by_ranges(spark, tmp_path):
+    data = np.arange(1000, dtype="<u4")
+    (tmp_path / "r.bin").write_bytes(b"head" + data.tobytes() + b"xy")
+    want = [(k, int(k).to_bytes(4, "little")) for k in range(1000)]
+    for parts in (1, 3, 2000):
+        df = files.fixed_records(spark, str(tmp_path / "r.bin"), 4, head=4, parts=parts)
+        assert sorted((r["pos"], bytes(r["record"])) for r in df.collect()) == want
+        assert df.rdd.getNumPartitions() == min(parts, 1000)
+    assert files.fixed_records(spark, str(tmp_path / "r.bin"), 4, head=4, count=7, parts=3).count() == 7
+    (tmp_path / "e.bin").write_bytes(b"")
+    assert files.fixed_records(spark, str(tmp_path / "e.bin"), 4, parts=3).count() == 0
+
+
+def test_only_asked_bytes_are_read():
+    class File:
+        def __init__(self, path):
+            opened.append(path)
+
+        def size(self):
+            return 10**9
+
+        def read_at(self, n, at):
+            read.append(n)
+            return bytes(n)
+
+        def close(self):
+            pass
+
+    opened, read = [], []
+    rows = [(k, f"c{k // 10}", 10**7 * k, 3) for k in range(30)] + [(99, "c9", 10**9, 1), (100, "c9", 0, 0)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a : a + 7])], names=["key", "path", "offset", "length"]) for a in range(0, len(rows), 7)]
+    got = [k for b in stores._ranged(iter(batches), File) for k in b.column(0).to_pylist()]
+    assert got == [*range(30), 100] and opened == ["c0", "c1", "c2", "c9"] and sum(read) == 90
