@@ -49,10 +49,15 @@ def title_record(title: Column | str) -> Column:
     return padded(cut_bytes(title, TITLE_ENTRY_BYTES), TITLE_ENTRY_BYTES + 1)
 
 
+def unpadded(record: Column | str, n: int) -> Column:
+    """The text in the first n bytes of a record, without the zero bytes at its end; broken characters become U+FFFD. Bytes are trimmed,
+    as a broken character would take the first zero with it."""
+    return key_text(F.unhex(F.regexp_replace(F.hex(F.substring(_c(record), 1, n)), "(00)+$", "")))
+
+
 def index_fields(record: Column | str) -> list[Column]:
     """title_key, article_id, offset, length of an index record; broken characters of keys become U+FFFD."""
-    text = F.rtrim(F.substring(_c(record), 1, TITLE_KEY_BYTES).cast("string"), F.lit("\0"))
-    return [key_text(text.cast("binary")).alias("title_key"), *[little_endian(record, TITLE_KEY_BYTES + 4 * k, 4).alias(c) for k, c in enumerate(("article_id", "offset", "length"))]]
+    return [unpadded(record, TITLE_KEY_BYTES).alias("title_key"), *[little_endian(record, TITLE_KEY_BYTES + 4 * k, 4).alias(c) for k, c in enumerate(("article_id", "offset", "length"))]]
 
 
 def index_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -67,15 +72,14 @@ def place_rows(spark: SparkSession, path: str, id_col: str = "article_id") -> Da
 
 def title_rows(spark: SparkSession, path: str) -> DataFrame:
     """(article_id, title31) of a title file, holes left out."""
-    text = F.rtrim(F.col("record").cast("string"), F.lit("\0"))
-    return fixed_records(spark, path, TITLE_RECORD).select(F.col("pos").alias("article_id"), key_text(text.cast("binary")).alias("title31")).where("title31 <> ''")
+    return fixed_records(spark, path, TITLE_RECORD).select(F.col("pos").alias("article_id"), unpadded("record", TITLE_RECORD).alias("title31")).where("title31 <> ''")
 
 
 def word_rows(spark: SparkSession, path: str) -> DataFrame:
     """(word, article_ids) of a word file: a count and the place of the ids, word records, ids. Records are read by ranges, ids by place."""
     count, ids_at = struct.unpack("<II", read_bytes(path, 0, 8))
     words = fixed_records(spark, path, WORD_RECORD, 8, count).select(
-        key_text(F.rtrim(F.substring("record", 1, WORD_KEY_CHARS + 1).cast("string"), F.lit("\0")).cast("binary")).alias("word"),
+        unpadded("record", WORD_KEY_CHARS + 1).alias("word"),
         little_endian("record", WORD_KEY_CHARS + 1, 4).alias("start"), little_endian("record", WORD_KEY_CHARS + 5, 2).alias("n"),
     )
     lists = ranges_of_files(words.select(F.col("word").alias("key"), F.lit(path).alias("path"), (F.lit(ids_at) + F.col("start") * 4).alias("offset"), (F.col("n") * 4).alias("length")))
