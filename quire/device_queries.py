@@ -9,7 +9,7 @@ from quire.operators import joins, ordering
 from quire.operators.staging import fresh_path, staged
 from quire.plans import catalog as C, search as S
 from quire.registry import _BLOCKS, _DOCS, _KEYS, _MAP, _NAMES, _PAGES, _PICTURES, _WORDS, _cut, _keys, _page_entries, _pictures, _titles, query
-from quire.sources import entries as E, files
+from quire.sources import archives, entries as E, files
 
 
 def _pick(values: tuple, number: Column) -> Column:
@@ -137,6 +137,20 @@ def word_file_reads(read):
     return files.word_rows(titles.sparkSession, path).select("word", F.size("article_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("article_ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
 
 
+@query("""SELECT CASE WHEN page_id % 5 = 0 THEN '' ELSE 'A/' END || 'p' || page_id AS path, 'page ' || page_id AS title, page_id % 10 = 3 AS is_redirect,
+CASE WHEN page_id % 10 <> 3 THEN 'text/' || (CASE WHEN page_id % 3 = 0 THEN 'plain' ELSE 'html' END) END AS mimetype, CASE WHEN page_id % 10 <> 3 THEN md5(html) END AS content_md5 FROM pages""")
+def archive_reads(read):
+    """Pages written to a folder of archives by tasks, and read back by ranges of entries."""
+    key = F.col("page_id")
+    path = F.concat(F.when(key % 5 == 0, F.lit("")).otherwise(F.lit("A/")), F.lit("p"), key.cast("string"))
+    mime = F.concat(F.lit("text/"), F.when(key % 3 == 0, F.lit("plain")).otherwise(F.lit("html")))
+    made = read("pages").select(key.alias("entry_id"), path.alias("path"), F.concat(F.lit("page "), key.cast("string")).alias("title"), (key % 10 == 3).alias("is_redirect"), mime.alias("mimetype"), F.col("html").cast("binary").alias("content"))
+    folder = fresh_path(made.sparkSession, "archives")
+    archives.write_archives(made, folder, most_bytes=100_000)
+    found = archives.archive_entries(made.sparkSession, folder, entries_of_task=10)
+    return found.select("path", "title", "is_redirect", "mimetype", F.md5("content").alias("content_md5"))
+
+
 # records
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import raster as R
 from quire.plans import catalog as C, search as S
-from quire.sources import entries as E, files, stores
+from quire.sources import archives, entries as E, files, stores
 
 
 def test_files_of_a_catalog(spark, tmp_path):
@@ -135,3 +135,34 @@ def test_only_asked_bytes_are_read():
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a : a + 7])], names=["key", "path", "offset", "length"]) for a in range(0, len(rows), 7)]
     got = [k for b in stores._ranged(iter(batches), File) for k in b.column(0).to_pylist()]
     assert got == [*range(30), 100] and opened == ["c0", "c1", "c2", "c9"] and sum(read) == 90
+
+
+def test_archives(spark, tmp_path):
+    rows = [(f"A/t{k}", f"title {k}" if k % 3 else "", k == 7, "text/html", f"<p>{k}".encode() * k) for k in range(20)] + [("-/s.css", "", False, "text/css", b""), ("main", "M", False, "text/html", b"x" * 5000), ("A/" + "long" * 3000, "é", False, "text/html", b"y")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.zim").write_bytes(archives.packed(rows[:12], cluster_bytes=30))
+    (tmp_path / "a" / "two.zim").write_bytes(archives.packed(rows[12:]))
+    got = archives.archive_entries(spark, str(tmp_path / "a"), entries_of_task=5).collect()
+    want = {p: (t or p.removeprefix("A/").removeprefix("-/"), r, None if r else m, None if r else c) for p, t, r, m, c in rows}
+    assert {r["path"]: (r["title"], r["is_redirect"], r["mimetype"], None if r["content"] is None else bytes(r["content"])) for r in got} == want
+    assert sorted(r["entry_id"] for r in got) == list(range(len(rows)))
+    assert archives.archive_entries(spark, str(tmp_path / "a"), "path string").where("path like 'A/%'").count() == 21
+    whole = bytearray((tmp_path / "a" / "one.zim").read_bytes())
+    whole[-40:] = bytes(40)  # the last clusters are broken
+    (tmp_path / "b.zim").write_bytes(whole)
+    columns = "entry_id long, path string, content binary"
+    read = archives.archive_entries(spark, str(tmp_path / "b.zim"), columns).count()
+    faults = archives.archive_entries(spark, str(tmp_path / "b.zim"), columns + ", error string").where("error is not null").count()
+    assert 0 < read < 12 and read + faults == 12
+    (tmp_path / "c.zim").write_bytes(archives.packed([]))
+    assert archives.archive_entries(spark, str(tmp_path / "c.zim")).count() == 0
+    for data in (lambda b: archives.lzma.compress(b), lambda b: b):  # other compressions, and 64-bit bounds
+        kind = archives.XZ if data(b"a") != b"a" else 1
+        bounds = struct.pack("<3Q", 24, 25, 27)
+        made = archives.packed([("A/x", "", False, "m", b""), ("A/y", "", False, "m", b"")])
+        head = list(struct.unpack_from(archives.HEADER, made))
+        begin = struct.unpack_from("<Q", made, head[8])[0]
+        made = made[:begin] + bytes([kind | archives.WIDE]) + data(bounds + b"abc")
+        head[-1] = len(made)
+        (tmp_path / "d.zim").write_bytes(struct.pack(archives.HEADER, *head) + made[80:])
+        assert [bytes(r["content"]) for r in archives.archive_entries(spark, str(tmp_path / "d.zim")).orderBy("path").collect()] == [b"a", b"bc"]
