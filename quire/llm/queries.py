@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import lattice, lattice_lm, lexical, licenses, minhash, negatives, oracles, packing, personal, quality, rans, secrets, substrings, tokens
@@ -88,6 +91,36 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
+def _plants() -> list[tuple[str, str]]:
+    """(kind, text) of structures that op9 confirms, and of ones that only look alike (kind "")."""
+    number = lambda n: bytes([0x02, n]) + b"\x01" * n
+    body = b"".join(map(number, (1, 120, 3, 64, 64, 64, 64, 64, 64)))
+    key = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    b64 = base64.b64encode(key).decode()
+    lines = "\n".join(b64[k : k + 30] for k in range(0, len(b64), 30))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 120)).decode()
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'none'})}.{part({'sub': 'x'})}."
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+    return [("pem", pem), ("der", b64), ("der", lines), ("openssh", ssh), ("jwt", token), ("", b64[:-8]), ("", f"{part({'typ': 1})}.{part({})}.x"), ("", pem.replace("END", "FIN").replace("M", "N"))]
+
+
+def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sources with a structure planted after each: where op9 finds it, apart from what stands in it."""
+    plants = F.array(*[F.lit(t) for _, t in _plants()])
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit(" is\n"), F.get(plants, F.pmod("doc_id", F.lit(len(_plants()))).cast("int")), F.lit("\n.")).alias("text"))
+    found = secrets.secret_spans(docs).select("doc_id", F.filter(F.split("spans", ","), lambda x: x.rlike("^(pem|openssh|jwt|der)")).alias("spans"))
+    outer = F.filter("spans", lambda x: ~F.get("spans", F.lit(0)).startswith("pem") | x.startswith("pem"))  # a PEM key's lines are a DER key, too
+    return found.select("doc_id", F.array_join(outer, ",").alias("spans"))
+
+
+def planted_secrets_sql() -> str:
+    rows = ", ".join(f"({k}, '{kind}', {len(text)})" for k, (kind, text) in enumerate(_plants()))
+    return f"""SELECT doc_id, CASE WHEN kind = '' THEN '' ELSE kind || ':' || (length(coalesce(source, '')) + 4) || ':' || (length(coalesce(source, '')) + 4 + n) END AS spans
+FROM documents JOIN (VALUES {rows}) p(k, kind, n) ON doc_id % {len(_plants())} = k"""
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op11."""
     return personal.base_counts(read(spark, sf_dir, "documents"))
@@ -126,7 +159,7 @@ def license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (op1_substring_dedup, op2_lattice_near_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_bpe_round_trip, op6_quality_rules, op7_token_files, op8_license_scans, op9_secret_scans, op10_lattice_lm, op11_weak_supervision_pii, op12_threshold_search, op13_hard_negatives)
-    checks = (quality_counts, secret_counts, pii_counts, lm_counts, bpe_texts, packing_checks, token_places, license_counts)
+    checks = (quality_counts, secret_counts, planted_secrets, pii_counts, lm_counts, bpe_texts, packing_checks, token_places, license_counts)
     return {f.__name__: f for f in (*found, *checks)}
 
 
@@ -137,6 +170,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": oracles.MINHASH_NEAR_DEDUP,
         "op12_threshold_search": oracles.LEXICAL,
         "op13_hard_negatives": oracles.HARD_NEGATIVES,
+        "planted_secrets": planted_secrets_sql(),
         "pii_counts": oracles.PERSONAL_COUNTS,
         "quality_counts": oracles.QUALITY_COUNTS,
         "secret_counts": oracles.SECRET_COUNTS,

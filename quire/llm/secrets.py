@@ -2,8 +2,10 @@
 
 The base kinds are patterns.  The structural kinds decode a candidate and parse it before it is reported: a PEM or bare
 base64/hex blob counts only if its DER lengths nest, however deep, and fill it exactly in the shape of a key, an OpenSSH key only if
-its length-prefixed fields parse, a signed token only if its header is a JSON object that names an algorithm.  Bare base64 may
-be wrapped over lines: the lengths that a blob states tell how many characters it has.
+its length-prefixed fields parse, a signed token only if its header is a JSON object that names an algorithm.  An encrypted PEM key
+counts by its header lines and whole cipher blocks.  Bare base64 may be wrapped over lines of any width from 4 on, none wider than the
+first: the lengths that a blob states tell how many characters it has.  A run of lines is joined once, and of a candidate only the
+lengths are decoded until all fit, so a text takes time in proportion to its length and to that of the keys in it.
 
 Nulls count as empty texts and give zero counts and empty spans; rows are independent, so repeated rows and ids repeat
 their results, and extra columns of the input are ignored.  Spans of one start come in the order of their kinds and ends, so there are no
@@ -14,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -29,9 +33,10 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # as [0-9a-f]+ with shorter matches dropped: a match is a whole run either way
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}")  # base64 of 0x30, a DER sequence; its first line
-_SSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}")  # base64 of openssh-key-v1; its first line
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*((?:[A-Za-z][A-Za-z-]{0,39}: [^\r\n]{0,200}\r?\n)*)([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED\r?\n(?:.*\n)*?DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\r?\n")
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{2,}")  # base64 of 0x30, a DER sequence; its first line
+_SSH = re.compile(r"(?<![A-Za-z0-9+/])b3Bl[A-Za-z0-9+/]*")  # base64 of ope..; its first line
 _MORE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+)")  # another line of base64
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{58,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
@@ -88,22 +93,27 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def _openssh_ends(data: bytes) -> tuple[int, int] | None:
+def _openssh_ends(read) -> tuple[int, int] | None:
     """Where the public fields of an openssh-key-v1 blob end (cipher, kdf, options, key count, public key) and where its private part
-    does, None if they don't parse."""
-    if not data.startswith(b"openssh-key-v1\0"):
+    does, None if they don't parse. read(at, n) gives n bytes of it, or fewer at its end."""
+    if read(0, 15) != b"openssh-key-v1\0":
         return None
+    number = lambda at: int.from_bytes(x, "big") if len(x := read(at, 4)) == 4 else -1
     at = 15
     for _ in range(3):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    keys, n = int.from_bytes(data[at : at + 4], "big"), int.from_bytes(data[at + 4 : at + 8], "big")
-    public = at + 8 + n
-    return (public, public + 4 + int.from_bytes(data[public : public + 4], "big")) if keys == 1 and 0 < n else None
+        if (n := number(at)) < 0:
+            return None
+        at += 4 + n
+    keys, n = number(at), number(at + 4)
+    if keys != 1 or n <= 0:
+        return None
+    private = number(at + 8 + n)
+    return at + 8 + n, at + 12 + n + max(private, 0)
 
 
 def openssh_key(data: bytes) -> bool:
     """Whether data begins with a well-formed openssh-key-v1 header: cipher, kdf, options, key count, public key."""
-    ends = _openssh_ends(data)
+    ends = _openssh_ends(lambda at, n: data[at : at + n])
     return ends is not None and ends[0] <= len(data)
 
 
@@ -117,34 +127,79 @@ def _b64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def _wrapped(text: str, m: re.Match, size: int | None = None) -> tuple[str, int]:
-    """(characters, end) of a blob of base64 that begins with m and goes on over lines: up to what size bytes take, or all lines of the
-    first one's length and the one behind them."""
-    parts, end, width = [m[0]], m.end(), len(m[0])
-    need, have = None if size is None else -(-8 * size // 6), len(m[0])
-    while (need is None or have < need) and (more := _MORE.match(text, end)) and len(more[1]) <= width:
-        parts.append(more[1])
-        end, have = more.end(), have + len(more[1])
-        if need is None and len(more[1]) < width:
-            break
-    while end < len(text) and text[end] == "=" and -have % 4:
-        parts.append("=")
-        end, have = end + 1, have + 1
-    return "".join(parts), end
-
-
-def _der_blob(text: str, m: re.Match) -> tuple[int, bytes] | None:
-    """(end, bytes) of the DER element that a blob of base64 states the length of; None if the blob has more or fewer characters."""
-    head = _b64(m[0][:8]) or b""
-    if head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+class _Lines:
+    """A run of lines of base64: its characters joined once, whatever the number of candidates that begin in it."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.ends, parts = [end], [text[start:end]]
+        while more := _MORE.match(text, end):
+            parts.append(more[1])
+            end = more.end()
+            self.ends.append(end)
+        self.joined = "".join(parts)
+        self.widths = [len(p) for p in parts]
+        self.upto = list(itertools.accumulate(self.widths))  # characters with each line
+        self.wider, open_ = [len(parts)] * len(parts), []  # the next line that is wider
+        for k, n in enumerate(self.widths):
+            while open_ and self.widths[open_[-1]] < n:
+                self.wider[open_.pop()] = k
+            open_.append(k)
+
+
+class _Blob:
+    """Base64 that begins with a match and goes on over lines no wider than its first one."""
+
+    def __init__(self, text: str, m: re.Match, known: dict[int, tuple[_Lines, int]]):
+        if m.end() not in known:
+            lines = _Lines(text, *m.span())
+            known.update((end, (lines, k)) for k, end in enumerate(lines.ends))
+        self.text, (self.lines, self.first) = text, known[m.end()]
+        width, k = m.end() - m.start(), self.first + 1
+        while k < len(self.lines.widths) and self.lines.widths[k] <= width:
+            k = self.lines.wider[k]
+        self.start = self.lines.upto[self.first] - width
+        self.end = self.lines.upto[k - 1]  # in the joined characters
+
+    def read(self, at: int, n: int) -> bytes:
+        """n bytes from a place on, or fewer at the end; only their characters are decoded."""
+        begin = at // 3 * 4
+        chars = self.lines.joined[self.start + begin : min(self.end, self.start + (at + n + 2) // 3 * 4)]
+        return (_b64(chars[: len(chars) // 4 * 4] if len(chars) % 4 == 1 else chars) or b"")[at % 3 : at % 3 + n]
+
+    def end_of(self, size: int, whole_line: bool) -> int | None:
+        """Where in the text size bytes end, with the padding behind them; None if there are fewer, or if they have to end a line and don't."""
+        chars = self.start + -(-8 * size // 6)
+        k = bisect.bisect_left(self.lines.upto, chars, self.first)
+        if chars > self.end or whole_line and self.lines.upto[k] != chars:
+            return None
+        end = self.lines.ends[k]
+        for _ in range(-(chars - self.start) % 4 if self.lines.upto[k] == chars else 0):
+            end += self.text[end : end + 1] == "="
+        return end
+
+
+def _der_blob(blob: _Blob) -> tuple[int, bytes] | None:
+    """(end, bytes) of the DER element that a blob states the length of, if its top level parses; None if the blob has more or fewer
+    characters. Lengths alone are read until all of them fit."""
+    head = blob.read(0, 6)
+    if len(head) < 6 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
         return None
     k = head[1] & 0x7F
-    size = 2 + head[1] if head[1] < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
-    if size > len(text):
+    at, size = (2, 2 + head[1]) if head[1] < 0x80 else (2 + k, 2 + k + int.from_bytes(head[2 : 2 + k], "big"))
+    end, tags = blob.end_of(size, True), []
+    if end is None:
         return None
-    body, end = _wrapped(text, m, size)
-    data = _b64(body)
-    return (end, data) if data is not None and len(data) == size else None
+    while at < size:
+        part = blob.read(at, 6)
+        long = part[1] & 0x7F if len(part) == 6 and part[1] > 0x80 else 0
+        if len(part) < min(6, size - at) or len(part) < 2 or long > 4 or len(tags) == 9:
+            return None
+        tags.append(part[0])
+        if len(tags) == 1 and part[0] not in (0x02, 0x30):
+            return None
+        at += 2 + (long + int.from_bytes(part[2 : 2 + long], "big") if long else part[1])
+    data = blob.read(0, size) if at == size else b""
+    return (end, data) if len(data) == size else None
 
 
 def signed_token(header: str, payload: str) -> bool:
@@ -167,20 +222,18 @@ def scan(text: str) -> list[tuple[int, int, str, int]]:
     out += [(*m.span(), "hex", m.start()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _b64(re.sub(r"\\[nr]|\s", "", m[2]))
-            if data and (der_key(data) or openssh_key(data)):
+            data = _b64(re.sub(r"\\[nr]|\s", "", m[3]))
+            if data and (len(data) % 8 == 0 if _ENCRYPTED.match(m[2]) else der_key(data) or openssh_key(data)):
                 out.append((*m.span(), "pem", m.start()))
-    out += [(m.start(), found[0], "der", m.start()) for m in _BLOB.finditer(text) if (found := _der_blob(text, m)) and der_key(found[1])]
+    lines: dict[int, tuple[_Lines, int]] = {}
+    out += [(m.start(), found[0], "der", m.start()) for m in _BLOB.finditer(text) if (found := _der_blob(_Blob(text, m, lines))) and der_key(found[1])]
     out += [(*m.span(), "der", m.start()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0]))]
-    if "b3BlbnNzaC1rZXktdjE" in text:
+    if "b3Bl" in text:
         for m in _SSH.finditer(text):
-            lines = _wrapped(text, m)[0].rstrip("=")
-            data = _b64(lines[: len(lines) // 4 * 4] if len(lines) % 4 == 1 else lines) or b""
-            ends = _openssh_ends(data)
-            if ends and ends[1] <= len(data):
-                out.append((m.start(), _wrapped(text, m, ends[1])[1], "openssh", m.start()))
-            elif (data := _b64(m[0])) and openssh_key(data):
-                out.append((*m.span(), "openssh", m.start()))
+            blob = _Blob(text, m, lines)
+            if ends := _openssh_ends(blob.read):
+                if (end := blob.end_of(ends[1], False)) or blob.end_of(ends[0], False):
+                    out.append((m.start(), end or m.end(), "openssh", m.start()))
     if "eyJ" in text:
         out += [(*m.span(), "jwt", m.start()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
     return sorted(out, key=lambda x: (x[0], _ORDER[x[2]], x[1]))

@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -267,3 +268,43 @@ def test_license_rows(spark):
     got = Counter(map(tuple, licenses.license_spans(df).collect()))
     assert got == Counter({(1, 0, None, 0.0, ""): 1, (2, 0, None, 0.0, ""): 1, (None, 1, "MIT-notice", 1.0, "MIT-notice:0:30"): 2})
     assert licenses.license_spans(df.limit(0)).count() == 0
+
+
+def _number(n):
+    body = n.to_bytes(n.bit_length() // 8 + 1, "big")
+    return b"\x02" + _length(body) + body
+
+
+def _length(body):
+    n = len(body)
+    return bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+
+
+def _rsa(seed=7):
+    rnd = random.Random(seed)
+    body = b"".join([_number(0), _number(rnd.getrandbits(1024) | 1 << 1023), _number(65537), *(_number(rnd.getrandbits(512) | 1) for _ in range(6))])
+    return b"\x30" + _length(body) + body
+
+
+@pytest.mark.parametrize("width", [4, 5, 16, 39, 64, 10_000])
+def test_keys_wrapped_at_any_width(width):
+    b64 = base64.b64encode(_rsa()).decode()
+    lines = "\n".join(b64[k : k + width] for k in range(0, len(b64), width))
+    text = f"see\n{lines}\nend of it"
+    assert [(a, b, k) for a, b, k, _ in secrets.scan(text) if k == "der"] == [(4, 4 + len(lines), "der")]
+
+
+def test_encrypted_pem_keys_have_header_lines():
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    good = head.format("0" * 32, base64.b64encode(bytes(range(48))).decode())
+    assert [(a, b) for a, b, k, _ in secrets.scan("x " + good) if k == "pem"] == [(2, 2 + len(good))]
+    for bad in (head.format("0" * 31, base64.b64encode(bytes(48)).decode()), head.format("0" * 32, base64.b64encode(bytes(47)).decode()), good.replace("ENCRYPTED", "CLEAR")):
+        assert not [x for x in secrets.scan(bad) if x[2] == "pem"]
+
+
+def test_lines_that_look_like_keys_take_linear_time():
+    begins = ["b3BlbnNzaC1rZXktdjE" + "A" * 45] + [base64.b64encode(x + bytes(44)).decode() for x in (b"\x30\x82\xff\xf0", b"\x30\x82\xff\xf0\x02\x82\xff\xec")]
+    for line in begins:
+        text, began = "\n".join([line] * 4000), time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 1  # 0.1 s where nothing else runs; quadratic code took 14 s
