@@ -32,16 +32,26 @@ def brute_force(text):
 
 ODD = [
     None, "", " ", "a@b.c_d@e.f a@b@c.d x@y. .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 1.2.3 1..2.3.4", "4111 1111 1111 1111 1", "4111-1111-1111-1111, 4111111111111112",
-    "é😀 +1 (743) 555-3824) +12 345 +1234567890123456 ++49 30 1234567-", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 00  00", "a" * 200_000, "1 " * 100_000, "a." * 50_000 + "@", "9" * 300_000, "+1" + " " * 100_000, "a@" + "b." * 100_000,
-    "1.2.3.4 " * 30_000, "x@y.z " * 20_000, "Ann Lee " * 20_000, "-" * 1000 + "\n" * 1000, "word," * 3000 + " 4111111111111111",
+    "é😀 +1 (743) 555-3824) +12 345 +1234567890123456 ++49 30 1234567-", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 00  00", "-" * 1000 + "\n" * 1000, "word," * 3000 + " 4111111111111111",
+    "a" * 2000, "1 " * 2000, "a." * 1000 + "@", "9" * 2000, "+1" + " " * 2000, "a@" + "b." * 2000, "1.2.3.4 " * 700, "x@y.z " * 700, "Ann Lee " * 700,
 ]
+#: Texts on which careless patterns take time by the square of the length, and how many of each kind they have.
+LONG = [
+    ("a" * 300_000, [0, 0, 0, 0]), ("1 " * 150_000, [0, 0, 0, 0]), ("a." * 150_000 + "@", [0, 0, 0, 0]), ("9" * 300_000, [0, 0, 0, 0]), ("+1" + " " * 300_000, [0, 0, 0, 0]),
+    ("a@" + "b." * 150_000, [1, 0, 0, 0]), ("1.2.3.4 " * 40_000, [0, 40_000, 0, 0]), ("x@y.z " * 40_000, [40_000, 0, 0, 0]), ("Ann Lee " * 40_000, [0, 0, 0, 0]),
+]
+
+
+def test_long_texts_take_linear_time(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LONG)], "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] for r in personal.base_counts(df).collect()}
+    assert got == {i: n for i, (_, n) in enumerate(LONG)} and time.time() - began < 120
 
 
 def test_base_spans_of_odd_texts(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(0, "a@b.c", "y"), (None, None, "z")], "doc_id long, text string, spans string").repartition(4)
-    began = time.time()
     rows = sorted(map(tuple, personal.personal_spans(df).drop("spans").collect()), key=str)
-    assert time.time() - began < 120
     want = [(i, *c, h) for i, (c, h, _) in enumerate(map(brute_force, ODD))] + [(0, *brute_force("a@b.c")[0], brute_force("a@b.c")[1]), (None, *brute_force("")[0], brute_force("")[1])]
     assert rows == sorted(want, key=str)
     assert personal.personal_spans(df.limit(0)).count() == 0
