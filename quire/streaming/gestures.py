@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.schemas import TOUCH_EVENTS
 from quire.streaming.folds import folded
+from quire.streaming.ordered import folded_in_order
 
 DEBOUNCE_MS, HOLD_MS, REPEAT_MS, STILL, SWIPE, NEAR, QUICK_MS = 60, 500, 100, 15, 25, 40, 500
 STATE = "pressed boolean, start_x int, start_y int, last_x int, last_y int, press_ms long, moved int, next_hold long"
@@ -55,9 +56,13 @@ def gestures(samples: DataFrame) -> DataFrame:
     return folded(rows, "device", ["ts_ms", "pressed", "x", "y"], IDLE, _gesture, TOUCH_EVENTS)
 
 
-def stream_gestures(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """The same for a stream; samples of a device come in time order. With idle_ms, the state of a device goes when nothing came for so
-    long, for which Spark runs batches without data as well."""
+def stream_gestures(samples: DataFrame, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """The same for a stream. With a delay, samples may come in any order as long as none comes later than that: they wait for the
+    watermark. Without one, samples of a device come in time order. With idle_ms, the state of a device goes when nothing came for so
+    long."""
+    if delay:
+        columns = {"ts_ms": "long", "pressed": "boolean", "x": "int", "y": "int"}
+        return folded_in_order(samples.where("pressed is not null"), "device", "ts_ms", columns, delay, IDLE, STATE, _gesture, TOUCH_EVENTS, idle_ms)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

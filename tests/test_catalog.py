@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +12,7 @@ from quire.operators import joins, ordering
 from quire.plans import catalog as C, search as S
 from quire.sources import entries as E
 from quire.sources.stores import fixed_records
-from quire.streaming import gestures, logs, navigation, screens
+from quire.streaming import gestures, logs, navigation, ordered, screens
 
 PAGE = "<html><head><title>{0}</title></head><body><p>{0} <a href='x'>q</a> <a href=\"{1}\">l</a></p></body></html>"
 
@@ -224,6 +226,32 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {tuple(r) for r in run_stream(logs.tail(spark, str(tmp_path / "log")), "lines")} == {("[touch] press", "touch"), ("plain", None)}
 
 
+def test_streams_in_any_order(spark, tmp_path):
+    """Shuffled micro-batches give the batch's result, for gestures and for first-wins results; what comes too late is counted."""
+    schema = "device string, ts_ms long, pressed boolean, x int, y int"
+    base = 10**8  # times are well above the first watermark, which is 0
+    rows = [*((d, base + ms, *r) for d, ms, *r in TOUCHES), ("none", None, True, 1, 1)]
+    order = np.random.default_rng(4).permutation(len(rows))
+    batches = [[rows[k] for k in order[a::4]] for a in range(4)] + [[("end", base + 10**7, False, 0, 0)], [("tap", base + 5, True, 9, 9), ("end", base + 2 * 10**7, False, 0, 0)], [("tap", base + 6, True, 9, 9)]]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "touch"))
+        time.sleep(0.02)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "touch"))
+    query = gestures.stream_gestures(stream, idle_ms=5000, delay="1 hour").writeStream.format("memory").queryName("any_order").outputMode("append").start()
+    query.processAllAvailable()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    query.stop()
+    assert {(d, ms - base, *r) for d, ms, *r in spark.table("any_order").collect()} == WANT and late == 1
+    results = [(k % 7, (k * 37) % 100 // 2, f"v{k}", 1000 + k * 10) for k in range(100)]
+    shuffled = [results[k] for k in np.random.default_rng(5).permutation(100)]
+    for a in range(4):
+        spark.createDataFrame(shuffled[a::4] if a < 3 else [*shuffled[a::4], (99, 0, "end", 10**8)], "k long, o long, v string, ms long").coalesce(1).write.mode("append").parquet(str(tmp_path / "first"))
+    stream = spark.readStream.schema("k long, o long, v string, ms long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "first"))
+    got = {tuple(r) for r in run_stream(ordered.stream_first_of_each(stream, "k", "o", "ms", 5000, "1 hour"), "first")}
+    want = logs.first_of_each(spark.createDataFrame(results, "k long, o long, v string, ms long"), "k", "o")
+    assert {(r[0], r[1]) for r in got} == {(r["k"], r["o"]) for r in want.collect()} and len(got) == 7
+
+
 def test_state_of_idle_keys_goes():
     class State:
         exists, hasTimedOut, gone = True, True, False
