@@ -14,6 +14,7 @@ from quire.operators import joins, ordering
 from quire.operators.staging import shuffle_partitions, staged
 from quire.schemas import ARTICLE_CHUNK_BYTES, BLOCK_BYTES, IMAGE_CHUNK_BYTES, JPEG_QUALITY, MAX_ARTICLE_BYTES, POSTING_CAP, SPARSE_KEY_BYTES, SPARSE_STEP, THUMB_HEIGHT, THUMB_WIDTH, TITLE_ENTRY_BYTES
 from quire.sources.entries import is_article_entry
+from quire.sources.versions import Build, current, table
 
 
 def title_map(entries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -181,12 +182,14 @@ class CatalogBuilder:
         return ordering.chunked(articles.select(F.col("article_id").alias("id"), F.octet_length("data").cast("long").alias("length")), self.chunk_bytes)
 
     def write(self, entries: DataFrame, path: str, image_entries: DataFrame | None = None) -> None:
-        """All tables as Parquet under path: articles by chunk, the index sorted by key, so that prefixes skip row groups."""
-        keep = self._keeper(entries, path)
+        """All tables under path, published together at the end: articles by chunk, the index sorted by key, so that prefixes skip row
+        groups. A build that fails leaves what was published before."""
+        build = Build(entries.sparkSession, path)
+        keep = build.keep
         titles = keep(title_map(entries, self.limit), "titles")
         info = None
         if self.with_images and image_entries is not None:
-            info = joins.image_names(self.write_images(image_entries, path))
+            info = joins.image_names(self._kept_images(image_entries, build))
         blobs = keep(self.packed(self.cleaned(entries, titles, info)), "blobs")
         places = keep(self.places(blobs), "places")
         made = self.assemble(titles, blobs, None, places)
@@ -195,31 +198,30 @@ class CatalogBuilder:
         keep(sparse_index(index, self.sparse_step), "sparse")
         for name, df in (("ids", made.ids), ("words", made.words), ("title31", made.title31), ("meta", made.meta)):
             keep(df, name)
+        build.publish()
 
     def write_images(self, image_entries: DataFrame, path: str) -> DataFrame:
         """Pictures only; articles stay as they are. Entries with content are decoded and stored, others give their sizes alone."""
-        keep = self._keeper(image_entries, path)
+        build = Build(image_entries.sparkSession, path)
+        images = self._kept_images(image_entries, build)
+        build.publish()
+        return images
+
+    def _kept_images(self, image_entries: DataFrame, build: Build) -> DataFrame:
         if "content" not in image_entries.columns:
-            return keep(image_table(image_entries, *self.thumb), "images")
-        images = keep(numbered_pictures(keep(stored_pictures(image_entries, *self.thumb, self.jpeg_quality), "pictures")), "images")
-        places = keep(image_chunks(images, self.image_chunk_bytes), "image_places")
+            return build.keep(image_table(image_entries, *self.thumb), "images")
+        images = build.keep(numbered_pictures(build.keep(stored_pictures(image_entries, *self.thumb, self.jpeg_quality), "pictures")), "images")
+        places = build.keep(image_chunks(images, self.image_chunk_bytes), "image_places")
         counts = places.agg(F.count("*").alias("image_count"), F.coalesce(F.max("chunk_id") + 1, F.lit(0)).alias("chunk_count"))
-        keep(_settings(counts, {"chunk_size": self.image_chunk_bytes}), "image_meta")
+        build.keep(_settings(counts, {"chunk_size": self.image_chunk_bytes}), "image_meta")
         return images
 
     def write_words(self, spark: SparkSession, path: str) -> None:
         """Word and title index only, from the stored index."""
-        keys = spark.read.parquet(f"{path}/index").select(F.col("title_key").alias("title_norm"), "article_id")
-        for name, df in (("words", word_index(keys, self.posting_cap)), ("title31", title_index(keys))):
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-    @staticmethod
-    def _keeper(df: DataFrame, path: str):
-        def keep(table: DataFrame, name: str, **how) -> DataFrame:
-            table.write.mode("overwrite").parquet(f"{path}/{name}", **how)
-            return df.sparkSession.read.parquet(f"{path}/{name}")
-
-        return keep
+        build, keys = Build(spark, path), table(spark, path, "index").select(F.col("title_key").alias("title_norm"), "article_id")
+        build.keep(word_index(keys, self.posting_cap), "words")
+        build.keep(title_index(keys), "title31")
+        build.publish()
 
 
 def _settings(counts: DataFrame, fixed: dict[str, int], more: dict[str, Column] | None = None) -> DataFrame:
@@ -230,12 +232,10 @@ def _settings(counts: DataFrame, fixed: dict[str, int], more: dict[str, Column]
 
 
 def load(spark: SparkSession, path: str) -> Catalog:
-    """A catalog that write() stored."""
-    from quire.sources.entries import optional_table
-
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    images = optional_table(spark, f"{path}/images", "img_id long, entry_id long, path string, diagram boolean, w int, h int, data binary")
-    return Catalog(read("titles"), read("articles"), read("index"), read("ids"), read("sparse"), read("words"), read("title31"), read("meta"), images)
+    """The catalog published last under path."""
+    found = current(spark, path)
+    read = lambda name: spark.read.parquet(f"{path}/{found[name]}")
+    return Catalog(*map(read, ("titles", "articles", "index", "ids", "sparse", "words", "title31", "meta")), read("images") if "images" in found else None)
 
 
 def image_chunks(images: DataFrame, limit: int = IMAGE_CHUNK_BYTES) -> DataFrame:

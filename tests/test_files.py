@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import raster as R
 from quire.plans import catalog as C, search as S
-from quire.sources import archives, entries as E, files, stores
+from quire.sources import archives, entries as E, files, stores, versions
 
 
 def test_files_of_a_catalog(spark, tmp_path):
@@ -50,23 +50,23 @@ def test_pictures_of_a_build(spark, tmp_path):
     df = spark.createDataFrame([(*r[:4], None if r[4] is None else bytearray(r[4])) for r in rows], "entry_id long, path string, mimetype string, is_redirect boolean, content binary")
     builder, path = C.CatalogBuilder(image_chunk_bytes=4000), str(tmp_path / "c")
     builder.write_images(df, path)
-    got = {r["path"]: r for r in spark.read.parquet(f"{path}/images").collect()}
+    got = {r["path"]: r for r in versions.table(spark, path, "images").collect()}
     assert {p: (r["img_id"], r["w"], r["h"], r["diagram"]) for p, r in got.items()} == {"I/plain.png": (0, 80, 60, True), "I/photo.jpg": (1, 320, 192, False), "I/noisy.jpg": (2, 80, 60, False)}
     assert bytes(got["I/plain.png"]["data"][:4]) == b"qoif" and bytes(got["I/photo.jpg"]["data"][:2]) == b"\xff\xd8"
     assert np.abs(R.pixels_of(bytes(got["I/noisy.jpg"]["data"]))[:, :, :3].astype(int) - noisy).mean() < 12
-    places = spark.read.parquet(f"{path}/image_places")
-    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/image_meta").collect()}
+    places = versions.table(spark, path, "image_places")
+    meta = {r["key"]: r["value"] for r in versions.table(spark, path, "image_meta").collect()}
     assert meta["image_count"] == "3" and meta["chunk_size"] == "4000"
     folder = str(tmp_path / "files")
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / f"img_{int(meta['chunk_count']):04d}.dat").write_bytes(b"stale")
-    blobs = spark.read.parquet(f"{path}/images").join(places, "img_id").select("chunk_id", "offset", "data")
+    blobs = versions.table(spark, path, "images").join(places, "img_id").select("chunk_id", "offset", "data")
     assert files.write_chunks(blobs, folder, "img") == int(meta["chunk_count"])
     assert len(list((tmp_path / "files").glob("img_*.dat"))) == int(meta["chunk_count"])
     assert not list((tmp_path / "files").glob("_staging*"))
     back = files.read_places(places, folder, "img", "img_id").collect()
     assert {r["img_id"]: bytes(r["data"]) for r in back} == {r["img_id"]: bytes(r["data"]) for r in got.values()}
-    assert S.image(spark.read.parquet(f"{path}/images"), 1).first()["img_id"] == 1 and S.image(spark.read.parquet(f"{path}/images"), 9).count() == 0
+    assert S.image(versions.table(spark, path, "images"), 1).first()["img_id"] == 1 and S.image(versions.table(spark, path, "images"), 9).count() == 0
 
 
 def test_parts_of_a_build(spark, tmp_path):
@@ -79,10 +79,13 @@ def test_parts_of_a_build(spark, tmp_path):
     chunks = made.articles.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("p")).select("chunk_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
     assert S.article_at(chunks, made.ids, 17).first()["html"] == f"<p>17 {'x' * 29}</p>" and S.article_at(chunks, made.ids, 400).count() == 0
     words = sorted(map(str, made.words.collect()))
-    spark.createDataFrame([("gone", [1], 1, 0)], "word string, article_ids array<long>, ids_count int, ids_start long").write.mode("overwrite").parquet(f"{path}/words")
+    gone = versions.Build(spark, path)
+    gone.keep(spark.createDataFrame([("gone", [1], 1, 0)], "word string, article_ids array<long>, ids_count int, ids_start long"), "words")
+    gone.publish()
+    assert [r["word"] for r in C.load(spark, path).words.collect()] == ["gone"]
     builder.write_words(spark, path)
     assert sorted(map(str, C.load(spark, path).words.collect())) == words
-    counts = C.counters(made.titles, made.articles, spark.read.parquet(f"{path}/places")).first()
+    counts = C.counters(made.titles, made.articles, versions.table(spark, path, "places")).first()
     assert (counts["titles"], counts["written"], counts["skipped"]) == (40, 40, 0) and counts["chunks"] > 1
 
 
@@ -166,3 +169,26 @@ def test_archives(spark, tmp_path):
         head[-1] = len(made)
         (tmp_path / "d.zim").write_bytes(struct.pack(archives.HEADER, *head) + made[80:])
         assert [bytes(r["content"]) for r in archives.archive_entries(spark, str(tmp_path / "d.zim")).orderBy("path").collect()] == [b"a", b"bc"]
+
+
+def test_a_failed_build_leaves_the_old_catalog(spark, tmp_path, monkeypatch):
+    entries = lambda n: spark.createDataFrame([(k, f"A/t{k}", f"title number {k}", False, "text/html", bytearray(b"<p>x")) for k in range(n)], "entry_id long, path string, title string, is_redirect boolean, mimetype string, content binary")
+    path, builder = str(tmp_path / "c"), C.CatalogBuilder(with_images=False)
+    assert versions.current(spark, path) == {}
+    builder.write(entries(5), path)
+    before = versions.current(spark, path)
+    monkeypatch.setattr(C, "sparse_index", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        builder.write(entries(9), path)
+    assert versions.current(spark, path) == before and C.load(spark, path).index.count() == C.load(spark, path).titles.count() == 5
+    monkeypatch.undo()
+    builder.write(entries(7), path)
+    assert C.load(spark, path).index.count() == 7
+    assert len(versions.vacuum(spark, path, keep=1)) == 2 and C.load(spark, path).words.count() > 0
+    one, two = versions.Build(spark, path), versions.Build(spark, path)
+    for b in (one, two):
+        b.keep(spark.range(3), "extra")
+    one.publish()
+    monkeypatch.setattr(versions, "_numbers", lambda *_: [1])  # as two saw it before
+    with pytest.raises(RuntimeError, match="another build"):
+        two.publish()
