@@ -32,10 +32,15 @@ def index_records(titles: DataFrame, places: DataFrame) -> DataFrame:
     return keyed.join(places.withColumnRenamed("id", "article_id"), "article_id").select("title_key", "article_id", "chunk_id", "offset", "length")
 
 
+def sparse_key(key: Column | str) -> Column:
+    """The first bytes of a key; a broken last character becomes U+FFFD."""
+    return F.make_valid_utf8(cut_bytes(key, SPARSE_KEY_BYTES).cast("string"))
+
+
 def sparse_index(index: DataFrame, step: int = SPARSE_STEP) -> DataFrame:
     """(pos, sparse_key): the first bytes of every step-th key of the sorted index."""
     placed = ordering.with_text_position(index.select("title_key", "article_id"), "title_key", "pos", ("article_id",))
-    return placed.where(F.col("pos") % step == 0).select((F.col("pos") / step).cast("long").alias("pos"), F.make_valid_utf8(cut_bytes("title_key", SPARSE_KEY_BYTES).cast("string")).alias("sparse_key"))
+    return placed.where(F.col("pos") % step == 0).select((F.col("pos") / step).cast("long").alias("pos"), sparse_key("title_key").alias("sparse_key"))
 
 
 def id_index(places: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import ascii, binary, geometry as G, html as H, images as I, text as T
 from quire.operators import joins, ordering
+from quire.operators.staging import fresh_path
 from quire.plans import catalog as C
+from quire.plans.blocks import BlockIndex
 from quire.plans.search import SearchEngine
 from quire.schemas import STOP_WORDS
 from quire.sources import entries as E
+from quire.sources.versions import Build
 from quire.streaming import gestures, logs, navigation
 
 FLAGSHIP = "prefix_search"
@@ -256,15 +259,29 @@ def desktop_search(read):
     return _engine(read).desktop(" To", 40)
 
 
-@query(f"""{_SEARCHED}, placed AS (SELECT title_key, article_id, row_number() OVER (ORDER BY title_key, article_id) - 1 AS pos FROM keyed),
+_BLOCK_SEARCH = f"""{_SEARCHED}, placed AS (SELECT title_key, article_id, row_number() OVER (ORDER BY title_key, article_id) - 1 AS pos FROM keyed),
 blocks AS (SELECT pos // 64 AS block FROM placed WHERE pos % 64 = 0 AND contains({_cut("title_key", 12)}, 'er') AND NOT starts_with(title_key, 'er') ORDER BY pos LIMIT 15)
-SELECT article_id, title_key AS title FROM placed JOIN blocks ON pos // 64 = block WHERE contains(title_key, 'er') AND NOT starts_with(title_key, 'er') ORDER BY pos LIMIT 20""")
+SELECT article_id, title_key AS title FROM placed JOIN blocks ON pos // 64 = block WHERE contains(title_key, 'er') AND NOT starts_with(title_key, 'er') ORDER BY pos LIMIT 20"""
+
+
+@query(_BLOCK_SEARCH)
 def block_search(read):
     keys = _keys(_titles(read))
     placed = ordering.with_text_position(keys, "title_key", "pos", ("article_id",))
     return SearchEngine(keys).contains_by_blocks("er", C.sparse_index(keys, 64), placed, 64, 20)
 
 
+@query(_BLOCK_SEARCH)
+def pruned_block_search(read):
+    """The same over stored blocks, of which only the folders of the picked ones are read."""
+    keys = _keys(_titles(read))
+    path = fresh_path(keys.sparkSession, "catalog")
+    build = Build(keys.sparkSession, path)
+    build.keep(keys, "index")
+    build.publish()
+    return BlockIndex.opened(keys.sparkSession, path, 64, 4).contains("er", 20)
+
+
 @query(f"WITH {_DOCS}, {_MAP} SELECT count(*) AS article_count, 'Pages' AS db_name FROM titles")
 def catalog_info(read):
     return _engine(read).info("Pages")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import raster as R
 from quire.plans import catalog as C, search as S
+from quire.plans.blocks import BlockIndex
+from quire.plans.search import SearchEngine
 from quire.sources import archives, entries as E, files, stores, versions
 
 
@@ -192,3 +194,24 @@ def test_a_failed_build_leaves_the_old_catalog(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "_numbers", lambda *_: [1])  # as two saw it before
     with pytest.raises(RuntimeError, match="another build"):
         two.publish()
+
+
+def test_blocks_are_pruned_and_made_anew_when_stale(spark, tmp_path):
+    path = str(tmp_path / "c")
+
+    def publish(n):
+        build = versions.Build(spark, path)
+        build.keep(spark.createDataFrame([(f"{k:04d} knot{k % 7}", k) for k in range(n)], "title_key string, article_id long"), "index")
+        build.publish()
+
+    publish(200)
+    first = BlockIndex.opened(spark, path, 4, 5)
+    assert first.rebuilt and not BlockIndex.opened(spark, path, 4, 5).rebuilt and first.sparse.count() == 50
+    found = first.contains("knot3", 4)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    every = SearchEngine(first.blocks.select("title_key", "article_id")).contains_by_blocks("knot3", first.sparse.withColumnRenamed("block", "pos"), first.blocks.select("title_key", "article_id", "pos"), 4, 4)
+    assert found.collect() == every.collect() and found.count() > 0
+    assert BlockIndex.opened(spark, path, 8, 5).rebuilt  # other sizes
+    publish(300)
+    again = BlockIndex.opened(spark, path, 8, 5)
+    assert again.rebuilt and again.blocks.count() == 300 and versions.table(spark, path, "index").count() == 300
