@@ -8,8 +8,9 @@ from quire.functions import ascii, binary as B, geometry as G, html as H, images
 from quire.operators import joins, ordering
 from quire.operators.staging import fresh_path, staged
 from quire.plans import catalog as C, search as S
-from quire.registry import _BLOCKS, _DOCS, _KEYS, _MAP, _NAMES, _PAGES, _PICTURES, _WORDS, _cut, _keys, _page_entries, _pictures, _titles, query
+from quire.registry import _BLOCKS, _DOCS, _KEYS, _MAP, _NAMES, _PAGES, _PICTURES, _WORDS, _cut, _keys, _listed, _page_entries, _pictures, _titles, query
 from quire.sources import archives, entries as E, files
+from quire.sources.versions import Build, table
 
 
 def _pick(values: tuple, number: Column) -> Column:
@@ -285,3 +286,52 @@ def page_counts(read):
     """Pages of entries that were stored whole and hold no tag, so that all cuts are hard."""
     rows = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 700).cast("int").alias("length")).where("length > 0")
     return rows.select("*", F.size(H.page_bounds(200)(F.repeat(F.lit("x"), F.col("length")))).alias("pages"))
+
+
+# whole builds
+
+
+def _published(df: DataFrame, name: str) -> str:
+    """The path of a catalog that has only this table."""
+    path = fresh_path(df.sparkSession, "catalog")
+    build = Build(df.sparkSession, path)
+    build.keep(df, name)
+    build.publish()
+    return path
+
+
+@query(f"WITH {_PAGES}, {_MAP}, {_KEYS} SELECT article_id, title_key, entry_id, title31, count(*) OVER () AS articles FROM keyed")
+def written_catalog(read):
+    """A build of all pages, published and read again: titles, index, title index, articles and counts agree."""
+    entries = _page_entries(read)
+    path = fresh_path(entries.sparkSession, "catalog")
+    C.CatalogBuilder(with_images=False).write(entries, path)
+    made = C.load(entries.sparkSession, path)
+    rows = made.index.select("article_id", "title_key").join(made.titles.select("article_id", "entry_id"), "article_id").join(made.title31, "article_id").join(made.articles.select("article_id"), "article_id")
+    count = made.meta.where("key = 'article_count'").select(F.col("value").cast("long").alias("articles"))
+    return rows.crossJoin(F.broadcast(count)).select("article_id", "title_key", "entry_id", "title31", "articles")  # one row
+
+
+@query(_listed(500))
+def written_words(read):
+    """Only the word index, made anew from a published index."""
+    keys = _keys(_titles(read))
+    path = _published(keys, "index")
+    C.CatalogBuilder().write_words(keys.sparkSession, path)
+    words = table(keys.sparkSession, path, "words")
+    return words.select("word", F.col("ids_count").cast("long").alias("ids_count"), F.array_join("article_ids", ",").alias("ids"), "ids_start")
+
+
+@query(f"WITH {_PICTURES} SELECT img_id, entry_id, path, diagram, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h FROM stored")
+def written_pictures(read):
+    """Only the pictures, published beside what was there."""
+    path = _published(read("region"), "titles")
+    C.CatalogBuilder().write_images(_pictures(read), path)
+    return table(read("region").sparkSession, path, "images")
+
+
+@query("SELECT p_partkey, len(list_distinct(list_transform(range(p_size * 8), lambda i: i * p_partkey % (p_size + 3)))) AS colours, len(list_distinct(list_transform(range(p_size * 8), lambda i: i * p_partkey % (p_size + 3)))) <= 16 AS few FROM part")
+def picture_colours(read):
+    """Distinct colours of arrays of pixels."""
+    pixels = F.transform(F.sequence(F.lit(0), F.col("p_size") * 8 - 1), lambda i: i * F.col("p_partkey") % (F.col("p_size") + 3))
+    return read("part").select("p_partkey", I.colour_count(pixels).cast("long").alias("colours")).withColumn("few", F.col("colours") <= 16)
