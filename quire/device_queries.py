@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions import ascii, binary as B, geometry as G, html as H, images as I, raster, text as T
+from quire.functions import ascii, binary as B, html as H, images as I, raster, text as T
 from quire.operators import joins, ordering
 from quire.operators.staging import fresh_path, staged
 from quire.plans import catalog as C, search as S

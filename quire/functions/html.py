@@ -11,7 +11,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.lazy import arrow_udf
 from quire.functions.text import WHITE_CHARACTERS
@@ -262,24 +262,34 @@ def tokens(html: str) -> Iterator[tuple[int, str, str, bool, str, str]]:
         seq += 1
 
 
+def _pieces(html: Column | str) -> Column:
+    return F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"<[^<>]*>?|[^<]+"), F.lit(0))
+
+
+def _tag_of(x: Column) -> Column:
+    """What is in the brackets of a piece, empty for texts and for what is no tag."""
+    return F.when(x.startswith("<") & x.endswith(">"), F.btrim(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(WHITE_CHARACTERS))).otherwise("")
+
+
+def _fields(x: Column, tag: Column) -> list[Column]:
+    """kind, name, closing, attrs, text of a piece."""
+    is_tag, closing = x.startswith("<"), tag.startswith("/")
+    body = F.when(closing, F.substring(tag, 2, 1 << 30)).otherwise(tag)
+    name = F.substring_index(body, " ", 1)
+    attrs = F.substring(body, F.length(name) + 2, F.length(body))
+    return [F.when(is_tag, "tag").otherwise("text").alias("kind"), F.lower(name).alias("name"), closing.alias("closing"), attrs.alias("attrs"), F.when(is_tag, "").otherwise(x).alias("text")]
+
+
 def token_list(html: Column | str) -> Column:
     """Column function: the tokens of a document in order, as structs (kind, name, closing, attrs, text); the place is the seq."""
-    pieces = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"<[^<>]*>?|[^<]+"), F.lit(0))
-
-    def piece(x: Column) -> Column:
-        is_tag = x.startswith("<")
-        tag = F.when(is_tag & x.endswith(">"), F.btrim(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(WHITE_CHARACTERS))).otherwise("")
-        return F.struct(is_tag.alias("is_tag"), tag.alias("tag"), F.when(is_tag, "").otherwise(x).alias("text"))
-
-    def token(x: Column) -> Column:
-        closing = x["tag"].startswith("/")
-        body = F.when(closing, F.substring(x["tag"], 2, 1 << 30)).otherwise(x["tag"])
-        name = F.substring_index(body, " ", 1)
-        attrs = F.substring(body, F.length(name) + 2, F.length(body))
-        return F.struct(F.when(x["is_tag"], "tag").otherwise("text").alias("kind"), F.lower(name).alias("name"), closing.alias("closing"), attrs.alias("attrs"), x["text"].alias("text"))
-
-    whole = F.filter(F.transform(pieces, piece), lambda x: ~x["is_tag"] | (x["tag"] != ""))
-    return F.transform(whole, token)
+    both = F.transform(_pieces(html), lambda x: F.struct(x.alias("x"), _tag_of(x).alias("tag")))
+    return F.transform(F.filter(both, lambda p: ~p["x"].startswith("<") | (p["tag"] != "")), lambda p: F.struct(*_fields(p["x"], p["tag"])))
+
+
+def token_rows(df: DataFrame, html: str, *keys: str) -> DataFrame:
+    """(keys.., place, kind, name, closing, attrs, text): the same as rows, of which Spark generates code; place grows with the seq."""
+    rows = df.select(*keys, F.posexplode(_pieces(html)).alias("place", "x")).withColumn("tag", _tag_of(F.col("x")))
+    return rows.where(~F.col("x").startswith("<") | (F.col("tag") != "")).select(*keys, "place", *_fields(F.col("x"), F.col("tag")))
 
 
 CHAR_WIDTH, BODY_LINE, GAP, MARGIN, INDENT = 7, 16, 6, 4, 14

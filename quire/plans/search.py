@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.binary import unpacked_articles
 from quire.functions.text import device_key, normalise_title, query_word
 from quire.schemas import API_RESULTS, SERVER_RESULTS, SPARSE_BLOCKS, SPARSE_KEY_BYTES, SPARSE_STEP, UI_RESULTS
+from quire.sources.files import read_places
 
 
 class SearchEngine:
@@ -109,6 +110,11 @@ def article_at(chunks: DataFrame, ids: DataFrame, article_id: int) -> DataFrame:
     return full_article(chunk_slice(chunks, ids.where(F.col("article_id") == article_id), "article_id"), article_id)
 
 
+def article_in_files(ids: DataFrame, folder: str, stem: str, article_id: int) -> DataFrame:
+    """The same from chunk files folder/stem_NNNN.dat, of which only the entry's bytes are read."""
+    return full_article(read_places(ids.where(F.col("article_id") == article_id), folder, stem), article_id)
+
+
 def window_of_results(results: DataFrame, order: list[str], scroll: int, height: int, row: int = 18) -> DataFrame:
     """The rows of a result list that a view of this height shows from a scroll position on."""
     return results.orderBy(*order).offset(scroll).limit(height // row)

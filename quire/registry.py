@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.functions import ascii, binary, geometry as G, html as H, images as I, text as T
+from quire.functions import ascii, binary, geometry as G, html as H, text as T
 from quire.operators import joins, ordering
 from quire.operators.staging import fresh_path
 from quire.plans import catalog as C
@@ -321,7 +321,7 @@ def decoded_titles(read):
 @query(r"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<([^<>]*)>', 1)) AS tag FROM pages), named AS (SELECT page_id, trim(tag) AS tag FROM tags WHERE trim(tag) <> '')
 SELECT page_id, lower(string_split(ltrim(tag, '/'), ' ')[1]) AS name, count(*) FILTER (WHERE starts_with(tag, '/')) AS closing, count(*) FILTER (WHERE NOT starts_with(tag, '/')) AS opening FROM named GROUP BY ALL""")
 def html_tokens(read):
-    rows = read("pages").select("page_id", F.explode(H.token_list("html")).alias("t")).where("t.kind = 'tag'").select("page_id", "t.*")
+    rows = H.token_rows(read("pages"), "html", "page_id").where("kind = 'tag'")
     return rows.groupBy("page_id", "name").agg(F.count_if("closing").alias("closing"), F.count_if(~F.col("closing")).alias("opening"))
 
 

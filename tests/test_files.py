@@ -80,6 +80,8 @@ def test_parts_of_a_build(spark, tmp_path):
     assert made.index.count() == 40
     chunks = made.articles.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("p")).select("chunk_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
     assert S.article_at(chunks, made.ids, 17).first()["html"] == f"<p>17 {'x' * 29}</p>" and S.article_at(chunks, made.ids, 400).count() == 0
+    assert files.write_chunks(made.articles, str(tmp_path / "dat"), "data") == made.articles.agg(F.max("chunk_id")).first()[0] + 1
+    assert S.article_in_files(made.ids, str(tmp_path / "dat"), "data", 17).first()["html"] == f"<p>17 {'x' * 29}</p>" and S.article_in_files(made.ids, str(tmp_path / "dat"), "data", 400).count() == 0
     words = sorted(map(str, made.words.collect()))
     gone = versions.Build(spark, path)
     gone.keep(spark.createDataFrame([("gone", [1], 1, 0)], "word string, article_ids array<long>, ids_count int, ids_start long"), "words")

@@ -190,6 +190,8 @@ def test_html_columns(spark):
     r = df.select(H.entry_links("h").alias("l"), H.entry_images("h").alias("i"), H.hrefs("h").alias("r"), H.with_page_links("h", F.lit(1), F.lit(True)).alias("p")).first()
     texts = ["a<B c=1>t</b>< >x>y<open", "", "<><a/><>", "< a  b='1' >x</ a>", "<<p>"]
     lists = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", H.token_list("t").alias("l")).collect()
+    rows = H.token_rows(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string"), "t", "k").orderBy("k", "place").collect()
+    assert [(r["k"], *x) for r in lists for x in r["l"]] == [(r["k"], *r[2:]) for r in rows]
     for row in lists:
         assert [(k, *x) for k, x in enumerate(row["l"])] == [(seq, kind, name, closing, attrs, text) for seq, kind, name, closing, attrs, text in H.tokens(texts[row["k"]])]
     assert r["l"] == [3] and [tuple(x) for x in r["i"]] == [(5, 9, 8)] and r["r"] == ["/wiki/3", "z"] and "4294967294" in r["p"] and "4294967293" in r["p"]
