@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.schemas import HISTORY_CAP
 from quire.streaming.folds import folded
+from quire.streaming.ordered import folded_in_order
 
 OUT = "session string, seq long, action string, screen string, article_id long, page int, depth int"
 STATE = "screen string, article_id long, page int, history array<long>"
@@ -55,9 +56,17 @@ def sessions(actions: DataFrame) -> DataFrame:
     return folded(rows, "session", ["seq", "action", "article_id"], START, _action, OUT)
 
 
-def stream_sessions(actions: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """The same for a stream; actions of a session come in order. With idle_ms, the state of a session goes when nothing came for so
-    long, for which Spark runs batches without data as well."""
+def _timed_action(state: tuple, ms: int, seq: int, action: str, target: int | None) -> tuple[tuple, tuple]:
+    return _action((*state[:3], list(state[3])), seq, action, target)
+
+
+def stream_sessions(actions: DataFrame, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """The same for a stream. With a delay, actions have a time, ts_ms, and may come in any order as long as none comes later than that;
+    those of one time are taken by seq. Without one, actions of a session come in order. With idle_ms, the state of a session goes when
+    nothing came for so long."""
+    if delay:
+        columns = {"ts_ms": "long", "seq": "long", "action": "string", "article_id": "long"}
+        return folded_in_order(actions.where("seq is not null"), "session", "ts_ms", columns, delay, START, STATE, _timed_action, OUT, idle_ms)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

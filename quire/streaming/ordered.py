@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+_KINDS = {"long": int, "int": int, "boolean": bool, "string": str}
+
+
+def _whole(row: tuple, kinds: list) -> tuple:
+    """Values of a row as they were: batches and arrays with nulls give numbers as floats, and nulls as NaN."""
+    return tuple(None if pd.isna(x) else kind(x) for x, kind in zip(row, kinds, strict=True))
+
+
 def _pending(state: GroupState, width: int) -> tuple[list, list[tuple]]:
     """(what the state holds besides, the rows that wait in it)."""
     if not state.exists:
@@ -25,18 +33,19 @@ def _pending(state: GroupState, width: int) -> tuple[list, list[tuple]]:
 def folded_in_order(rows: DataFrame, key: str, time_ms: str, values: dict[str, str], delay: str, start: tuple, kinds: str, step: Callable[..., tuple[tuple, tuple | None]], schema: str, idle_ms: int | None = None) -> DataFrame:
     """What step(state, *values) gives besides the next state, for each row of a stream by key in the order of values.
 
-    values are names and types of columns, the first of them time_ms (milliseconds); kinds are the types of the state, as a schema.
+    values are names and types (long, int, boolean, string) of columns, the first of them time_ms (milliseconds); kinds are the types of the state, as a schema.
     With idle_ms, the state of a key goes when the watermark is so long behind its last row.
     """
-    names = list(values)
+    names, types = list(values), [_KINDS[t] for t in values.values()]
     wait = ", ".join(f"wait_{c} array<{t}>" for c, t in values.items())
     out_names = [f.split()[0] for f in schema.split(", ")]
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, waiting = _pending(state, len(names))
+        waiting = [_whole(r, types) for r in waiting]
         now, last, upto = (tuple(held[:-2]), *held[-2:]) if held else (start, -1, -1)
         for batch in batches:
-            new = (tuple(None if pd.isna(x) else x for x in r) for r in batch[names].itertuples(index=False))
+            new = (_whole(r, types) for r in batch[names].itertuples(index=False))
             waiting += [r for r in new if r[0] >= upto]  # the others have missed their turn
         mark, out = state.getCurrentWatermarkMs(), []
         ready = sorted((r for r in waiting if r[0] < mark), key=lambda r: tuple((x is not None, x) for x in r))
@@ -54,7 +63,7 @@ def folded_in_order(rows: DataFrame, key: str, time_ms: str, values: dict[str, s
             due = int(min(r[0] for r in waiting)) + 1 if waiting else last + idle_ms + 1 if idle_ms else 0
             if due:
                 state.setTimeoutTimestamp(max(due, mark + 1))
-        yield pd.DataFrame(out, columns=out_names)
+        yield pd.DataFrame(out, columns=out_names, dtype=object)
 
     timed = rows.where(F.col(time_ms).isNotNull()).withColumn("__time", F.timestamp_millis(F.col(time_ms).cast("long"))).withWatermark("__time", delay)
     typed = timed.select(key, "__time", *[F.col(c).cast(t).alias(c) for c, t in values.items()])

@@ -252,6 +252,19 @@ def test_streams_in_any_order(spark, tmp_path):
     assert {(r[0], r[1]) for r in got} == {(r["k"], r["o"]) for r in want.collect()} and len(got) == 7
 
 
+def test_sessions_in_any_order(spark, tmp_path):
+    story = [("open", 1), ("follow", 2), ("next", None), ("follow", 3), ("back", None), ("image", None), ("back", None), ("tap", None), ("back", None), ("back", None), ("search", None)]
+    schema = "session string, seq long, action string, article_id long, ts_ms long"
+    rows = [(s, k, a, t, 10**8 + 10 * k) for s in ("s", "t") for k, (a, t) in enumerate(story)]
+    order = np.random.default_rng(2).permutation(len(rows))
+    for part in [*([rows[k] for k in order[a::3]] for a in range(3)), [("end", 0, "open", 1, 2 * 10**8)], [("end", 1, "open", 1, 3 * 10**8)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "nav"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "nav"))
+    got = sorted((tuple(r) for r in run_stream(navigation.stream_sessions(stream, delay="1 hour"), "any_nav") if r["session"] != "end"), key=str)
+    assert got == sorted((tuple(r) for r in navigation.sessions(spark.createDataFrame(rows, schema)).collect()), key=str)
+
+
 def test_state_of_idle_keys_goes():
     class State:
         exists, hasTimedOut, gone = True, True, False
