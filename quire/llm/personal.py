@@ -11,9 +11,9 @@ A span is stored as its place and a cell of features, of which there are at most
 spans of all texts and the driver gets sums by feature. Texts are read once, without a shuffle, and every pattern runs in linear time.
 
 Nulls count as empty texts: zero counts, empty spans. Rows are independent, so repeated rows and ids repeat their results. Base spans
-are in the order of start and kind, so there are no ties, and may overlap; candidates overlap no base span nor each other. Extra columns
-are ignored, an empty table gives an empty result, long texts count whole. What stands between a span and the one before it of its
-pattern is its context.
+are in the order of start and kind, so there are no ties. Spans of different kinds may overlap; candidates do not overlap each other.
+Extra columns are ignored, an empty table gives an empty result, long texts count whole. A span's context is what stands between it and
+the match before it, 32 characters at most.
 """
 
 from __future__ import annotations
