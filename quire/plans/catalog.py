@@ -240,7 +240,8 @@ def load(spark: SparkSession, path: str) -> Catalog:
     """The catalog published last under path."""
     found = current(spark, path)
     read = lambda name: spark.read.parquet(f"{path}/{found[name]}")
-    return Catalog(*map(read, ("titles", "articles", "index", "ids", "sparse", "words", "title31", "meta")), read("images") if "images" in found else None)
+    images = read("images") if "images" in found else spark.createDataFrame([], "img_id long, entry_id long, path string, diagram boolean, w int, h int, data binary")
+    return Catalog(*map(read, ("titles", "articles", "index", "ids", "sparse", "words", "title31", "meta")), images)
 
 
 def image_chunks(images: DataFrame, limit: int = IMAGE_CHUNK_BYTES) -> DataFrame:
