@@ -5,8 +5,11 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from quire.functions.lazy import arrow_udf
+
 #: Texts that stand for single characters outside the ranges below.
 SPECIAL = {
     0xA0: " ", 0xA9: "(c)", 0xAE: "(r)", 0xB0: " deg", 0xB1: "+-", 0xB2: "2", 0xB3: "3", 0xB5: "mu", 0xB7: ".", 0xB9: "1",
@@ -40,19 +43,22 @@ def table() -> dict[str, str]:
     return out | {chr(cp): t for cp, t in SPECIAL.items()}
 
 
+class _Lookup(dict):
+    """Replacements by code point, for str.translate; those not in the table are learnt as they come."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = out = chr(cp) if cp < 0x80 else table().get(chr(cp), "?")
+        return out
+
+
+@arrow_udf("string")
+def _translated(text: pd.Series) -> pd.Series:
+    lookup = _Lookup()
+    return pd.Series([None if t is None else t.translate(lookup) for t in text], dtype=object)
+
+
 def to_ascii(text: Column | str) -> Column:
-    """ASCII stays, known characters become their replacement, others "?". Text without any others is passed on as it is, and
-    replacements longer than a character are tried only where there are any, those outside Latin only where one of these occurs."""
+    """ASCII stays, known characters become their replacement, others "?". One lookup for each character; texts that are ASCII already do
+    not leave the JVM."""
     c = F.col(text) if isinstance(text, str) else text
-    one = {k: v for k, v in table().items() if len(v) == 1}
-    latin, other = ({k: v for k, v in table().items() if len(v) != 1 and (k < "\u0180") == near} for near in (True, False))
-    plain = F.translate(c, "".join(one), "".join(one.values()))
-
-    def changed(x: Column, found: dict[str, str]) -> Column:
-        for k, v in found.items():
-            x = F.replace(x, F.lit(k), F.lit(v))
-        return x
-
-    has = lambda found: c.rlike(f"[{''.join(found)}]")
-    longer = F.when(has(other), changed(plain, latin | other)).when(has(latin), changed(plain, latin)).otherwise(plain)
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(longer, r"[^\x00-\x7f]", "?"))
+    return F.coalesce(_translated(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
