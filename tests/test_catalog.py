@@ -163,6 +163,21 @@ def test_picture_names(spark):
     assert {(r["k"], r["src"]): r["img_id"] for r in joins.resolved_images(src, joins.image_names(df), ["k"]).collect()} == {(1, "./../y/a.png"): 1, (1, "gone/b.png"): 4}
 
 
+def test_pictures_are_resolved_without_broadcasts(spark, tmp_path):
+    """Names repeat, so the file is small, and the candidates of its rows, which are many, once went to the driver."""
+    path = str(tmp_path / "pictures")
+    spark.range(3000).selectExpr("id AS img_id", "concat('d', id % 7, '/', id % 5, '.png') AS path", "1 AS w", "2 AS h").write.parquet(path)
+    images = spark.read.parquet(path)
+    sources = images.select(F.col("img_id").alias("k"), F.concat(F.lit("../"), "path").alias("src"))
+    names = joins.image_names(images)
+    found = joins.resolved_images(sources, names, ["k"])
+    for df in (names, found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    last = {f"d{i % 7}/{i % 5}.png": i for i in range(3000)}
+    assert {r["key"]: r["img_id"] for r in names.collect()} == last | {f"{i}.png": i for i in range(5)}
+    assert {r["k"]: r["img_id"] for r in found.collect()} == {i: last[f"d{i % 7}/{i % 5}.png"] for i in range(3000)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "meta.txt").write_text("article_count=3\nextra\ndb_name=a=b\nunknown=1\n")
     meta = E.metadata(spark, str(tmp_path / "meta.txt"))
