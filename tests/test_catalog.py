@@ -369,5 +369,24 @@ def test_queries_equal_sql(spark, tiny, duck, name):
     assert sorted(key([r[c] for c in sorted(columns)]) for r in rows) == sorted(key([r[columns.index(c)] for c in sorted(columns)]) for r in found.fetchall())
 
 
+def test_links_by_titles_with_a_place_in_them(spark, tmp_path):
+    """What is before the "#" of a title may be the title of another page: links lead there, and not back. Titles that can't stand without
+    quotes are escaped there."""
+    import duckdb
+
+    titles = ["Anre.", "Anre.### x", "to", "# y", "to#", "x#y", "Plain &amp; b = c", "TO#z", "= &quot;8078&quot;", "&quot;8078&quot;", "=", "a\tb\u00a0c", "`d'/"]
+    rows = [(k, f"http://x.example/{k}", f"<html><head><title>{t}</title></head><body>b</body></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    df = __spark_entry__.queries()["spelt_links"](spark, str(tmp_path))
+    found = sorted(tuple(r) for r in df.select("article_id", "links", "id_sum", "shown").collect())
+    assert found == sorted(con.execute(__spark_entry__.oracle_sql()["spelt_links"]).fetchall())
+    assert [r[1] for r in found] == [6, 0, 6, 0, 0, 0, 6, 0, 6, 6, 6, 6, 6]
+    entries = spark.createDataFrame([(0, "A/a", "Anre.", False, "text/html", bytearray()), (1, "A/b", "Anre.### x", False, "text/html", bytearray(b"<a href='Anre.### x'>b</a>"))], "entry_id long, path string, title string, is_redirect boolean, mimetype string, content binary")
+    cleaned = C.CatalogBuilder(with_images=False).cleaned(entries, C.title_map(entries))
+    assert {r["article_id"]: r["html"] for r in cleaned.collect()}[1] == '<a href="/wiki/0">b</a>'
+
+
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).columns == ["article_id", "title"]
