@@ -388,5 +388,19 @@ def test_links_by_titles_with_a_place_in_them(spark, tmp_path):
     assert {r["article_id"]: r["html"] for r in cleaned.collect()}[1] == '<a href="/wiki/0">b</a>'
 
 
+def test_documents_without_a_first_line_are_no_articles(spark, tmp_path):
+    """Their ids are no titles: they would become words, and move the ids of all articles after them."""
+    import duckdb
+
+    texts = ["Plain words\nbody", "\nbody words", "", None, " \t\nbody", "Other words", "\r\nbody", "plain  WORDS", "1003 words\n"]
+    spark.createDataFrame([(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name, columns in (("written_words", ["word", "ids_count", "ids", "ids_start"]), ("title_map_documents", ["title_norm", "article_id", "entry_id"])):
+        found = sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).select(columns).collect())
+        assert found == sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    assert found == [("1003 words", 2, 1008), ("other words", 1, 1005), ("plain words", 0, 1000)]
+
+
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).columns == ["article_id", "title"]
